@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("simhash", "packing")
+_MODULES = ("decontaminate", "simhash", "packing")
 
 
 def _all():
