@@ -128,7 +128,7 @@ def op9_ftrl_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, "text", [F.col("doc_id"), (fold("doc_id", 4) == 2).alias("held_out")])
 
 
-def reject_unidentified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def reject_unidentified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` in an identified language; columns as they come."""
     model = fit(docs, "text", "lang", "doc_id")
     names = docs.columns
