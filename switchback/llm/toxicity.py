@@ -139,7 +139,8 @@ class Classifier:
 
     def score(self, text: str | None) -> float:
         _, known = self.voters.vote(text)
-        return float(softmax((self.weights[np.searchsorted(self.features, known)].sum(axis=0) + self.bias) / self.heat)[1])
+        total = self.weights[np.searchsorted(self.features, known)].sum(axis=0) / max(1, len(known)) ** 0.5
+        return float(softmax((total + self.bias) / self.heat)[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Classifier:
@@ -172,12 +173,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = F.when(F.col("bits") > 0, F.lit(min(1.0, SAMPLE_ROWS / max(1, hits[0])))).otherwise(F.lit(min(1.0, SAMPLE_ROWS / max(1, hits[1]))))
     sample = voted.withColumn("h", F.xxhash64("__id", F.lit(6))).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).drop("__id").toPandas().sort_values(["h", "bits"])
     features = np.flatnonzero(voters.groups >= 0)
-    examples = [(at := np.searchsorted(features, np.frombuffer(k, np.int64)), np.ones(len(at))) for k in sample.known]
+    examples = [(at := np.searchsorted(features, np.frombuffer(k, np.int64)), np.full(len(at), max(1, len(at)) ** -0.5)) for k in sample.known]
     q = model.posterior(sample.bits.to_numpy(np.int64), sample.gold.to_numpy(np.int64)) if len(sample) else np.empty(0)
     targets = np.stack([1 - q, q], 1)
     held = np.arange(len(examples)) % 5 == 4
     part = lambda mask: [e for e, m in zip(examples, mask, strict=True) if m]
-    weights, bias = train(part(~held), targets[~held], len(features), epochs=8, alpha=0.2, l1=1e-2)
+    weights, bias = train(part(~held), targets[~held], len(features), epochs=15, alpha=1.0, l1=1e-3, l2=1e-4)
     return Classifier(voters, features, weights, bias, temperature(logits(part(held), weights, bias), targets[held]))
 
 
