@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("decontaminate", "secrets", "simhash", "suffix_dedup", "toxicity", "maxent", "warc", "langid", "packing")
+_MODULES = ("decontaminate", "secrets", "hamming_topk", "simhash", "suffix_dedup", "toxicity", "maxent", "warc", "langid", "packing")
 
 
 def _all():
