@@ -54,14 +54,16 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """``(doc_id, fp)`` for each row; ``fp`` is the fingerprint as a signed long."""
+    """``(doc_id, th, fp)`` for each row; ``th`` is a hash of the text and ``fp`` the
+    fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(text.as_py(), words, seed) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            fps = [fingerprint(text.as_py(), words, seed) for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "th", "fp"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id bigint, th bigint, fp bigint")
 
 
 class BKTree:
@@ -199,13 +201,26 @@ def links(fps: DataFrame, rows: int, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for each row of ``docs``."""
+    """``(doc_id, th, fp, root, component_id)`` for each row of ``docs``; ``root`` is the least
+    fingerprint of the component."""
     fp_docs = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = materialize(fp_docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fp")
     found = connected_components(links(distinct.select("fp"), distinct.count(), radius))
     labelled = distinct.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fp_docs.join(labelled.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fp_docs.join(labelled.select("fp", "root").join(least, "root"), "fp").select("doc_id", "th", "fp", "root", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of each component of ``docs``: that with the smallest id (null ids last), of
+    those the smallest text hash, of alike rows any; columns as they come."""
+    found = near_duplicates(docs, id_col, text_col, radius)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
+    keys = ["__switchback_a", "__switchback_b"]
+    keep = first.select(F.coalesce("first.doc_id", F.lit(0)).alias(keys[0]), F.xxhash64("first.none", "first.th").alias(keys[1])).distinct()
+    own = F.col(id_col).cast("bigint")
+    rows = docs.withColumn(keys[0], F.coalesce(own, F.lit(0))).withColumn(keys[1], F.xxhash64(own.isNull(), F.xxhash64(F.col(text_col).cast("string"))))
+    return rows.join(keep, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
