@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from switchback.storage import table
+from switchback.plans.catalog import ORACLES, QUERIES
+
+_MODULES = ("profile_queries",)
+for _name in _MODULES:
+    import_module(f"switchback.plans.{_name}")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.sum("l_quantity").alias("len"))
+    return QUERIES["a2_ascent_descent"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
