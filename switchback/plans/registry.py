@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from switchback.plans.catalog import ORACLES, QUERIES
 
-_MODULES = ("profile_queries",)
+_MODULES = ("profile_queries", "segment_queries")
 for _name in _MODULES:
     import_module(f"switchback.plans.{_name}")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["a2_ascent_descent"](spark, sf_dir)
+    return QUERIES["m0_flagship_ascent_in_reach"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
