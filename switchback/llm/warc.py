@@ -137,6 +137,7 @@ def _write(folder: str):
 def deduplicated(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
     """(page_id, url, html, refers_to, is_response)."""
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn("uid", F.monotonically_increasing_id())
+    rows = materialize(rows, "warc-pages")  # both sides of the join below must see the same uid
     keyed = rows.withColumn("digest", F.sha1(F.encode("html", "utf-8")))
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "uid")
     groups = keyed.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1")
