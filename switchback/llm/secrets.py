@@ -60,10 +60,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     flat = rows.select("uid", "doc_id", "owner", "text_hash", F.explode(found).alias("m")).select("uid", "doc_id", "owner", "text_hash", "m.*")
     before = W.partitionBy("uid", "kind").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
     end = F.sum(F.col("gap").cast("bigint") + F.col("len")).over(before)
-    placed = flat.where("kind IS NOT NULL").withColumn("end", end).where("keep")
-    spans = placed.select("uid", "doc_id", "owner", "text_hash", "kind", (F.col("end") - F.col("len")).alias("start"), "end", "value")
-    blank = flat.where("kind IS NULL").select("uid", "doc_id", "owner", "text_hash", "kind", F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end"), "value")
-    return spans.unionByName(blank)
+    placed = flat.withColumn("end", end).where(F.col("kind").isNull() | F.col("keep"))  # one scan, as uids hold for one only
+    return placed.select("uid", "doc_id", "owner", "text_hash", "kind", (F.col("end") - F.col("len")).alias("start"), "end", "value")
 
 
 def ownership(found: DataFrame) -> DataFrame:
