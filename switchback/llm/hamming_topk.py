@@ -1,13 +1,16 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is cut into segments, and the index holds each distinct code once per segment
-value. Search proceeds in rounds: round ``s`` probes, in every segment, the values at distance
-``s`` from the query's. After it every code within ``segments * (s + 1) - 1`` bits is
-verified, so a query whose k-th distance is no more is done; the others go on to the
-next round. Rows with one code are held as a list of their ``k`` smallest ids, which is all
-that a search for ``k`` can return of them; ties go to the smaller id.
-
-The index covers every row. Codes of embeddings are the signs of their components, a fixed rule.
+Rows are dealt to shards by their code, and a shard indexes all its rows once per segment of the
+code, sorted by segment value. Search proceeds in rounds: round ``s`` probes, in
+every segment, the values at distance ``s`` from the query's. After it every row within
+``segments * (s + 1) - 1`` bits is verified, so a query whose k-th verified distance is no more is
+done in this shard; the others go on to the next round. Where a round would probe more values
+than the shard has rows, the shard's rest is verified directly, which covers every radius. The shards' best
+``k`` are merged. Queries go to the shards in blocks of ``BLOCK_QUERIES``, a stated bound.
+
+Of rows with one code only the ``k`` smallest ids can be among the best, so a hot code is cut to
+them first; ties go to the smaller id. Codes of embeddings are the signs of their
+components, a fixed rule; every row is indexed.
 
 Defined results: rows with a null or empty vector or a null id are neither indexed nor
 queried; null components count as zero, and so do components past a shorter vector's end (those past
@@ -17,15 +20,21 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from switchback.storage import discard, materialize, table
+from switchback.storage import materialize, table
 
 BITS, K, QUERY_STEP = 64, 10, 50
+BLOCK_QUERIES, SLICE = 1 << 16, 128
 
 
 def sign_code(vector: Column, bits: int = BITS) -> Column:
@@ -37,62 +46,113 @@ def sign_code(vector: Column, bits: int = BITS) -> Column:
     return out
 
 
-def hamming(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
 def smallest_ids(rows: DataFrame, k: int) -> DataFrame:
-    """(code, ids): the ``k`` smallest ids of each code, in order. A hot code's rows are
-    first ranked within salted parts, so no task sees all of them."""
+    """(id, code): the ``k`` smallest ids of each code. A hot code's rows are first
+    ranked within salted parts, so no task sees all of them."""
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     first = salted.withColumn("r", F.row_number().over(W.partitionBy("code", "salt").orderBy("id"))).where(F.col("r") <= k)
     kept = first.drop("r", "salt").withColumn("r", F.row_number().over(W.partitionBy("code").orderBy("id"))).where(F.col("r") <= k)
-    return kept.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-
-
-def _segments(code: Column, edges: list[int]) -> Column:
-    return F.array(*[F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:], strict=False)])
+    return kept.select("id", "code")
+
+
+class MultiIndex:
+    """One shard: rows by id and code, with a sorted table for each segment."""
+
+    def __init__(self, ids: np.ndarray, codes: np.ndarray, bits: int = BITS):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.codes, self.bits = ids[order], codes[order], bits
+        self.width = max(4, min(16, max(1, len(ids)).bit_length() - 1))  # about one row in a bucket
+        self.edges = [*range(0, bits, self.width), bits]
+        self.tables = []
+        for a, b in zip(self.edges, self.edges[1:], strict=False):
+            part = self.segment(self.codes, a, b)
+            rows = np.argsort(part, kind="stable")
+            self.tables.append((part[rows], rows))
+
+    @staticmethod
+    def segment(codes: np.ndarray, a: int, b: int) -> np.ndarray:
+        return (codes >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
+
+    def _probe(self, queries: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) pairs whose values of some segment are ``distance`` apart."""
+        found = []
+        for (a, b), (values, rows) in zip(zip(self.edges, self.edges[1:], strict=False), self.tables, strict=True):
+            if distance > b - a:
+                continue
+            masks = np.array([sum(1 << i for i in chosen) for chosen in combinations(range(b - a), distance)], np.uint64)
+            wanted = (self.segment(queries, a, b)[:, None] ^ masks[None, :]).ravel()
+            low, high = np.searchsorted(values, wanted, "left"), np.searchsorted(values, wanted, "right")
+            n = high - low
+            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            found.append(np.stack([np.repeat(np.repeat(np.arange(len(queries)), len(masks)), n), rows[at]]))
+        pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        return pairs[0], pairs[1]
+
+    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, distance) of the ``k`` nearest rows of each query."""
+        segments, size = len(self.tables), len(self.codes)
+        best = [np.empty((3, 0), np.int64)]
+        waiting, kept, probes = np.arange(len(queries)), np.empty((3, 0), np.int64), 0
+        for distance in range(self.width + 1):
+            probes += segments * comb(self.width, distance)
+            if probes > size:  # the rest of the shard costs less than this round
+                q, row = np.repeat(np.arange(len(waiting)), size), np.tile(np.arange(size), len(waiting))
+            else:
+                q, row = self._probe(queries[waiting], distance)
+            bits = np.bitwise_count(queries[waiting[q]] ^ self.codes[row]).astype(np.int64)
+            kept = self._nearest(np.concatenate([kept, np.stack([waiting[q], row, bits])], axis=1), k)
+            covered = self.bits if probes > size else segments * (distance + 1) - 1
+            held = np.bincount(kept[0][kept[2] <= covered], minlength=len(queries)) >= k
+            ready = held[kept[0]] | (covered >= self.bits)
+            best.append(kept[:, ready])
+            kept = kept[:, ~ready]
+            waiting = waiting[~held[waiting]] if covered < self.bits else waiting[:0]
+            if not len(waiting):
+                break
+        best.append(kept)
+        return tuple(np.concatenate(best, axis=1))
+
+    @staticmethod
+    def _nearest(pairs: np.ndarray, k: int) -> np.ndarray:
+        """The first ``k`` of each query by distance and row (rows are in the order of ids), each pair once."""
+        order = np.lexsort((pairs[1], pairs[2], pairs[0]))
+        pairs = pairs[:, order]
+        if not pairs.shape[1]:
+            return pairs
+        fresh = np.concatenate([[True], (pairs[0, 1:] != pairs[0, :-1]) | (pairs[1, 1:] != pairs[1, :-1])])
+        pairs = pairs[:, fresh]
+        first = np.flatnonzero(np.concatenate([[True], pairs[0, 1:] != pairs[0, :-1]]))
+        rank = np.arange(pairs.shape[1]) - np.repeat(first, np.diff(np.append(first, pairs.shape[1])))
+        return pairs[:, rank < k]
+
+
+def _search(queries: np.ndarray, k: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not sum(len(p[0]) for p in parts):
+            return
+        index = MultiIndex(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).view(np.uint64), bits)
+        for at in range(0, len(queries), SLICE):
+            some = queries[at : at + SLICE]
+            q, row, distance = index.search(some, k)
+            yield pa.RecordBatch.from_arrays([pa.array(some[q].view(np.int64)), pa.array(index.ids[row]), pa.array(distance)], ["query", "neighbour_id", "distance"])
+
+    return run
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -> DataFrame:
     """``rows`` and ``queries``: (id, code). Returns (query_id, neighbour_id, distance, rank)."""
-    codes = materialize(smallest_ids(rows, k), "codes")
-    distinct = codes.count()
-    width = max(4, min(16, max(1, distinct).bit_length() - 1))  # about one code in a bucket
-    edges = list(range(0, bits, width)) + [bits]
-    segments = len(edges) - 1
-    index = codes.select("code", F.posexplode(_segments(F.col("code"), edges)).alias("seg", "value"))
+    held = materialize(smallest_ids(rows.select(F.col("id").cast("bigint").alias("id"), "code"), k).repartition("code"), "codes")
     asked = queries.select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct()
-    waiting = materialize(asked.select("query").distinct(), "waiting")
-    best, done = None, []
-    for radius in range(width + 1):
-        masks = [sum(1 << b for b in chosen) for chosen in combinations(range(width), radius)]
-        probes = waiting.select("query", F.posexplode(_segments(F.col("query"), edges)).alias("seg", "own")).withColumn("flip", F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks])))
-        last = edges[-1] - edges[-2]
-        probes = probes.where((F.col("seg") < segments - 1) | (F.col("flip") < (1 << last))).select("query", "seg", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
-        seen = probes.join(index, ["seg", "value"]).select("query", "code").distinct()
-        found = seen.join(codes, "code").select("query", "code", hamming("query", "code").alias("distance"), "ids")
-        if best is not None:
-            found = found.unionByName(best.join(waiting, "query", "left_semi")).dropDuplicates(["query", "code"])
-        # codes by distance; enough of the nearest to hold k ids: ties of distance are all kept
-        before = F.sum(F.size("ids")).over(W.partitionBy("query").orderBy("distance").rangeBetween(W.unboundedPreceding, -1))
-        kept = found.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < k).drop("before")
-        old, best = best, materialize(kept, "best")
-        covered = segments * (radius + 1) - 1
-        reached = best.where(F.col("distance") <= covered).groupBy("query").agg(F.sum(F.size("ids")).alias("n")).where(F.col("n") >= k).select("query")
-        done.append(best.join(reached, "query", "left_semi"))
-        after = materialize(waiting.join(reached, "query", "left_anti"), "waiting")
-        discard(waiting)
-        waiting = after
-        if waiting.isEmpty() or covered >= bits:
-            break
-    done.append(best.join(waiting, "query", "left_semi"))
-    found = done[0]
-    for part in done[1:]:
-        found = found.unionByName(part)
-    flat = asked.join(found, "query").select("query_id", "distance", F.explode("ids").alias("neighbour_id"))
-    order = W.partitionBy("query_id").orderBy("distance", "neighbour_id")
-    return flat.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    codes = materialize(asked.select("query").distinct(), "queries")
+    blocks = max(1, -(-codes.count() // (BLOCK_QUERIES // 2)))  # by hash, so each stays below twice its mean
+    order = W.partitionBy("query").orderBy("distance", "neighbour_id")
+    found = []
+    for b in range(blocks):
+        some = codes.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).toPandas()["query"].to_numpy(np.int64).view(np.uint64)
+        found.append(held.mapInArrow(_search(some, k, bits), "query bigint, neighbour_id bigint, distance bigint"))
+    merged = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return asked.join(merged, "query").select("query_id", "neighbour_id", "distance", "rank")
 
 
 def op3_multi_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
