@@ -13,7 +13,7 @@ PAUSE_S = 3600
 
 
 def _dated(rows: DataFrame) -> DataFrame:
-    return rows.withWatermark("ts", LATE) if rows.isStreaming else rows
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE) if rows.isStreaming else rows
 
 
 def compute_budget(rows: DataFrame, most: float, seconds: str = "value", window: str = "5 minutes") -> DataFrame:
