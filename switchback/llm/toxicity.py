@@ -147,7 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A classifier learned from rows of ``docs``, of which ``labels`` names some."""
     told = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("gold"))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
-    known = rows.join(told, "__id").select("text", "gold").where("gold IN (0, 1)")
+    # labels grow with the corpus, so neither join may broadcast them
+    known = rows.join(told.hint("merge"), "__id").select("text", "gold").where("gold IN (0, 1)")
     total = {r["gold"]: r["n"] for r in told.groupBy("gold").agg(F.count("*").alias("n")).collect()}
     odds = F.log((F.col("toxic") + 0.5) / F.lit(total.get(1, 0) + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(total.get(0, 0) + 1.0))
     mined = (
@@ -163,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             found = [voters.vote(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1].tobytes() for f in found], pa.binary())], ["__id", "bits", "known"])
 
-    voted = rows.mapInArrow(votes, f"__id {docs.schema[id_col].dataType.simpleString()}, bits bigint, known binary").join(told, "__id", "left").withColumn("gold", F.coalesce("gold", F.lit(-1)))
+    voted = rows.mapInArrow(votes, f"__id {docs.schema[id_col].dataType.simpleString()}, bits bigint, known binary").join(told.hint("merge"), "__id", "left").withColumn("gold", F.coalesce("gold", F.lit(-1)))
     patterns = voted.groupBy("bits", "gold").agg(F.count("*").alias("n")).toPandas()  # at most 3 * 2 ** voters rows
     if patterns.empty:
         patterns = pd.DataFrame({"bits": [0], "gold": [-1], "n": [1]})
