@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -85,13 +86,11 @@ def unfinished(segments: DataFrame, done: DataFrame) -> DataFrame:
 
 def merge(shards: list[DataFrame]) -> DataFrame:
     """All shards' tiles; a tile in two shards is an error."""
-    rows = shards[0]
-    for shard in shards[1:]:
-        rows = rows.unionByName(shard)
-    twice = rows.groupBy("ix", "iy").count().where("count > 1").limit(1).collect()
+    keys = reduce(DataFrame.unionByName, [shard.select("ix", "iy").distinct() for shard in shards])
+    twice = keys.groupBy("ix", "iy").count().where("count > 1").take(1)
     if twice:
         raise ValueError(f"tile {twice[0]['ix']}_{twice[0]['iy']} is in two shards")
-    return rows
+    return reduce(DataFrame.unionByName, shards)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
