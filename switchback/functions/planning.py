@@ -81,8 +81,3 @@ def calm(share: Column, own: Column) -> Column:
 def shrink_radius(radius: Column, rows: Column, cap: int) -> Column:
     """One step of fitting a region to a number of rows."""
     return F.when(rows > cap, radius * 0.95 * F.sqrt(F.lit(float(cap)) / rows)).otherwise(radius)
-
-
-def status_of(code: Column) -> Column:
-    """HTTP status of a message code."""
-    return F.when(code.startswith("bad_") | code.isin("unknown_param", "repeated_param"), 400).when(code.isin("not_covered", "not_found"), 404).when(code == "too_large", 413).when(code.isin("no_loop", "infeasible"), 422).when(code == "busy", 503).otherwise(500)

@@ -250,9 +250,36 @@ def v5(spark, sf):
     return seg(spark, sf).agg(F.count_if(~F.expr("len div 34").between(0, 15)).alias("out_of_range"), F.count_if(~F.col("nature").isin(2, 9) & (F.col("flags") == 3) & (F.col("importance") == 6)).alias("off_path"))
 
 
-@query("k12_code_dimension", "SELECT 'bad_distance' AS code, 'error' AS kind, 400 AS status UNION ALL SELECT 'not_covered', 'error', 404 UNION ALL SELECT 'no_loop', 'error', 422 UNION ALL SELECT 'target_not_reached', 'warning', 200 UNION ALL SELECT 'candidates_reduced', 'warning', 200")
+@query("k12_code_dimension", "SELECT kind, status, n FROM (VALUES ('error', 400, 15), ('error', 403, 1), ('error', 404, 1), ('error', 422, 5), ('error', 500, 3), ('error', 503, 2), ('error', 504, 1), ('warning', 500, 15)) t(kind, status, n)")
 def k12(spark, sf):
-    from switchback.functions.planning import status_of
+    from switchback.functions.messages import codes
 
-    codes = spark.createDataFrame([("bad_distance", "error"), ("not_covered", "error"), ("no_loop", "error"), ("target_not_reached", "warning"), ("candidates_reduced", "warning")], "code string, kind string")
-    return codes.select("code", "kind", F.when(F.col("kind") == "warning", 200).otherwise(status_of(F.col("code"))).alias("status"))
+    return codes(spark).groupBy("kind", "status").agg(F.count("*").alias("n"))
+
+
+_PROBLEM = "version int, start bigint, edges array<struct<u:bigint,v:bigint,len:double,w:double>>"
+
+
+@query("s20_k11_problem_documents", f"WITH {EDGE} SELECT g, count(*) AS edges, true AS valid FROM edge GROUP BY g")
+def s20(spark, sf):
+    """Instances written as JSON, read with a strict schema and checked."""
+    e = edge(spark, sf)
+    made = e.groupBy("g").agg(F.to_json(F.struct(F.lit(1).alias("version"), F.min("u").alias("start"), F.array_sort(F.collect_list(F.struct("u", "v", "len", "w"))).alias("edges"))).alias("j"))
+    read = made.select("g", F.from_json("j", _PROBLEM, {"mode": "FAILFAST"}).alias("p"))
+    sound = F.forall("p.edges", lambda x: (x["u"] >= 0) & (x["v"] >= 0) & (x["len"] > 0) & (x["w"] >= 0)) & F.col("p.version").between(1, 2) & F.exists("p.edges", lambda x: (x["u"] == F.col("p.start")) | (x["v"] == F.col("p.start")))
+    return read.select("g", F.size("p.edges").alias("edges"), sound.alias("valid"))
+
+
+_DENSE = f"{_SIDES}, dn AS (SELECT *, greatest(CAST(ceil(len / 40.0) AS BIGINT), 1) AS n FROM k), dp AS (SELECT id, side, j, ax + j / CAST(n AS DOUBLE) * (bx - ax) AS x, ay + j / CAST(n AS DOUBLE) * (b_y - ay) AS y FROM (SELECT *, unnest(range(0, n)) AS j FROM dn))"
+
+
+@query("f12_j7_calm_labels", f"""WITH {SEG}, {_DENSE}, mj AS (SELECT CAST(floor(x1 / 300.0) AS BIGINT) AS cx, CAST(floor(y1 / 300.0) AS BIGINT) AS cy, CAST(x1 AS DOUBLE) AS mx, CAST(y1 AS DOUBLE) AS my FROM seg WHERE nature IN (1, 5, 7, 8, 10) AND importance IN (1, 2, 3)),
+nb AS (SELECT dp.*, CAST(floor(x / 300.0) AS BIGINT) + i AS cx, CAST(floor(y / 300.0) AS BIGINT) + o AS cy FROM dp, range(-1, 2) a(i), range(-1, 2) b(o)), nr AS (SELECT id, side, j, min((x - mx) ** 2 + (y - my) ** 2) AS d2 FROM nb LEFT JOIN mj USING (cx, cy) GROUP BY id, side, j)
+SELECT nature, CAST(sum(CASE WHEN coalesce(d2, 1e9) < 90000 THEN 1 ELSE 0 END) AS BIGINT) AS near, round(avg(least(sqrt(coalesce(d2, 90000.0)), 300.0) / 300.0), 4) AS share FROM nr JOIN seg USING (id) GROUP BY nature""")
+def calm(spark, sf):
+    """How remote segments are: the distance of their points to the nearest major road, 300 m at most."""
+    points = M.densify(lines(spark, sf), 40.0).select(F.struct("id", "side", "k").alias("aid"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    major = seg(spark, sf).where("nature IN (1, 5, 7, 8, 10) AND importance IN (1, 2, 3)").select(F.col("id").alias("bid"), F.col("x1").cast("double").alias("bx"), F.col("y1").cast("double").alias("by"))
+    near = S.pairs_within(points, major, 300, inclusive=False).groupBy("aid").agg(F.min("d2").alias("d2"))
+    d = points.join(near, "aid", "left").select(F.col("aid.id").alias("id"), "d2").join(seg(spark, sf).select("id", "nature"), "id")
+    return d.groupBy("nature").agg(F.count_if(F.col("d2").isNotNull()).alias("near"), F.round(F.avg(F.least(F.sqrt(F.coalesce("d2", F.lit(90000.0))), F.lit(300.0)) / 300.0), 4).alias("share"))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from switchback.functions import geo as G
+from switchback.functions import messages as MS
 from switchback.functions import planning as PL
 from switchback.functions import text as T
 from switchback.operators import spatial as S
@@ -195,7 +196,7 @@ def h18(spark, sf):
     return _requests(spark, sf).select("id", F.round(F.abs(F.col("len") - 40000) / 40000 + F.abs(F.col("up") - 800) / 800, 6).alias("error"))
 
 
-_RULES = [("bad_distance", "len < 3000 OR len > 90000"), ("bad_dplus", "up > 3900"), ("bad_count", "n > 3 AND len > 40000"), ("bad_mode", "mode = 'target' AND up < 60")]
+_RULES = [("distance_out_of_range", "len < 3000 OR len > 90000"), ("dplus_out_of_range", "up > 3900"), ("candidates_reduced", "n > 3 AND len > 40000"), ("target_dplus_above_bound", "mode = 'target' AND up < 60")]
 
 
 @query("p13_request_validation", f"WITH {_REQ} SELECT id, array_to_string(list_filter([{', '.join(f'''CASE WHEN {t} THEN '{c}' END''' for c, t in _RULES)}], lambda e: e IS NOT NULL), ',') AS errors FROM r")
@@ -204,10 +205,10 @@ def p13(spark, sf):
     return _requests(spark, sf).select("id", F.array_join(errors, ",").alias("errors"))
 
 
-@query("f23_status_counts", f"WITH {_REQ} SELECT CASE WHEN len < 3000 THEN 400 WHEN up > 3900 THEN 422 ELSE 500 END AS status, count(*) AS n FROM r GROUP BY ALL")
+@query("f23_status_counts", f"WITH {_REQ} SELECT CASE WHEN len < 3000 THEN 400 WHEN up > 3900 THEN 422 WHEN n = 4 THEN 503 ELSE 500 END AS status, count(*) AS n FROM r GROUP BY ALL")
 def f23(spark, sf):
-    code = F.when(F.col("len") < 3000, "bad_distance").when(F.col("up") > 3900, "infeasible").otherwise("internal")
-    return _requests(spark, sf).groupBy(PL.status_of(code).alias("status")).agg(F.count("*").alias("n"))
+    code = F.when(F.col("len") < 3000, "distance_out_of_range").when(F.col("up") > 3900, "dplus_unreachable_proven").when(F.col("n") == 4, "busy").otherwise("invariant_violated")
+    return _requests(spark, sf).groupBy(MS.status_of(code).alias("status")).agg(F.count("*").alias("n"))
 
 
 @query("s21_query_parameters", """SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, CASE WHEN regexp_extract(url, '[?&]page=([^&#]*)', 1) = '' THEN NULL ELSE CAST(regexp_extract(url, '[?&]page=([^&#]*)', 1) AS INTEGER) END AS page FROM pages""")
@@ -281,3 +282,20 @@ def t2(spark, sf):
 
     rows = errors(table(spark, sf, "events"))
     return rows.select("start", "errors", F.round("worst", 4).alias("worst"))
+
+
+_KEY = b"a key of a service"
+_PADS = [bytes(b ^ x for b in _KEY.ljust(64, b"\0")).hex() for x in (0x36, 0x5C)]
+
+
+@query("k9_keyed_digest", f"SELECT p_partkey, sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(p_name)))) AS mac FROM part")
+def k9(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", MS.hmac_sha256(_KEY, F.col("p_name")).alias("mac"))
+
+
+@query("p2_soft_ways", "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN true WHEN 1 THEN p_size % 3 <> 0 WHEN 2 THEN false ELSE true END AS soft FROM part")
+def p2(spark, sf):
+    """Ways by surface, then by kind."""
+    tags = F.when(F.col("p_size") % 4 == 0, F.create_map(F.lit("surface"), F.lit("gravel;mud"))).when(F.col("p_size") % 4 == 1, F.create_map(F.lit("highway"), F.lit("track"), F.lit("tracktype"), F.when(F.col("p_size") % 3 == 0, "grade1").otherwise("grade3")))
+    tags = tags.when(F.col("p_size") % 4 == 2, F.create_map(F.lit("highway"), F.lit("path"), F.lit("surface"), F.lit("asphalt"))).otherwise(F.create_map(F.lit("highway"), F.lit("bridleway")))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), T.is_unpaved(tags).alias("soft"))

@@ -200,3 +200,30 @@ def test_texts(spark):
     ways = {r["id"]: r for r in T.read_opl(lines).collect()}
     assert ways[7]["tags"] == {"highway": "track", "name": "a b,c"} and [tuple(n) for n in ways[7]["nodes"]] == [(1, 2.5, 48.0), (2, 2.6, -4.25)]
     assert [tuple(m) for m in ways[9]["members"]] == [("w", 7), ("w", 8)] and len(ways) == 2
+
+
+def test_portable_draws():
+    from switchback.search import random as R
+
+    assert R.draws(0, 3).tolist() == [0xE220A8397B1DCDAF, 0x6E789E6AA1B965F4, 0x06C45D188009454F]
+    u = R.uniform(7, 4000)
+    assert 0 <= u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.03 and abs(R.normal(7, 4000).std() - 1) < 0.05
+
+
+def test_messages(spark):
+    import hashlib
+    import hmac
+
+    from pyspark.sql import functions as F
+
+    from switchback.functions import messages as MS
+
+    rows = {r["code"]: r for r in MS.codes(spark).collect()}
+    assert len(rows) == 43 and rows["busy"]["status"] == 503 and rows["roads_unknown"]["status"] == 400 and rows["fewer_loops"]["params"] == ["asked", "got"]
+    m = spark.range(1).select(MS.message("fewer_loops", asked=3, got=F.col("id")).alias("m"), MS.message("busy").alias("b")).first()
+    assert m["m"]["params"] == {"asked": 3.0, "got": 0.0} and m["b"]["params"] == {}
+    with pytest.raises(ValueError):
+        MS.message("busy", km=1)
+    for key in (b"k", b"x" * 100):
+        got = spark.createDataFrame([("é text",), ("",)], "t string").select(MS.hmac_sha256(key, F.col("t"))).collect()
+        assert [r[0] for r in got] == [hmac.new(key, t.encode(), hashlib.sha256).hexdigest() for t in ("é text", "")]

@@ -15,8 +15,8 @@ def test_parse(spark):
     got = {r["k"]: r for r in requests.parse(spark.createDataFrame(list(enumerate(rows)), "k int, query string")).collect()}
     errors = {k: r["errors"] for k, r in got.items()}
     assert errors == {
-        0: [], 1: [], 2: ["bad_dplus"], 3: ["bad_position"], 4: ["repeated_param"], 5: ["unknown_param"], 6: ["bad_number"], 7: ["bad_roads", "bad_climbs", "bad_grade", "bad_seed"], 8: [],
-        9: ["bad_position"], 10: ["bad_position"], 11: ["bad_polygon"],
+        0: [], 1: [], 2: ["target_dplus_required"], 3: ["invalid_request"], 4: ["invalid_request"], 5: ["invalid_request"], 6: ["invalid_request"], 7: ["roads_unknown", "climbs_unknown", "max_grade_invalid", "invalid_request"], 8: [],
+        9: ["invalid_request"], 10: ["invalid_request"], 11: ["zone_invalid"],
     }
     assert (got[1]["mode"], got[1]["length"], got[1]["loops"], got[1]["warnings"]) == ("target", 50000.0, 2, ["candidates_reduced"])
     assert got[8]["mode"] == "min_distance" and got[0]["loops"] == 3 and got[3]["status"] == 400 and got[0]["status"] == 200
