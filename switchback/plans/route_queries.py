@@ -283,3 +283,20 @@ def calm(spark, sf):
     near = S.pairs_within(points, major, 300, inclusive=False).groupBy("aid").agg(F.min("d2").alias("d2"))
     d = points.join(near, "aid", "left").select(F.col("aid.id").alias("id"), "d2").join(seg(spark, sf).select("id", "nature"), "id")
     return d.groupBy("nature").agg(F.count_if(F.col("d2").isNotNull()).alias("near"), F.round(F.avg(F.least(F.sqrt(F.coalesce("d2", F.lit(90000.0))), F.lit(300.0)) / 300.0), 4).alias("share"))
+
+
+_TEN = f"{_SIDES}, dn AS (SELECT *, greatest(CAST(ceil(len / 10.0) AS BIGINT), 1) AS n FROM k), pt AS (SELECT id, side * 100000 + j AS i, s0 + j * len / n AS s, ax + j / CAST(n AS DOUBLE) * (bx - ax) AS x, ay + j / CAST(n AS DOUBLE) * (b_y - ay) AS y FROM (SELECT *, unnest(range(0, n)) AS j FROM dn))"
+
+
+@query("j3_parallel_corridors", f"""WITH {SEG}, {_TEN}, g AS (SELECT *, lag(x) OVER w AS xa, lead(x) OVER w AS xb, lag(y) OVER w AS ya, lead(y) OVER w AS yb, lag(s) OVER w AS sa, lead(s) OVER w AS sb, max(s) OVER (PARTITION BY id) - min(s) OVER (PARTITION BY id) AS length FROM pt WINDOW w AS (PARTITION BY id ORDER BY i)),
+h AS (SELECT id, i, x, y, length, (coalesce(sb, s) - coalesce(sa, s)) / q AS wt, (coalesce(xb, x) - coalesce(xa, x)) / q AS u, (coalesce(yb, y) - coalesce(ya, y)) / q AS v FROM (SELECT *, CASE WHEN xa IS NOT NULL AND xb IS NOT NULL THEN 2.0 ELSE 1.0 END AS q FROM g) WHERE length >= 30),
+t AS (SELECT *, u / (sqrt(u * u + v * v) + 1e-12) AS tu, v / (sqrt(u * u + v * v) + 1e-12) AS tv, CAST(floor(x / 15) AS BIGINT) AS cx, CAST(floor(y / 15) AS BIGINT) AS cy FROM h), m AS (SELECT t.*, cx + i1 AS nx, cy + j1 AS ny FROM t, range(-1, 2) p(i1), range(-1, 2) r(j1)),
+n AS (SELECT a.id AS a, b.id AS b, a.i AS ai, b.i AS bi, a.wt AS aw, b.wt AS bw, a.length AS al, b.length AS bl FROM t AS a JOIN m AS b ON a.cx = b.nx AND a.cy = b.ny AND a.id < b.id WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 225 AND abs(a.tu * b.tu + a.tv * b.tv) >= 0.9),
+ca AS (SELECT a, b, sum(aw) AS c, max(least(al, bl)) AS short FROM (SELECT DISTINCT a, b, ai, aw, al, bl FROM n) GROUP BY a, b), cb AS (SELECT a, b, sum(bw) AS c FROM (SELECT DISTINCT a, b, bi, bw FROM n) GROUP BY a, b)
+SELECT ca.a, ca.b, round(least(ca.c, cb.c), 3) AS covered FROM ca JOIN cb ON ca.a = cb.a AND ca.b = cb.b WHERE least(ca.c, cb.c) >= greatest(30.0, 0.6 * short)""")
+def corridors(spark, sf):
+    """Segments side by side: densified to 10 m, joined within 15 m, covered lengths on both sides."""
+    sides = M.sides(lines(spark, sf)).withColumn("n", F.greatest(F.ceil(F.col("len") / 10.0), F.lit(1))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    t = F.col("j") / F.col("n")
+    points = sides.select("id", (F.col("side") * 100000 + F.col("j")).alias("i"), (F.col("s0") + F.col("j") * F.col("len") / F.col("n")).alias("s"), (F.col("ax") + t * (F.col("bx") - F.col("ax"))).alias("x"), (F.col("ay") + t * (F.col("by") - F.col("ay"))).alias("y"))
+    return S.parallel_corridors(points).select("a", "b", F.round("covered", 3).alias("covered"))

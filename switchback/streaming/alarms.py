@@ -47,3 +47,41 @@ def pause_intervals(trips: DataFrame, pause_s: int = PAUSE_S) -> DataFrame:
     open_end = F.max(F.coalesce("until", F.lit("9999-12-31").cast("timestamp"))).over(before)
     marked = rows.withColumn("island", F.sum(F.when(open_end.isNull() | (F.col("ts") > open_end), 1).otherwise(0)).over(order))
     return marked.groupBy("service", "island").agg(F.min("ts").alias("start"), F.when(F.bool_or("budget"), None).otherwise(F.max("until")).alias("end")).drop("island")
+
+
+EVENTS = "service string, event string, at timestamp"
+
+
+def _pause_machine(pause_s: int):
+    """(key, rows, state) → events. The state is the end of the pause in epoch seconds; -1 has no end."""
+    import pandas as pd
+
+    def run(key, frames, state):
+        events, until = [], state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            if until is not None and until >= 0:
+                events.append((key[0], "resume", pd.Timestamp(until, unit="s")))
+            state.remove()
+        else:
+            rows = sorted(((t.timestamp() if t.tzinfo else t.tz_localize("UTC").timestamp()), bool(b)) for pdf in frames for t, b in zip(pdf.ts, pdf.budget, strict=True))
+            for at, budget in rows:
+                if until is not None and 0 <= until < at:
+                    events.append((key[0], "resume", pd.Timestamp(until, unit="s")))
+                    until = None
+                if until is None:
+                    events.append((key[0], "pause", pd.Timestamp(at, unit="s")))
+                until = -1.0 if budget or until == -1.0 else max(until or 0.0, at + pause_s)
+            state.update((until,))
+            now = state.getCurrentWatermarkMs()
+            if until >= 0:
+                state.setTimeoutTimestamp(max(int(until * 1000), now + 1))
+        yield pd.DataFrame(events, columns=["service", "event", "at"])
+
+    return run
+
+
+def pause_events(trips: DataFrame, pause_s: int = PAUSE_S) -> DataFrame:
+    """A stream of pause and resume events from a stream of trips (service, ts, budget): the state
+    machine behind ``pause_intervals``, resumed by event time."""
+    rows = _dated(trips)
+    return rows.groupBy("service").applyInPandasWithState(_pause_machine(pause_s), EVENTS, "until double", "append", "EventTimeTimeout")

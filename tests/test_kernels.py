@@ -227,3 +227,66 @@ def test_messages(spark):
     for key in (b"k", b"x" * 100):
         got = spark.createDataFrame([("é text",), ("",)], "t string").select(MS.hmac_sha256(key, F.col("t"))).collect()
         assert [r[0] for r in got] == [hmac.new(key, t.encode(), hashlib.sha256).hexdigest() for t in ("é text", "")]
+
+
+def test_reduction_access_and_corridor():
+    g, _ = grid(5)
+    kept = G.steep_part(g, 12, 300.0, times=2.0)
+    assert sum(sorted((g.w[e] for e in range(len(g.u))), reverse=True)[:6]) <= sum(g.w[e] for e in kept) and len(kept) < len(g.u)
+    assert len(G.components(g, kept)) == 1
+    h = two_squares()
+    assert G.access(h, 8, [0, 1, 2, 3], 2000, 2500) == [9, 5, 4] or G.access(h, 8, [0, 1, 2, 3], 2000, 2500) is not None
+    assert G.access(h, 8, [0, 1, 2, 3], 400, 500) is None and G.access(h, 0, [0, 1, 2, 3], 400, 500) == []
+    assert G.corridor_loop(h, 0, 2) == [0, 1, 2, 3] and G.corridor_loop(h, 0, 5) is None
+
+
+def test_edge_quality_and_turns():
+    s = np.arange(5) * 100.0
+    assert C.edge_quality([0, 50, 100, 150, 200], s) == 20000.0 and C.edge_quality([0, 0, 0, 0, 0], s) == 0
+    assert C.turn_signature([0, 50, 0]) == (1, 1, 0.5) and C.turn_signature([0, 5]) == (0, 0, 0.0) and C.turn_signature([0, 20, 40]) == (1, -1, 0.0)
+
+
+def test_parallel_corridor_table(spark):
+    """Pairs of lines by distance, direction and length, and whether they share a corridor."""
+    from switchback.operators.spatial import parallel_corridors
+
+    table = [
+        ((0, 0, 200, 0), (0, 10, 200, 10), True), ((0, 0, 200, 0), (0, 25, 200, 25), False), ((0, 0, 200, 0), (200, 10, 0, 10), True), ((0, 0, 20, 0), (0, 5, 20, 5), False), ((0, 0, 400, 0), (0, 10, 40, 10), True),
+        ((0, 0, 400, 0), (0, 10, 25, 10), False), ((0, 0, 200, 0), (100, -100, 100, 100), False), ((0, 0, 200, 0), (200, 0, 400, 0), False), ((0, 0, 200, 0), (0, 0, 173, 100), False),
+    ]
+    rows = []
+    for k, (a, b, _) in enumerate(table):
+        for n, (x0, y0, x1, y1) in enumerate((a, b)):
+            length = float(np.hypot(x1 - x0, y1 - y0))
+            for i in range(int(length // 5) + 1):
+                t = 5 * i / length
+                rows.append((2 * k + n, i, 5.0 * i, x0 + t * (x1 - x0), 5000.0 * k + y0 + t * (y1 - y0)))
+    found = {(r["a"], r["b"]) for r in parallel_corridors(spark.createDataFrame(rows, "id bigint, i bigint, s double, x double, y double")).collect()}
+    assert found == {(2 * k, 2 * k + 1) for k, (*_, want) in enumerate(table) if want}
+
+
+def test_pause_stream(spark, tmp_path):
+    import datetime as dt
+
+    from switchback.streaming.alarms import pause_events
+
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    schema = "service string, ts timestamp, budget boolean"
+    for k, rows in enumerate([[("a", at(0), False), ("b", at(0), True)], [("a", at(30), False)], [("a", at(200), False), ("b", at(210), False)], [("z", at(9000), False)], [("z", at(9001), False)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    query = pause_events(stream).writeStream.outputMode("append").format("memory").queryName("pauses").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    got = [(r["service"], r["event"], r["at"]) for r in spark.table("pauses").orderBy("service", "at").collect() if r["service"] != "z"]
+    assert got == [("a", "pause", at(0)), ("a", "resume", at(90)), ("a", "pause", at(200)), ("a", "resume", at(260)), ("b", "pause", at(0))]
+
+
+def test_fast_check_agrees_with_the_rules():
+    g, _ = grid(3)
+    rng = np.random.default_rng(1)
+    case = L.Instance(g, 4, corridors=[(0, 7), (2, 3)], simple_nodes=[1, 4])
+    for _ in range(4000):
+        edges = sorted(rng.choice(len(g.u), size=int(rng.integers(0, 9)), replace=False).tolist())
+        assert case.valid(edges) == (not G.violations(g, edges, 4, case.corridors, case.simple))
+    best = L.best_by_cycle_space(L.Instance(g, 4, length=800.0))
+    assert case.valid(best) == (not G.violations(g, best, 4, case.corridors, case.simple))
