@@ -1,7 +1,7 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-Rows are dealt to shards by their code, and a shard indexes all its rows once per segment of the
-code, sorted by segment value. Search proceeds in rounds: round ``s`` probes, in
+Rows are dealt by their code to shards of about ``SHARD_ROWS`` at most, and a shard indexes all its rows
+once per segment of the code, sorted by segment value. Search proceeds in rounds: round ``s`` probes, in
 every segment, the values at distance ``s`` from the query's. After it every row within
 ``segments * (s + 1) - 1`` bits is verified, so a query whose k-th verified distance is no more is
 done in this shard; the others go on to the next round. Where a round would probe more values
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from switchback.storage import materialize, table
 
 BITS, K, QUERY_STEP = 64, 10, 50
-BLOCK_QUERIES, SLICE = 1 << 16, 128
+BLOCK_QUERIES, SLICE, SHARD_ROWS = 1 << 16, 128, 1 << 20
 
 
 def sign_code(vector: Column, bits: int = BITS) -> Column:
@@ -127,16 +127,24 @@ class MultiIndex:
 
 
 def _search(queries: np.ndarray, k: int, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not sum(len(p[0]) for p in parts):
-            return
+    def shard(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         index = MultiIndex(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).view(np.uint64), bits)
         for at in range(0, len(queries), SLICE):
             some = queries[at : at + SLICE]
             q, row, distance = index.search(some, k)
             yield pa.RecordBatch.from_arrays([pa.array(some[q].view(np.int64)), pa.array(index.ids[row]), pa.array(distance)], ["query", "neighbour_id", "distance"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            held += batch.num_rows
+            if held >= SHARD_ROWS:
+                yield from shard(parts)
+                parts, held = [], 0
+        if held:
+            yield from shard(parts)
+
     return run
 
 

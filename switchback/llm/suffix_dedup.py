@@ -11,6 +11,7 @@ order of a 64-bit fingerprint of those bytes: equal ones are neighbours.
 3. The text of the other segments is dealt by key. In a task, segments come in
    batches; each batch gets a suffix array, which is merge-scanned against the existing levels
    for matches, and levels of like size merge geometrically, keeping one suffix of each match.
+   There are as many tasks as keep each at about ``TASK_WINDOWS`` windows.
    Keys of over ``HOT_SEGMENTS`` segments are dealt by window instead, as counted fingerprints.
 4. Matches are joined to the documents that hold candidates and cut out.
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from switchback.storage import discard, materialize, table
 
 LENGTH, GRAM, RUN = 200, 16, 1024
-BLOCK, BATCH_BYTES, HOT_SEGMENTS = 1 << 22, 1 << 21, 20_000
+BLOCK, BATCH_BYTES, HOT_SEGMENTS, TASK_WINDOWS = 1 << 22, 1 << 21, 20_000, 1 << 22
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _BASE = 0x9E3779B97F4A7C15 | 5
 _SHIFT = np.uint64(29)
@@ -281,7 +282,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with_found = held.where("found IS NOT NULL")
     whole = with_found.select("doc", "th", F.explode(F.filter("found", lambda c: ~c["mixed"])).alias("c")).select("doc", "th", "c.start", (F.col("c.start") + F.col("c.windows") + LENGTH - 1).cast("bigint").alias("end"))
     mixed = with_found.select("doc", "th", "text", F.filter("found", lambda c: c["mixed"]).alias("m")).where("size(m) > 0").mapInArrow(_bodies, "key bigint, doc bigint, th bigint, start bigint, body binary, hot boolean")
-    dealt = mixed.where("NOT hot").drop("hot").repartition("key").mapInArrow(_match, _SPANS)
+    cold = F.filter("found", lambda c: c["mixed"] & ~c["hot"])
+    load = with_found.agg(F.sum(F.aggregate(cold, F.lit(0).cast("bigint"), lambda n, c: n + c["windows"]))).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-load // TASK_WINDOWS))  # a task's levels stay in memory
+    dealt = mixed.where("NOT hot").drop("hot").repartition(tasks, "key").mapInArrow(_match, _SPANS)
     windows = mixed.where("hot").drop("hot").mapInArrow(_windows, "print bigint, doc bigint, th bigint, start bigint")
     repeated = windows.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
     hot = windows.join(repeated, "print").select("doc", "th", "start", (F.col("start") + LENGTH).alias("end"))
