@@ -126,7 +126,7 @@ class MultiIndex:
         return pairs[:, rank < k]
 
 
-def _search(queries: np.ndarray, k: int, bits: int):
+def _search(queries: np.ndarray, k: int, bits: int, shard_rows: int):
     def shard(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         index = MultiIndex(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).view(np.uint64), bits)
         for at in range(0, len(queries), SLICE):
@@ -139,7 +139,7 @@ def _search(queries: np.ndarray, k: int, bits: int):
         for batch in batches:
             parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
             held += batch.num_rows
-            if held >= SHARD_ROWS:
+            if held >= shard_rows:
                 yield from shard(parts)
                 parts, held = [], 0
         if held:
@@ -148,7 +148,7 @@ def _search(queries: np.ndarray, k: int, bits: int):
     return run
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``rows`` and ``queries``: (id, code). Returns (query_id, neighbour_id, distance, rank)."""
     held = materialize(smallest_ids(rows.select(F.col("id").cast("bigint").alias("id"), "code"), k).repartition("code"), "codes")
     asked = queries.select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct()
@@ -158,7 +158,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) ->
     found = []
     for b in range(blocks):
         some = codes.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).toPandas()["query"].to_numpy(np.int64).view(np.uint64)
-        found.append(held.mapInArrow(_search(some, k, bits), "query bigint, neighbour_id bigint, distance bigint"))
+        found.append(held.mapInArrow(_search(some, k, bits, shard_rows), "query bigint, neighbour_id bigint, distance bigint"))
     merged = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return asked.join(merged, "query").select("query_id", "neighbour_id", "distance", "rank")
 

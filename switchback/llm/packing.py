@@ -187,7 +187,7 @@ class _Packer:
         return pa.RecordBatch.from_arrays(arrays, names) if columns[0] else None
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", tiers=TIERS, end_id: int = END_ID, emit_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", tiers=TIERS, end_id: int = END_ID, emit_ids: bool = False, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """One row for each piece; with ``emit_ids`` also its token ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +196,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 packer.add(part.column(0).to_pylist(), part.column(1).to_pylist())
-                if packer.tokens >= CHUNK_TOKENS and (out := packer.flush(False)) is not None:
+                if packer.tokens >= chunk_tokens and (out := packer.flush(False)) is not None:
                     yield out
         if (out := packer.flush(True)) is not None:
             yield out

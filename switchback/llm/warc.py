@@ -75,7 +75,7 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
 class _Bundle:
     """One archive file; frames are closed at ``FRAME_BYTES``."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, frame_bytes: int = FRAME_BYTES):
         from pyarrow import fs
         from zstandard import ZstdCompressor
 
@@ -83,6 +83,7 @@ class _Bundle:
         self.system.create_dir(path, recursive=True)
         self.path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
         self.out = self.system.open_output_stream(f"{path}/{self.path.rpartition('/')[2]}", compression=None)
+        self.frame_bytes = frame_bytes
         self.compress = ZstdCompressor(level=3).compress
         self.frames: list[tuple[int, int]] = []
         self.buffer, self.waiting, self.rows, self.start = bytearray(), [], [], 0
@@ -90,7 +91,7 @@ class _Bundle:
     def add(self, record_id: str, page_id: int | None, raw: bytes) -> None:
         self.waiting.append((record_id, page_id, len(self.buffer), len(raw)))
         self.buffer += raw
-        if len(self.buffer) >= FRAME_BYTES:
+        if len(self.buffer) >= self.frame_bytes:
             self.end_frame()
 
     def end_frame(self) -> None:
@@ -115,17 +116,17 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(column, kinds[kind]) for column, (_, kind) in zip(zip(*rows, strict=True), names, strict=True)], [name for name, _ in names])
 
 
-def _write(folder: str):
+def _write(folder: str, frame_bytes: int, bundle_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = None
         for batch in batches:
             for page_id, uri, html, refers_to, is_response in zip(*[batch.column(k) for k in range(5)], strict=True):
-                bundle = bundle or _Bundle(folder)
+                bundle = bundle or _Bundle(folder, frame_bytes)
                 page, payload, first = page_id.as_py(), (html.as_py() or "").encode(), refers_to.as_py()
                 digest, kind = payload_digest(payload), "response" if is_response.as_py() else "revisit"
                 record_id = str(uuid.uuid4())
                 bundle.add(record_id, page, record(kind, record_id, uri.as_py(), page, payload, digest, "" if first is None else str(first)))
-                if bundle.start >= BUNDLE_BYTES:
+                if bundle.start >= bundle_bytes:
                     yield _batch(bundle.close(), INDEX)
                     bundle = None
         if bundle is not None:
@@ -146,9 +147,9 @@ def deduplicated(pages: DataFrame, id_col: str, url_col: str, html_col: str, min
     return hit.select("page_id", "url", "html", F.when(~response, F.col("first.page_id")).alias("refers_to"), response.alias("is_response"))
 
 
-def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
+def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Write all pages below ``folder`` and return the written index of records."""
-    return materialize(deduplicated(pages, id_col, url_col, html_col, min_bytes).mapInArrow(_write(folder), INDEX), "warc-index")
+    return materialize(deduplicated(pages, id_col, url_col, html_col, min_bytes).mapInArrow(_write(folder, frame_bytes, bundle_bytes), INDEX), "warc-index")
 
 
 def fetch(bundle: str, frame_start: int, frame_bytes: int, offset: int, length: int) -> tuple[dict[str, str], bytes]:

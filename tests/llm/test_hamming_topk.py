@@ -11,10 +11,10 @@ def brute(rows, queries, k):
     return sorted(out)
 
 
-def check(spark, rows, queries, k=5):
+def check(spark, rows, queries, k=5, **more):
     signed = lambda pairs: [(i, c - (1 << 64) if c >> 63 else c) for i, c in pairs]
     a, b = (spark.createDataFrame(signed(x), "id bigint, code bigint") for x in (rows, queries))
-    got = sorted((r["query_id"], r["neighbour_id"], r["distance"], r["rank"]) for r in K.top_k(a, b, k).collect())
+    got = sorted((r["query_id"], r["neighbour_id"], r["distance"], r["rank"]) for r in K.top_k(a, b, k, **more).collect())
     assert got == brute(rows, queries, k)
 
 
@@ -29,6 +29,7 @@ def test_against_brute_force(spark):
         rows.append((i, c))
     rows += [(1000 + i, base[0]) for i in range(40)] + [(5, rows[5][1])]  # ties, a hot code, a repeated row
     check(spark, rows, [rows[k] for k in range(0, 150, 25)] + [(9999, r.getrandbits(64))])
+    check(spark, rows, rows[:20], shard_rows=10)
 
 
 def test_fewer_rows_than_k_and_none(spark):

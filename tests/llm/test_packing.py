@@ -50,11 +50,10 @@ def test_pieces(spark, docs_of, prose):
     assert all(len(r["ids"]) == r["length"] for r in rows)
 
 
-def test_chunks(spark, docs_of, prose, monkeypatch):
-    monkeypatch.setattr(P, "CHUNK_TOKENS", 3000)
+def test_chunks(spark, docs_of, prose):
     texts = [prose(k, 40 + 7 * k) for k in range(80)]
     tokenizer = Tokenizer.from_file(PATH)
-    pieces_cover(P.pack_documents(docs_of(texts), PATH).collect(), {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for k, t in enumerate(texts)})
+    pieces_cover(P.pack_documents(docs_of(texts), PATH, chunk_tokens=3000).collect(), {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for k, t in enumerate(texts)})
 
 
 def test_repeated_null_and_no_rows(spark, docs_of):
