@@ -121,7 +121,7 @@ def j18(spark, sf):
 
 @query("o1_stable_row_order", f"WITH {SEG} SELECT ix, iy, id, row_number() OVER (PARTITION BY ix, iy ORDER BY id) AS row FROM seg")
 def o1(spark, sf):
-    return seg(spark, sf).select("ix", "iy", "id", F.row_number().over(W.partitionBy("ix", "iy").orderBy("id")).alias("row"))
+    return seg(spark, sf).select("ix", "iy", "id", F.row_number().over(W.partitionBy("ix", "iy").orderBy("id")).cast("bigint").alias("row"))
 
 
 @query("o7_vias_by_abscissa", f"WITH {PROF} SELECT g, CAST(list(s ORDER BY s) AS VARCHAR) AS at FROM prof WHERE z % 41 = 0 GROUP BY g")
@@ -250,7 +250,7 @@ def v5(spark, sf):
     return seg(spark, sf).agg(F.count_if(~F.expr("len div 34").between(0, 15)).alias("out_of_range"), F.count_if(~F.col("nature").isin(2, 9) & (F.col("flags") == 3) & (F.col("importance") == 6)).alias("off_path"))
 
 
-@query("k12_code_dimension", "SELECT kind, status, n FROM (VALUES ('error', 400, 15), ('error', 403, 1), ('error', 404, 1), ('error', 422, 5), ('error', 500, 3), ('error', 503, 2), ('error', 504, 1), ('warning', 500, 15)) t(kind, status, n)")
+@query("k12_code_dimension", "SELECT kind, status, CAST(n AS BIGINT) AS n FROM (VALUES ('error', 400, 15), ('error', 403, 1), ('error', 404, 1), ('error', 422, 5), ('error', 500, 3), ('error', 503, 2), ('error', 504, 1), ('warning', 500, 15)) t(kind, status, n)")
 def k12(spark, sf):
     from switchback.functions.messages import codes
 
@@ -267,7 +267,7 @@ def s20(spark, sf):
     made = e.groupBy("g").agg(F.to_json(F.struct(F.lit(1).alias("version"), F.min("u").alias("start"), F.array_sort(F.collect_list(F.struct("u", "v", "len", "w"))).alias("edges"))).alias("j"))
     read = made.select("g", F.from_json("j", _PROBLEM, {"mode": "FAILFAST"}).alias("p"))
     sound = F.forall("p.edges", lambda x: (x["u"] >= 0) & (x["v"] >= 0) & (x["len"] > 0) & (x["w"] >= 0)) & F.col("p.version").between(1, 2) & F.exists("p.edges", lambda x: (x["u"] == F.col("p.start")) | (x["v"] == F.col("p.start")))
-    return read.select("g", F.size("p.edges").alias("edges"), sound.alias("valid"))
+    return read.select("g", F.size("p.edges").cast("bigint").alias("edges"), sound.alias("valid"))
 
 
 _DENSE = f"{_SIDES}, dn AS (SELECT *, greatest(CAST(ceil(len / 40.0) AS BIGINT), 1) AS n FROM k), dp AS (SELECT id, side, j, ax + j / CAST(n AS DOUBLE) * (bx - ax) AS x, ay + j / CAST(n AS DOUBLE) * (b_y - ay) AS y FROM (SELECT *, unnest(range(0, n)) AS j FROM dn))"

@@ -138,7 +138,7 @@ def f20(spark, sf):
     return _requests(spark, sf).select("id", F.round(PL.radius_m(F.col("len")), 4).alias("radius"))
 
 
-@query("f21_length_bounds", f"WITH {_REQ} SELECT id, round(CASE mode WHEN 'max' THEN len * 0.95 WHEN 'target' THEN 0.7 * len ELSE 0 END, 4) AS low, round(CASE mode WHEN 'max' THEN len * 1.05 WHEN 'target' THEN 1.3 * len ELSE len END, 4) AS high FROM r")
+@query("f21_length_bounds", f"WITH {_REQ} SELECT id, round(CAST(CASE mode WHEN 'max' THEN len * 0.95 WHEN 'target' THEN 0.7 * len ELSE 0 END AS DOUBLE), 4) AS low, round(CAST(CASE mode WHEN 'max' THEN len * 1.05 WHEN 'target' THEN 1.3 * len ELSE len END AS DOUBLE), 4) AS high FROM r")
 def f21(spark, sf):
     b = PL.length_bounds(F.col("mode"), F.col("len"), F.lit(0.05))
     return _requests(spark, sf).select("id", F.round(b["low"], 4).alias("low"), F.round(b["high"], 4).alias("high"))

@@ -289,7 +289,7 @@ def j7(spark, sf):
 SELECT id, bid, rank FROM (SELECT id, bid, row_number() OVER (PARTITION BY id ORDER BY d2, bid) AS rank FROM n WHERE d2 < 160000) WHERE rank <= 6""")
 def j8(spark, sf):
     a, b = _points(spark, sf)
-    return S.nearest(a, b, 400, 6).select(F.col("aid").alias("id"), "bid", "rank")
+    return S.nearest(a, b, 400, 6).select(F.col("aid").alias("id"), "bid", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("j9_near_semi", f"WITH {SEG}, {_MAJOR} SELECT id FROM seg AS s WHERE EXISTS (SELECT 1 FROM m WHERE m.x1 BETWEEN s.x - 50 AND s.x + 50 AND m.y1 BETWEEN s.y - 50 AND s.y + 50 AND (s.x - m.x1) ** 2 + (s.y - m.y1) ** 2 <= 2500)")
@@ -302,7 +302,7 @@ def j9(spark, sf):
 def j10(spark, sf):
     levels = table(spark, sf, "orders").select(F.col("o_orderkey").alias("rel"), (F.length("o_orderpriority") % 3).alias("level"))
     members = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("rel"), F.col("l_partkey").alias("way"))
-    return members.join(levels, "rel").groupBy("way").agg(F.max("level").alias("level"))
+    return members.join(levels, "rel").groupBy("way").agg(F.max("level").cast("bigint").alias("level"))
 
 
 @query("j12_snap_to_start", f"WITH {SEG} SELECT ix, iy, arg_min(id, ((x - ix * 2000 - 1000) ** 2 + (y - iy * 2000 - 1000) ** 2) * 10000000 + id) AS id FROM seg GROUP BY ix, iy")
@@ -380,7 +380,7 @@ def o3(spark, sf):
 @query("o5_candidate_order", f"WITH {SEG}, r AS (SELECT ix, id, row_number() OVER (PARTITION BY ix ORDER BY w >= 400 DESC, len, id) AS rank FROM seg) SELECT ix, id, rank FROM r")
 def o5(spark, sf):
     order = W.partitionBy("ix").orderBy(F.desc(F.col("w") >= 400), "len", "id")
-    return seg(spark, sf).select("ix", "id", F.row_number().over(order).alias("rank"))
+    return seg(spark, sf).select("ix", "id", F.row_number().over(order).cast("bigint").alias("rank"))
 
 
 @query("o5_target_keeps_on_target", f"""WITH {SEG}, e AS (SELECT ix, id, abs(len - 300) / 300.0 + abs(w - 400) / 400.0 AS err, abs(len - 300) <= 30 AND abs(w - 400) <= 40 AS held FROM seg)
@@ -393,7 +393,7 @@ def o5_target(spark, sf):
 @query("o6_by_distance_to_start", f"WITH {SEG} SELECT ix, iy, row_number() OVER (ORDER BY min((x - 20000) ** 2 + (y - 20000) ** 2), ix, iy) AS rank FROM seg GROUP BY ix, iy")
 def o6(spark, sf):
     d = seg(spark, sf).groupBy("ix", "iy").agg(F.min((F.col("x") - 20000) ** 2 + (F.col("y") - 20000) ** 2).alias("d"))
-    return d.select("ix", "iy", F.row_number().over(W.orderBy("d", "ix", "iy")).alias("rank"))
+    return d.select("ix", "iy", F.row_number().over(W.orderBy("d", "ix", "iy")).cast("bigint").alias("rank"))
 
 
 @query("o10_angular_order", f"WITH {SEG} SELECT id, lead(id, 1, first) OVER (PARTITION BY ix, iy ORDER BY a, id) AS next FROM (SELECT id, ix, iy, a, first_value(id) OVER (PARTITION BY ix, iy ORDER BY a, id) AS first FROM (SELECT id, ix, iy, round(atan2(y1 - y, x1 - x), 9) AS a FROM seg))")
