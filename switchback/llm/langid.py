@@ -25,7 +25,7 @@ from switchback.llm.linear import logits, softmax, temperature, train
 from switchback.storage import table
 
 SIZES, BITS = (1, 2, 3), 15
-SAMPLE_PER_LABEL, SAMPLE_ROWS = 1500, 8000
+SAMPLE_PER_LABEL, SAMPLE_ROWS = 1000, 6000
 UNKNOWN = "und"
 
 

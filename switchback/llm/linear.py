@@ -21,7 +21,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, dims:
         return np.where(np.abs(z[at]) <= l1, 0.0, -(z[at] - np.sign(z[at]) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2))
 
     order = np.random.default_rng(0)
-    bound = [(np.append(index, dims), np.append(value, 1.0)) for index, value in rows]
+    bound = [(np.append(index, dims).astype(np.int32), np.append(value, 1.0).astype(np.float32)) for index, value in rows]
     for _ in range(epochs):
         for k in order.permutation(len(bound)):
             index, value = bound[k]
