@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from switchback.llm import langid, linear, maxent, toxicity
 from switchback.llm.features import char_ngrams, letters_and_spaces, word_features
@@ -129,6 +130,16 @@ def test_language_model_sums_to_one(spark, docs_of):
     assert np.allclose(share, 1) and np.allclose(p.sum(axis=1), 1)
 
 
+def test_language_model_steps_move_all_families():
+    texts = [" ".join(f"w{k}" for k in range(40))]
+    start = np.zeros((maxent.ROWS, maxent.CLASSES), np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    (out,) = maxent._update(start, np.zeros(maxent.CLASSES, np.float32))([batch])
+    moved = np.frombuffer(b"".join(out.column(1).to_pylist()), np.float32).reshape(-1, maxent.CLASSES).any(axis=1)
+    rows = maxent._features(*maxent.read_tokens(texts))
+    assert all(moved[rows[:, family]].all() for family in range(4))
+
+
 def test_language_model_without_rows(spark, docs_of):
     docs = docs_of(["a b"])
     model, counts = maxent.fit(docs.limit(0))
