@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
 Voters: stated word lists, patterns, and lexicons and prefix patterns mined
-from the labelled rows one may learn from (over all of them). A generative label
+from the labelled rows one may learn from (over all of them, alike texts once; every hashed
+feature that passes the thresholds is kept). A generative label
 model is fitted by expectation maximisation on the counts of vote patterns of all those rows:
 each voter has an accuracy per class, a known label is a further voter, and a voter's
 evidence is divided by one plus its correlations with the others within the classes. A linear
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 from switchback.llm.features import letters_and_spaces, word_features
 from switchback.llm.langid import fold
 from switchback.llm.linear import logits, softmax, temperature, train
-from switchback.storage import table
+from switchback.storage import materialize, table
 
 PREFIXES, BITS = (3, 4, 5), 18
-LEAST_ROWS, LEAST_LOG_ODDS, MOST_FEATURES = 5, 2.5, 8192
+LEAST_ROWS, LEAST_LOG_ODDS = 5, 2.5
 STRIPES = 3
 SAMPLE_ROWS = 4000
 THRESHOLD = 0.7
@@ -45,6 +46,7 @@ LISTS = {
 _SHOUT = re.compile(r"\b[A-Z]{4,}\b(?:\W+\b[A-Z]{4,}\b){2,}")
 _MARKS = re.compile(r"[!?]{3,}")
 GOLD = "gold"
+ALL = -1
 
 
 def _buckets(text: str | None) -> np.ndarray:
@@ -52,12 +54,15 @@ def _buckets(text: str | None) -> np.ndarray:
 
 
 def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros((2, (len(PREFIXES) + 1) << BITS), np.int64)
+    """Texts of either label that hold a bucket; those of all under ``ALL``."""
+    seen, texts = np.zeros((2, (len(PREFIXES) + 1) << BITS), np.int64), [0, 0]
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
             seen[int(toxic.as_py())][_buckets(text.as_py())] += 1
+            texts[int(toxic.as_py())] += 1
     index = np.flatnonzero(seen.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(index.astype(np.int32)), pa.array(seen[1][index]), pa.array(seen[0][index])], ["bucket", "toxic", "clean"])
+    columns = [np.append(index, ALL).astype(np.int32), np.append(seen[1][index], texts[1]), np.append(seen[0][index], texts[0])]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "toxic", "clean"])
 
 
 class Voters:
@@ -148,14 +153,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     told = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("gold"))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
     # labels grow with the corpus, so neither join may broadcast them
-    known = rows.join(told.hint("merge"), "__id").select("text", "gold").where("gold IN (0, 1)")
-    total = {r["gold"]: r["n"] for r in told.groupBy("gold").agg(F.count("*").alias("n")).collect()}
-    odds = F.log((F.col("toxic") + 0.5) / F.lit(total.get(1, 0) + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(total.get(0, 0) + 1.0))
+    known = rows.join(told.hint("merge"), "__id").where("gold IN (0, 1)").groupBy("text").agg(F.max("gold").alias("gold"))  # copies count once
+    seen = materialize(known.mapInArrow(_mine, "bucket int, toxic bigint, clean bigint").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "mined")
+    total = seen.where(F.col("bucket") == ALL).first() or {"toxic": 0, "clean": 0}
+    odds = F.log((F.col("toxic") + 0.5) / F.lit(total["toxic"] + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(total["clean"] + 1.0))
     mined = (
-        known.mapInArrow(_mine, "bucket int, toxic bigint, clean bigint").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where(F.col("toxic") >= LEAST_ROWS).withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS)
-        .orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "bucket").limit(MOST_FEATURES).toPandas()
-    )
+        seen.where((F.col("bucket") != ALL) & (F.col("toxic") >= LEAST_ROWS)).withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS)
+        .orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "bucket").toPandas()
+    )  # fmt: skip  # at most as many rows as there are buckets
     voters = Voters(mined)
     size = len(voters.names)
 

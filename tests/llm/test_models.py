@@ -88,6 +88,17 @@ def test_toxicity(spark, docs_of, prose):
     assert all(r["score"] < 0.5 for r in got if r["doc_id"] in (900, 901, 902))
 
 
+def test_mined_features_count_texts_and_have_no_cap(spark, docs_of, prose):
+    many = [" ".join(f"bad{''.join(chr(97 + int(c)) for c in str(10000 + k))}" for k in range(9000)) + " " + prose(n, 20) for n in range(5)]
+    rows = [*many, *["copied once"] * 6, *[prose(100 + k, 20) for k in range(60)]]
+    docs = docs_of(rows)
+    labels = spark.createDataFrame([(k, int(k < 11)) for k in range(len(rows))], "doc_id bigint, toxic int")
+    groups = toxicity.fit(docs, labels).voters.groups
+    bucket = lambda word: word_features(letters_and_spaces(word), (), toxicity.BITS)
+    assert (groups[: 1 << toxicity.BITS] >= 0).sum() > 8192
+    assert groups[bucket("copied")][0] < 0
+
+
 def test_toxicity_without_labels_or_rows(spark, docs_of):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     docs = docs_of([(1, "a plain text"), (2, "such an idiot, such trash, stupid moron")])
