@@ -1,23 +1,24 @@
 """Removal of repeated long substrings with a logarithmic family of suffix arrays.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it starts anywhere else too.
-Only the first ``LENGTH`` bytes of a suffix matter, so a suffix array here lists suffixes in the
-order of a 64-bit fingerprint of those bytes: equal ones are neighbours.
 
 1. Every window of ``LENGTH`` bytes has a key, the least hash of its k-grams; equal windows have
-   equal keys. A run of windows with one key is a segment (about 1 % as many as bytes).
-2. Keys of one segment only cannot repeat; where all segments of a key are alike, whole
-   segments repeat. Counts are pre-aggregated, and only candidates go on.
-3. The text of the other segments is dealt by key. In a task, segments come in
-   batches; each batch gets a suffix array, which is merge-scanned against the existing levels
-   for matches, and levels of like size merge geometrically, keeping one suffix of each match.
-   There are as many tasks as keep each at about ``TASK_WINDOWS`` windows.
-   Keys of over ``HOT_SEGMENTS`` segments are dealt by window instead, as counted fingerprints.
-4. Matches are joined to the documents that hold candidates and cut out.
+   equal keys. A run of windows with one key is a segment (about 1 % as many as bytes). Keys of one
+   segment only cannot repeat; the text of all other segments is dealt by key. Hashes
+   decide only where text goes; whether strings are equal is decided on their bytes.
+2. In a task, segments come in batches. Each batch gets a suffix array (of suffixes cut at
+   ``LENGTH`` bytes) by prefix doubling; it is merge-scanned against the existing levels for
+   matches, and levels of like size merge geometrically, keeping one suffix of each match.
+   Keys come in order, so a family ends between two keys once it holds ``FAMILY_WINDOWS``.
+3. Equal segments are combined in the task that reads them, before the shuffle. A key of over ``HOT_SEGMENTS``
+   segments is split further by content: by the place of its least k-gram in the window, and where
+   that is not enough also by a hash of the window; equal windows stay together.
+4. Matches are joined to the documents that hold their segments and cut out.
 
 Defined results: a null text is empty; a text under ``LENGTH`` bytes keeps all; repeated
-rows are copies of each other, each with its own result; matches never cross documents; an
-empty table gives no rows; other columns are ignored.
+rows are copies of each other, each with its own result; matches never cross documents; a very long
+text is read in blocks of ``BLOCK`` bytes that overlap, with the same result; of equal strings (ties) none
+is spared, as every one starts elsewhere too; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,200 +28,327 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from switchback.llm.skew import join_by_key
 from switchback.storage import discard, materialize, table
 
 LENGTH, GRAM, RUN = 200, 16, 1024
-BLOCK, BATCH_BYTES, HOT_SEGMENTS, TASK_WINDOWS = 1 << 22, 1 << 21, 20_000, 1 << 22
+BLOCK, COMBINE_BYTES, HOT_SEGMENTS = 1 << 17, 1 << 25, 8192
+BATCH_WINDOWS, FAMILY_WINDOWS, TASK_WINDOWS = 1 << 17, 1 << 20, 1 << 24
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_BASE = 0x9E3779B97F4A7C15 | 5
-_SHIFT = np.uint64(29)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _SHIFT)) * _M[3]
+    h = (h ^ (h >> np.uint64(29))) * _M[3]
     return h ^ (h >> np.uint64(32))
 
 
+def gram_hashes(data: bytes) -> np.ndarray:
+    n = len(data)
+    words = np.ndarray((n - 7,), "<u8", data, strides=(1,))
+    return _mix(words[: n - 15] * _M[0] ^ (words[8:] + _M[2]) * _M[1])
+
+
 def window_keys(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """The key of each window of ``data`` (at least ``length`` bytes), and the hash of each k-gram."""
-    n, width = len(data), length - GRAM + 1
-    words = np.ndarray((n - 7,), "<u8", data, strides=(1,))
-    h = _mix(words[: n - 15] * _M[0] ^ (words[8:] + _M[2]) * _M[1])
+    width, h = length - GRAM + 1, gram_hashes(data)
     rows = -(-len(h) // width)
     padded = np.full(rows * width, np.iinfo(np.uint64).max, np.uint64)
     padded[: len(h)] = h
     blocks = padded.reshape(rows, width)
     before = np.minimum.accumulate(blocks, axis=1).ravel()
     after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    windows = n - length + 1
+    windows = len(data) - length + 1
     return np.minimum(after[:windows], before[width - 1 : width - 1 + windows]), h
 
 
-def segments(data: bytes, length: int = LENGTH) -> Iterator[tuple[int, int, int, int, int]]:
-    """(key, digest, start, windows, repeats) of each segment. ``repeats`` is 1 if windows within
-    the segment may be equal to each other: its least k-gram occurs twice."""
-    from xxhash import xxh3_64_intdigest
-
-    for base in range(0, len(data) - length + 1, BLOCK):
-        block = data[base : base + BLOCK + length - 1]
-        keys, h = window_keys(block, length)
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        bounds = [0, *cuts.tolist(), len(keys)]
-        for a, b, key in zip(bounds[:-1], bounds[1:], keys[bounds[:-1]].tolist(), strict=True):
-            for start in range(a, b, RUN):
-                stop = min(b, start + RUN)
-                text = block[start : stop + length - 1]
-                least = np.count_nonzero(h[start : stop + length - GRAM] == np.uint64(key))
-                yield key, xxh3_64_intdigest(text), base + start, stop - start, int(least > 1)
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count."""
+    return np.arange(int(counts.sum())) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+
+
+def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(text, key, start, windows, repeats) of the segments of all ``texts``. ``repeats`` is
+    true if windows within the segment may be equal to each other: its least k-gram occurs twice."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(sizes)
+    data = b"".join(texts)
+    if len(data) < length:
+        return tuple(np.empty(0, kind) for kind in (np.int64, np.uint64, np.int64, np.int64, bool))
+    keys, h = window_keys(data, length)
+    counts = np.maximum(sizes - length + 1, 0)
+    firsts = ends - sizes
+    at = _ranges(firsts, counts)  # windows inside one text
+    key = keys[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1)
+    new[(np.cumsum(counts) - counts)[counts > 0]] = True
+    first = np.flatnonzero(new)
+    long = np.diff(np.append(first, len(at)))
+    parts = -(-long // RUN)
+    first = _ranges(np.zeros(len(parts), np.int64), parts) * RUN + np.repeat(first, parts)
+    windows = np.diff(np.append(first, len(at)))
+    start, key = at[first], key[first]
+    spread = windows + length - GRAM
+    equal = h[_ranges(start, spread)] == np.repeat(key, spread)
+    repeats = np.add.reduceat(equal, np.cumsum(spread) - spread, dtype=np.int64) > 1 if len(first) else np.empty(0, bool)
+    text = np.searchsorted(ends, start, side="right")
+    return text, key, start - firsts[text], windows, repeats
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """(uid, offset, text) of texts or blocks of them, about ``BLOCK`` bytes at a time."""
+    uids, offsets, texts, held = [], [], [], 0
+    for batch in batches:
+        for uid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            raw = text.as_py().encode()
+            for base in range(0, len(raw) - LENGTH + 1, BLOCK):
+                uids.append(uid)
+                offsets.append(base)
+                texts.append(raw[base : base + BLOCK + LENGTH - 1])
+                held += len(texts[-1])
+                if held >= BLOCK:
+                    yield uids, offsets, texts
+                    uids, offsets, texts, held = [], [], [], 0
+    if texts:
+        yield uids, offsets, texts
 
 
 def _emit_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for uids, offsets, texts in _blocks(batches):
+        text, key, start, windows, repeats = segments(texts)
+        arrays = [np.array(uids, np.int64)[text], key.view(np.int64), start + np.array(offsets, np.int64)[text], windows.astype(np.int32), repeats]
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["uid", "key", "start", "windows", "repeats"])
+
+
+def pieces(body: bytes, key: int, parts: int) -> Iterator[tuple[int, int, bytes]]:
+    """(part, start, text) of a segment of a hot key, whose windows go to different parts."""
+    h = gram_hashes(body)
+    windows = len(body) - LENGTH + 1
+    least = np.flatnonzero(h == np.uint64(key % (1 << 64)))
+    place = least[np.searchsorted(least, np.arange(windows))] - np.arange(windows)
+    width = LENGTH - GRAM + 1
+    part = place // -(-width // min(parts, width))
+    if parts > width:
+        hashes = np.array([int.from_bytes(hashlib.blake2b(body[t : t + LENGTH], digest_size=8).digest(), "little") for t in range(windows)], np.uint64)
+        part = part + width * (hashes % np.uint64(-(-parts // width))).astype(np.int64)
+    bounds = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist()
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        yield int(part[a]), a, body[a : b + LENGTH - 1]
+
+
+def _held_pieces(text: pa.Scalar, found: pa.Scalar) -> Iterator[tuple[int, int, int, bytes]]:
+    raw = text.as_py().encode()
+    for c in found.as_py():
+        key, start, parts = c["key"], c["start"], c["parts"]
+        body = raw[start : start + c["windows"] + LENGTH - 1]
+        if parts == 1:
+            yield key, 0, start, body
+        else:
+            for part, at, piece in pieces(body, key, parts):
+                yield key, part, start + at, piece
+
+
+def digest(body: bytes) -> bytes:
+    return hashlib.blake2b(body, digest_size=16).digest()
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, found) → (key, part, body, n); equal pieces of this task are combined."""
+
+    def out():
+        columns = list(zip(*held, strict=True))
+        kinds = [pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], pa.array(list(held.values()), pa.int64())], ["key", "part", "body", "n"])
+
+    held, size = {}, 0
+    for batch in batches:
+        for text, found in zip(*batch.columns, strict=True):
+            for key, part, _, body in _held_pieces(text, found):
+                row = key, part, body
+                if row in held:
+                    held[row] += 1
+                else:
+                    held[row], size = 1, size + len(body) + 200
+            if size > COMBINE_BYTES:
+                yield out()
+                held, size = {}, 0
+    if held:
+        yield out()
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, text, found) → (uid, start, digest) of all pieces."""
+    kinds = [pa.int64(), pa.int64(), pa.binary()]
     for batch in batches:
-        out: list[list] = [[] for _ in range(7)]
-        for doc, th, text in zip(*batch.columns, strict=True):
-            raw = (text.as_py() or "").encode()
-            if len(raw) < LENGTH:
-                continue
-            d, t = doc.as_py(), th.as_py()
-            for row in segments(raw):
-                for column, value in zip(out, (*row, d, t), strict=True):
+        out: list[list] = [[], [], []]
+        for uid, text, found in zip(*batch.columns, strict=True):
+            for key, part, start, body in _held_pieces(text, found):
+                for column, value in zip(out, (uid.as_py(), start, name_of(key, part, body)), strict=True):
                     column.append(value)
-        kinds = [pa.uint64(), pa.uint64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([arrays[0].view(pa.int64()), arrays[1].view(pa.int64()), *arrays[2:]], ["key", "digest", "start", "windows", "repeats", "doc", "th"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["uid", "start", "name"])
 
 
-class Fingerprints:
-    """64-bit fingerprints of all windows of concatenated texts."""
+def name_of(key: int, part: int, body: bytes) -> bytes:
+    """What a piece is joined by: its key and part, and a digest that ``_match`` has seen
+    to be of one text only."""
+    return key.to_bytes(8, "little", signed=True) + part.to_bytes(8, "little") + digest(body)
 
-    def __init__(self, length: int = LENGTH):
-        self.length = length
-        self.powers = self.inverses = np.ones(1, np.uint64)
 
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            base, inverse = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
-            self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base)]), dtype=np.uint64)
-            self.inverses = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, inverse)]), dtype=np.uint64)
+class SuffixArray:
+    """The sorted suffixes of some texts, cut at ``length`` bytes, one of each.
 
-    def of(self, texts: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Fingerprints of all windows of each text, and how many each has."""
+    ``tables[j]`` lists the distinct strings of ``orders[j]`` bytes in their order: at
+    first as numbers, then as pairs of ranks in the table before. The last one is the suffix array, and
+    ``rows`` has a window of each of its strings. Ranks are equal only for equal bytes.
+    """
+
+    def __init__(self, tables: list[np.ndarray], rows: np.ndarray):
+        self.tables, self.rows = tables, rows
+
+    @classmethod
+    def build(cls, texts: list[bytes], base: int = 0, length: int = LENGTH) -> tuple[SuffixArray, np.ndarray]:
+        """The array, and the rank of each window; windows are numbered from ``base``."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        self._grow(len(data) + 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)], dtype=np.uint64)])
-        counts = sizes - self.length + 1
-        first = np.cumsum(sizes) - sizes
-        at = np.arange(int(counts.sum())) + np.repeat(first - (np.cumsum(counts) - counts), counts)
-        h = (sums[at + self.length] - sums[at]) * self.inverses[at]
-        return _mix(h ^ np.repeat(keys, counts) * _M[1]), counts
+        data = b"".join([*texts, bytes(8)])
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(int(sizes.sum()))
+        ranks, tables, order = np.zeros(len(left), np.uint64), [], 0
+        while order < length:
+            step = min(8 if not order else 2 * order, length)
+            at = np.flatnonzero(left >= step)
+            if order:
+                some = ranks[at] << np.uint64(32) | ranks[at + (step - order)]
+            else:
+                some = np.ndarray((len(left),), ">u8", data, strides=(1,))[at].astype(np.uint64)
+            found, rank = np.unique(some, return_inverse=True)
+            tables.append(found)
+            ranks[at] = rank
+            order = step
+        rows = np.empty(len(tables[-1]), np.int64)
+        rows[rank[::-1]] = np.arange(base, base + len(rank))[::-1]
+        return cls(tables, rows), rank
+
+    def find(self, other: SuffixArray) -> np.ndarray:
+        """A merge scan: the place in this array of each suffix of ``other``, or -1."""
+        place = np.empty(0, np.int64)
+        for j, (mine, theirs) in enumerate(zip(self.tables, other.tables, strict=True)):
+            known, wanted = np.arange(len(theirs)), theirs
+            if j:
+                high, low = place[theirs >> np.uint64(32)], place[theirs & _LOW]
+                known = np.flatnonzero((high >= 0) & (low >= 0))
+                wanted = high[known].astype(np.uint64) << np.uint64(32) | low[known].astype(np.uint64)
+            at = np.minimum(np.searchsorted(mine, wanted), len(mine) - 1)
+            hit = mine[at] == wanted
+            place = np.full(len(theirs), -1)
+            place[known[hit]] = at[hit]
+        return place
+
+    def merged(self, other: SuffixArray) -> SuffixArray:
+        """Both arrays in one; of a suffix in both, the row of this one."""
+        tables, maps = [], None
+        for pair in zip(self.tables, other.tables, strict=True):
+            if maps is not None:  # ranks in the merged table before, in the same order
+                pair = [m[t >> np.uint64(32)] << np.uint64(32) | m[t & _LOW] for m, t in zip(maps, pair, strict=True)]
+            both = np.sort(np.concatenate(pair), kind="stable")  # two sorted runs: one linear merge
+            both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+            maps = [np.searchsorted(both, t).astype(np.uint64) for t in pair]
+            tables.append(both)
+        rows = np.empty(len(tables[-1]), np.int64)
+        rows[maps[1]] = other.rows
+        rows[maps[0]] = self.rows
+        return SuffixArray(tables, rows)
+
+    def __len__(self) -> int:
+        return len(self.rows)
 
 
 class LevelFamily:
-    """Sorted levels of fingerprints, each with one row per fingerprint; a level is at
-    least twice as long as the next. ``matched[row]`` tells whether the row has an equal."""
+    """Levels of suffix arrays; a level is at least twice as long as the next.
+    ``matched[row]`` tells whether the window has an equal."""
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.levels: list[SuffixArray] = []
         self.matched = np.zeros(0, bool)
+        self.scans = self.merges = 0
 
-    def add(self, prints: np.ndarray) -> None:
+    def add(self, texts: list[bytes]) -> None:
         base = len(self.matched)
-        self.matched = np.concatenate([self.matched, np.zeros(len(prints), bool)])
-        order = np.argsort(prints, kind="stable")
-        new = self._settle(prints[order], order + base)
-        for old, rows in self.levels:  # merge scan
-            at = np.minimum(np.searchsorted(old, new[0]), len(old) - 1)
-            hit = old[at] == new[0]
-            self.matched[rows[at[hit]]] = True
-            self.matched[new[1][hit]] = True
-            new = new[0][~hit], new[1][~hit]
-        while self.levels and len(self.levels[-1][0]) < 2 * len(new[0]):
-            old = self.levels.pop()
-            both = np.concatenate([old[0], new[0]]), np.concatenate([old[1], new[1]])
-            order = np.argsort(both[0], kind="stable")  # two sorted runs: one linear merge
-            new = both[0][order], both[1][order]
-        if len(new[0]):
-            self.levels.append(new)
-
-    def _settle(self, prints: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Marks equal neighbours and keeps the first of each."""
-        same = prints[1:] == prints[:-1]
-        self.matched[rows[1:][same]] = True
-        self.matched[rows[:-1][same]] = True
-        keep = np.concatenate([[True], ~same])[: len(prints)]
-        return prints[keep], rows[keep]
-
-
-def _runs(flags: np.ndarray, counts: np.ndarray, starts: np.ndarray, length: int):
-    """Byte spans (segment, start, end) of the flagged windows of each segment."""
-    edge = np.cumsum(counts)
+        new, rank = SuffixArray.build(texts, base)
+        twice = np.bincount(rank, minlength=len(new)) > 1
+        for level in self.levels:
+            place = level.find(new)
+            twice |= place >= 0
+            self.matched[level.rows[place[place >= 0]]] = True
+            self.scans += 1
+        self.matched = np.concatenate([self.matched, twice[rank]])
+        while self.levels and len(self.levels[-1]) < 2 * len(new):
+            new = self.levels.pop().merged(new)
+            self.merges += 1
+        self.levels.append(new)
+
+
+def _runs(flags: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte spans (text, start, end) of the flagged windows of each text."""
     owner = np.repeat(np.arange(len(counts)), counts)
     on = np.flatnonzero(flags)
     if not len(on):
-        return owner[:0], on, on
+        return on, on, on
     first = np.concatenate([[True], (on[1:] != on[:-1] + 1) | (owner[on[1:]] != owner[on[:-1]])])
-    last = np.concatenate([first[1:], [True]])
-    a, b, own = on[first], on[last], owner[on[first]]
-    shift = starts[own] - (edge - counts)[own]
-    return own, a + shift, b + shift + length
-
-
-_SPANS = "doc bigint, th bigint, start bigint, end bigint"
+    a, b, own = on[first], on[np.concatenate([first[1:], [True]])], owner[on[first]]
+    shift = (np.cumsum(counts) - counts)[own]
+    return own, a - shift, b - shift + LENGTH
 
 
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, doc, th, start, body) of whole keys → spans of repeated bytes."""
-    family, prints = LevelFamily(), Fingerprints()
-    docs, hashes, starts, counts = [], [], [], []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        bodies = batch.column(4)
-        sizes = np.cumsum(np.asarray(pc.binary_length(bodies).to_numpy(zero_copy_only=False), np.int64))
-        cuts = np.searchsorted(sizes, np.arange(BATCH_BYTES, int(sizes[-1]) + BATCH_BYTES, BATCH_BYTES), side="right")
-        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=False):
-            if a < b:
-                found, n = prints.of(bodies[a:b].to_pylist(), batch.column(0)[a:b].to_numpy().view(np.uint64))
-                family.add(found)
-                counts.append(n)
-        docs.append(batch.column(1))
-        hashes.append(batch.column(2))
-        starts.append(batch.column(3).to_numpy())
-    if counts:
-        own, start, end = _runs(family.matched, np.concatenate(counts), np.concatenate(starts), LENGTH)
-        pick = pa.array(own)
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays(docs).take(pick), pa.concat_arrays(hashes).take(pick), pa.array(start), pa.array(end)], ["doc", "th", "start", "end"])
-
+class _Task:
+    """Distinct pieces of a run of keys, in batches for one family."""
 
-def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their candidates → the text of each mixed segment."""
-    for batch in batches:
-        out: list[list] = [[] for _ in range(6)]
-        for doc, th, text, found in zip(*batch.columns, strict=True):
-            raw, d, t = text.as_py().encode(), doc.as_py(), th.as_py()
-            for c in found.as_py():
-                for column, value in zip(out, (c["key"], d, t, c["start"], raw[c["start"] : c["start"] + c["windows"] + LENGTH - 1], c["hot"]), strict=True):
-                    column.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["key", "doc", "th", "start", "body", "hot"])
+    def __init__(self):
+        self.family, self.names, self.bodies, self.n, self.waiting, self.windows = LevelFamily(), {}, [], [], 0, 0
+
+    def add(self, key: int, part: int, body: bytes, n: int) -> None:
+        at = self.names.setdefault(name_of(key, part, body), len(self.bodies))
+        if at < len(self.bodies):
+            if self.bodies[at] != body:
+                raise ValueError("two pieces of text have one digest")
+            self.n[at] += n
+            return
+        self.bodies.append(body)
+        self.n.append(n)
+        self.windows += len(body) - LENGTH + 1
+        if self.windows - len(self.family.matched) >= BATCH_WINDOWS:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.waiting < len(self.bodies):
+            self.family.add(self.bodies[self.waiting :])
+            self.waiting = len(self.bodies)
+
+    def end(self) -> pa.RecordBatch:
+        self.flush()
+        n = np.array(self.n, np.int64)
+        counts = np.fromiter(map(len, self.bodies), np.int64, len(self.bodies)) - LENGTH + 1
+        own, start, end = _runs(self.family.matched | np.repeat(n > 1, counts), counts)
+        some, first = np.unique(own, return_index=True)
+        spans = pa.ListArray.from_arrays(pa.array(np.append(first, len(own)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"]))
+        names = list(self.names)
+        return pa.RecordBatch.from_arrays([pa.array([names[k] for k in some.tolist()], pa.binary()), pa.array(n[some]), spans], ["name", "n", "spans"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of hot keys → a row for each window: (print, doc, th, start)."""
-    prints = Fingerprints()
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, part, body, n) in the order of keys → spans of repeated bytes in each body."""
+    task, last = _Task(), None
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            found, n = prints.of(part.column(4).to_pylist(), part.column(0).to_numpy().view(np.uint64))
-            own = np.repeat(np.arange(part.num_rows), n)
-            start = part.column(3).to_numpy()[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-            pick = pa.array(own)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), part.column(1).take(pick), part.column(2).take(pick), pa.array(start)], ["print", "doc", "th", "start"])
+        for key, part, body, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if task.windows >= FAMILY_WINDOWS and last != (key, part):
+                yield task.end()
+                task = _Task()
+            task.add(key, part, body, n)
+            last = key, part
+    if task.bodies:
+        yield task.end()
 
 
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -266,31 +394,28 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row for each row of ``docs``: what is removed of its text. With ``emit_kept`` also the
     remaining bytes and the removed runs (null where nothing can repeat)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
-    found = materialize(rows.mapInArrow(_emit_segments, "key bigint, digest bigint, start bigint, windows int, repeats int, doc bigint, th bigint"), "segments")
-    keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"), F.max("repeats").alias("repeats")).where("n > 1 OR repeats > 0")
-    keys = keys.select("key", ((F.col("low") != F.col("high")) | (F.col("repeats") > 0)).alias("mixed"), (F.col("n") > HOT_SEGMENTS).alias("hot"))
-    candidates = found.join(keys, "key")
-    by_doc = candidates.groupBy("doc", "th").agg(F.collect_set(F.struct("key", "start", "windows", "mixed", "hot")).alias("found")).select(F.struct("doc", "th").alias("__key"), "found")
-    joined = rows.join(by_doc, F.struct("doc", "th").eqNullSafe(F.col("__key")), "left")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("bigint").alias("doc"), text.alias("text")), "texts")
+    found = materialize(rows.where(F.octet_length("text") >= LENGTH).select("uid", "text").mapInArrow(_emit_segments, "uid bigint, key bigint, start bigint, windows int, repeats boolean"), "segments")
+    keys = found.groupBy("key").agg(F.count("*").alias("n"), F.max("repeats").alias("repeats")).where("n > 1 OR repeats")
+    keys = keys.select("key", F.ceil(F.col("n") / F.lit(HOT_SEGMENTS)).cast("int").alias("parts"))
+    by_doc = found.join(keys, "key").groupBy("uid").agg(F.collect_list(F.struct("key", "start", "windows", "parts")).alias("found"))
     some = F.col("found").isNotNull()
     held = materialize(
-        joined.select("doc", "th", F.octet_length("text").cast("bigint").alias("n_bytes"), F.when(~some, F.sha2(F.encode("text", "utf-8"), 256)).alias("sha"), F.when(some, F.col("text")).alias("text"), "found"), "held"
+        rows.join(by_doc, "uid", "left").select("uid", "doc", F.octet_length("text").cast("bigint").alias("n_bytes"), F.when(~some, F.sha2(F.encode("text", "utf-8"), 256)).alias("sha"), F.when(some, F.col("text")).alias("text"), "found"),
+        "held",
     )
     discard(found)
+    discard(rows)
 
     with_found = held.where("found IS NOT NULL")
-    whole = with_found.select("doc", "th", F.explode(F.filter("found", lambda c: ~c["mixed"])).alias("c")).select("doc", "th", "c.start", (F.col("c.start") + F.col("c.windows") + LENGTH - 1).cast("bigint").alias("end"))
-    mixed = with_found.select("doc", "th", "text", F.filter("found", lambda c: c["mixed"]).alias("m")).where("size(m) > 0").mapInArrow(_bodies, "key bigint, doc bigint, th bigint, start bigint, body binary, hot boolean")
-    cold = F.filter("found", lambda c: c["mixed"] & ~c["hot"])
-    load = with_found.agg(F.sum(F.aggregate(cold, F.lit(0).cast("bigint"), lambda n, c: n + c["windows"]))).first()[0] or 0
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-load // TASK_WINDOWS))  # a task's levels stay in memory
-    dealt = mixed.where("NOT hot").drop("hot").repartition(tasks, "key").mapInArrow(_match, _SPANS)
-    windows = mixed.where("hot").drop("hot").mapInArrow(_windows, "print bigint, doc bigint, th bigint, start bigint")
-    repeated = windows.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    hot = windows.join(repeated, "print").select("doc", "th", "start", (F.col("start") + LENGTH).alias("end"))
-    spans = whole.union(dealt).union(hot).groupBy("doc", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans")).select(F.struct("doc", "th").alias("__key"), "spans")
-    final = held.join(spans, F.struct("doc", "th").eqNullSafe(F.col("__key")), "left").select("doc", "n_bytes", "sha", "text", "spans")
+    load = with_found.agg(F.sum(F.aggregate("found", F.lit(0).cast("bigint"), lambda n, c: n + c["windows"]))).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-load // TASK_WINDOWS))
+    bodies = with_found.select("text", "found").mapInArrow(_bodies, "key bigint, part bigint, body binary, n bigint")
+    matches = materialize(bodies.repartition(tasks, "key", "part").sortWithinPartitions("key", "part").mapInArrow(_match, "name binary, n bigint, spans array<struct<start:bigint,end:bigint>>"), "matches")
+    places = with_found.select("uid", "text", "found").mapInArrow(_places, "uid bigint, start bigint, name binary")
+    hits = join_by_key(places, matches, "name", "n").select("uid", F.transform("spans", lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["end"] + F.col("start")).alias("end"))).alias("spans"))
+    spans = hits.groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    final = held.join(spans, "uid", "left").select("doc", "n_bytes", "sha", "text", "spans")
     return final.mapInArrow(_finish(emit_kept), _RESULT + (", kept binary, runs array<struct<start:bigint,end:bigint>>" if emit_kept else ""))
 
 
@@ -299,5 +424,22 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+#: Every window as hexadecimal text, cut from blocks of 2,000 bytes; meant for small tables.
+_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+b AS (SELECT doc_id, h, n, unnest(range(0, greatest(n - {LENGTH - 1}, 0), 2000)) AS base FROM d),
+c AS (SELECT doc_id, base, substr(h, CAST(2 * base + 1 AS BIGINT), {2 * (2000 + LENGTH - 1)}) AS part FROM b),
+w AS MATERIALIZED (SELECT doc_id, base + i AS p, md5_number(substr(part, CAST(2 * i + 1 AS BIGINT), {2 * LENGTH})) AS v
+FROM (SELECT doc_id, base, part, unnest(range(0, least(2000, length(part) // 2 - {LENGTH - 1}))) AS i FROM c)),
+m AS (SELECT v FROM w GROUP BY v HAVING count(*) > 1),
+s AS (SELECT doc_id, p, p + {LENGTH} AS e, lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {LENGTH} AS before FROM w SEMI JOIN m USING (v)),
+g AS (SELECT doc_id, p, e, sum(CASE WHEN before IS NULL OR p > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM s),
+r AS (SELECT doc_id, run, min(p) AS a, max(e) AS z FROM g GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS last FROM r),
+o AS (SELECT k.doc_id, sum(z - a) AS gone, count(*) AS runs, max(z) AS tail, string_agg(substr(h, CAST(2 * last + 1 AS BIGINT), CAST(2 * (a - last) AS BIGINT)), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_spans,
+sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(tail, 0) + 1 AS BIGINT)))) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)
+"""
+
 QUERIES = {"op4_suffix_dedup": op4_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op4_suffix_dedup": _SQL}

@@ -1,7 +1,10 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from switchback.llm import suffix_dedup as X
 
@@ -41,36 +44,98 @@ def test_against_brute_force(spark, docs_of, prose):
     check(docs_of(texts), texts)
 
 
-def test_hot_keys_and_blocks(spark, docs_of, prose, monkeypatch):
-    monkeypatch.setattr(X, "HOT_SEGMENTS", 1)
+def test_hot_keys(spark, docs_of, prose, monkeypatch):
     texts = corpus(prose)
+    for most in (1, 5):  # parts of up to one place, and of a share of the windows of a place
+        monkeypatch.setattr(X, "HOT_SEGMENTS", most)
+        check(docs_of(texts), texts)
+    passage = prose(1, 60)
+    texts = [f"{prose(k, 20)} {passage} {prose(1000 + k, 20)}" for k in range(220)]
+    monkeypatch.setattr(X, "HOT_SEGMENTS", 1)
     check(docs_of(texts), texts)
 
 
+#: Two texts of 200 bytes with one polynomial fingerprint modulo 2^64; none of their bytes may go.
+TWINS = [
+    "secvfcafebstnnhixbotstfbkkdfpmrgrdcjvjkuuusrfjjiujrxvpbfjcxwjebmodqqyeolgcvxfynsmqgynjhcfnchrbxjmtbfjjgbgvgonjqngddwwpdxxbfyhkmhngnfuwrbfywuckpgrnuejgffqxuitunltwoshyonyiqmvbyusrbiiyxeuqgtjhouhxlilhso",
+    "secvfcafebstnnhiwcnsrufcljcgqnshrddkwijvuvsqfjijtjryvqcejdyvjfanpeprydplfcwwexntmqhznihcemciqayjlscejkfbhwhonkqohdexxoewxbexilnhnfoguxscfyxvckpfsntfigfgqxtitumltvprhxnozjqlucyttqcijxxeuqgukhouhylhliso",
+]
+
+
+def test_texts_of_one_fingerprint_stay(spark, docs_of):
+    got = X.repeated_spans(docs_of(TWINS)).collect()
+    assert [r["n_removed"] for r in got] == [0, 0]
+    check(docs_of([*TWINS, "x" + TWINS[0]]), [*TWINS, "x" + TWINS[0]])
+
+
+def test_pieces_with_one_digest_are_told_apart(monkeypatch):
+    monkeypatch.setattr(X, "digest", lambda body: bytes(16))
+    task = X._Task()
+    task.add(1, 0, b"a" * 200, 1)
+    with pytest.raises(ValueError):
+        task.add(1, 0, b"b" * 200, 1)
+
+
 def test_small_blocks_of_a_long_text(prose, monkeypatch):
     text = prose(1, 400).encode() + b"q" * 700 + prose(1, 300).encode()
-    for block in (300, 1 << 22):
+    for block in (300, 1 << 20):
         monkeypatch.setattr(X, "BLOCK", block)
-        rows = list(X.segments(text))
-        at = [p for _, _, start, n, _ in rows for p in range(start, start + n)]
-        assert at == list(range(len(text) - 199))
+        monkeypatch.setattr(X, "RUN", 97)
+        batch = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array([text.decode(), "short"])], ["uid", "text"])
+        rows = [row for out in X._emit_segments([batch]) for row in out.to_pylist()]
+        at = [p for row in rows for p in range(row["start"], row["start"] + row["windows"])]
+        assert at == list(range(len(text) - 199)) and {row["uid"] for row in rows} == {7}
         windows: dict[bytes, set] = {}
-        for key, _, start, n, _ in rows:
-            for p in range(start, start + n):
-                windows.setdefault(text[p : p + 200], set()).add(key)
+        within: dict[tuple, set] = {}
+        for n, row in enumerate(rows):
+            for p in range(row["start"], row["start"] + row["windows"]):
+                windows.setdefault(text[p : p + 200], set()).add(row["key"])
+                within.setdefault((n, text[p : p + 200]), set()).add(p)
         assert all(len(keys) == 1 for keys in windows.values())
+        assert all(rows[n]["repeats"] for (n, _), places in within.items() if len(places) > 1)
+
+
+def test_suffix_array_is_sorted_and_complete():
+    r = random.Random(4)
+    texts = [bytes(r.choices(b"a\x00\xff", k=r.randint(200, 420))) for _ in range(12)] + [b"\x00" * 260, b"\xff" * 230]
+    windows = [t[i : i + 200] for t in texts for i in range(len(t) - 199)]
+    array, rank = X.SuffixArray.build(texts)
+    listed = [windows[row] for row in array.rows]
+    assert listed == sorted(set(windows)) and [listed[k] for k in rank] == windows
+    other, _ = X.SuffixArray.build(texts[5:] + [b"\x00" * 220 + b"\xff" * 40], len(windows))
+    more = [t[i : i + 200] for t in texts[5:] + [b"\x00" * 220 + b"\xff" * 40] for i in range(len(t) - 199)]
+    place = array.find(other)
+    assert [listed[p] if p >= 0 else None for p in place] == [w if w in set(windows) else None for w in sorted(set(more))]
+    both = array.merged(other)
+    assert [(windows + more)[row] for row in both.rows] == sorted({*windows, *more})
 
 
 def test_levels_are_geometric_and_exact():
-    r = np.random.default_rng(0)
-    rows = r.integers(0, 3000, 5000).astype(np.uint64)
-    family = X.LevelFamily()
-    for part in np.array_split(rows, 37):
-        family.add(part)
-    value, where, n = np.unique(rows, return_inverse=True, return_counts=True)
-    assert (family.matched == (n[where] > 1)).all()
-    sizes = [len(level[0]) for level in family.levels]
-    assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False)) and sum(sizes) == len(value)
+    r = random.Random(0)
+    texts = [bytes(r.choices(b"ab\x00", k=r.randint(200, 700))) for _ in range(90)]
+    texts += [t[20 : 20 + r.randint(200, 400)] for t in texts[:40] if len(t) > 420] + [b"c" * 900]
+    family, rows = X.LevelFamily(), []
+    for k in range(0, len(texts), 4):
+        family.add(texts[k : k + 4])
+        rows += [t[i : i + 200] for t in texts[k : k + 4] for i in range(len(t) - 199)]
+    n = Counter(rows)
+    assert family.matched.tolist() == [n[w] > 1 for w in rows]
+    sizes = [len(level) for level in family.levels]
+    assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False)) and family.scans > 20 and family.merges > 10
+
+
+def test_every_candidate_goes_through_the_levels(monkeypatch, prose):
+    monkeypatch.setattr(X, "BATCH_WINDOWS", 300)
+    monkeypatch.setattr(X, "FAMILY_WINDOWS", 3000)
+    bodies = [prose(k % 30, 60).encode() for k in range(60)]
+    rows = sorted((k % 5, 0, body) for k, body in enumerate(bodies))
+    seen = []
+    plain = X.LevelFamily.add
+    monkeypatch.setattr(X.LevelFamily, "add", lambda self, texts: seen.extend(texts) or plain(self, texts))
+    batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows]), pa.array([x[1] for x in rows]), pa.array([x[2] for x in rows]), pa.array([1] * 60)], ["key", "part", "body", "n"])
+    out = [row for b in X._match([batch]) for row in b.to_pylist()]
+    assert sorted(seen) == sorted(set(bodies)) and len(out) == 30
+    assert all(row["n"] == 2 and row["spans"][0]["start"] == 0 for row in out)
 
 
 def test_repeated_rows_spans_and_empty(spark, docs_of, prose):
