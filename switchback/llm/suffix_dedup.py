@@ -7,8 +7,8 @@ A byte goes if a string of ``LENGTH`` bytes that covers it starts anywhere else
    segment only cannot repeat; the text of all other segments is dealt by key. Hashes
    decide only where text goes; whether strings are equal is decided on their bytes.
 2. In a task, segments come in batches. Each batch gets a suffix array (of suffixes cut at
-   ``LENGTH`` bytes) by prefix doubling; it is merge-scanned against the existing levels for
-   matches, and levels of like size merge geometrically, keeping one suffix of each match.
+   ``LENGTH`` bytes) by prefix doubling; levels of like size merge geometrically, which finds
+   their matches and keeps one suffix of each, and the larger levels are merge-scanned for matches.
    Keys come in order, so a family ends between two keys once it holds ``FAMILY_WINDOWS``.
 3. Equal segments are combined in the task that reads them, before the shuffle. A key of over ``HOT_SEGMENTS``
    segments is split further by content: by the place of its least k-gram in the window, and where
@@ -36,7 +36,7 @@ from switchback.storage import discard, materialize, table
 
 LENGTH, GRAM, RUN = 200, 16, 1024
 BLOCK, COMBINE_BYTES, HOT_SEGMENTS = 1 << 17, 1 << 25, 8192
-BATCH_WINDOWS, FAMILY_WINDOWS, TASK_WINDOWS = 1 << 17, 1 << 20, 1 << 24
+BATCH_WINDOWS, FAMILY_WINDOWS, TASK_WINDOWS = 1 << 17, 1 << 19, 1 << 24
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -216,17 +216,32 @@ class SuffixArray:
         data = b"".join([*texts, bytes(8)])
         left = np.repeat(np.cumsum(sizes), sizes) - np.arange(int(sizes.sum()))
         ranks, tables, order = np.zeros(len(left), np.uint64), [], 0
+        bits = np.uint64(max(1, len(left).bit_length()))
         while order < length:
             step = min(8 if not order else 2 * order, length)
             at = np.flatnonzero(left >= step)
-            if order:
-                some = ranks[at] << np.uint64(32) | ranks[at + (step - order)]
-            else:
+            if not order:
                 some = np.ndarray((len(left),), ">u8", data, strides=(1,))[at].astype(np.uint64)
-            found, rank = np.unique(some, return_inverse=True)
-            tables.append(found)
+                by = np.argsort(some)
+                some = some[by]
+            elif 3 * bits <= 64:  # two ranks and the place fit into one number
+                some = (ranks[at] << bits | ranks[at + (step - order)]) << bits | np.arange(len(at), dtype=np.uint64)
+                some.sort()
+                by = (some & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+                some >>= bits
+            else:
+                some = ranks[at] << bits | ranks[at + (step - order)]
+                by = np.argsort(some)
+                some = some[by]
+            new = np.ones(len(some), bool)
+            np.not_equal(some[1:], some[:-1], out=new[1:])
+            rank = np.empty(len(some), np.uint64)
+            rank[by] = np.cumsum(new) - 1
             ranks[at] = rank
+            found = some[new]
+            tables.append(found if not order else found >> bits << np.uint64(32) | found & ((np.uint64(1) << bits) - np.uint64(1)))
             order = step
+        rank = rank.astype(np.int64)
         rows = np.empty(len(tables[-1]), np.int64)
         rows[rank[::-1]] = np.arange(base, base + len(rank))[::-1]
         return cls(tables, rows), rank
@@ -246,20 +261,26 @@ class SuffixArray:
             place[known[hit]] = at[hit]
         return place
 
-    def merged(self, other: SuffixArray) -> SuffixArray:
-        """Both arrays in one; of a suffix in both, the row of this one."""
+    def merged(self, other: SuffixArray) -> tuple[SuffixArray, np.ndarray]:
+        """Both arrays in one, and the rows of both that have an equal in the other; of a suffix in
+        both, the row of this one stays."""
         tables, maps = [], None
-        for pair in zip(self.tables, other.tables, strict=True):
+        for mine, theirs in zip(self.tables, other.tables, strict=True):
             if maps is not None:  # ranks in the merged table before, in the same order
-                pair = [m[t >> np.uint64(32)] << np.uint64(32) | m[t & _LOW] for m, t in zip(maps, pair, strict=True)]
-            both = np.sort(np.concatenate(pair), kind="stable")  # two sorted runs: one linear merge
-            both = both[np.concatenate([[True], both[1:] != both[:-1]])]
-            maps = [np.searchsorted(both, t).astype(np.uint64) for t in pair]
+                mine, theirs = (m[t >> np.uint64(32)] << np.uint64(32) | m[t & _LOW] for m, t in zip(maps, (mine, theirs), strict=True))
+            at = np.searchsorted(mine, theirs)  # both are sorted: one pass
+            equal = mine[np.minimum(at, len(mine) - 1)] == theirs
+            before = np.cumsum(np.bincount(at[~equal], minlength=len(mine) + 1))
+            maps = (np.arange(len(mine)) + before[: len(mine)]).astype(np.uint64), (at + before[at]).astype(np.uint64)
+            maps[1][~equal] = at[~equal] + np.arange(int((~equal).sum()))
+            both = np.empty(len(mine) + int(before[-1]), np.uint64)
+            both[maps[0]] = mine
+            both[maps[1]] = theirs
             tables.append(both)
         rows = np.empty(len(tables[-1]), np.int64)
         rows[maps[1]] = other.rows
         rows[maps[0]] = self.rows
-        return SuffixArray(tables, rows)
+        return SuffixArray(tables, rows), np.concatenate([self.rows[at[equal]], other.rows[equal]])
 
     def __len__(self) -> int:
         return len(self.rows)
@@ -277,16 +298,15 @@ class LevelFamily:
     def add(self, texts: list[bytes]) -> None:
         base = len(self.matched)
         new, rank = SuffixArray.build(texts, base)
-        twice = np.bincount(rank, minlength=len(new)) > 1
+        self.matched = np.concatenate([self.matched, (np.bincount(rank, minlength=len(new)) > 1)[rank]])
+        while self.levels and len(self.levels[-1]) < 2 * len(new):
+            new, equal = self.levels.pop().merged(new)
+            self.matched[equal] = True
+            self.merges += 1
         for level in self.levels:
             place = level.find(new)
-            twice |= place >= 0
-            self.matched[level.rows[place[place >= 0]]] = True
+            self.matched[level.rows[place[place >= 0]]] = self.matched[new.rows[place >= 0]] = True
             self.scans += 1
-        self.matched = np.concatenate([self.matched, twice[rank]])
-        while self.levels and len(self.levels[-1]) < 2 * len(new):
-            new = self.levels.pop().merged(new)
-            self.merges += 1
         self.levels.append(new)
 
 
