@@ -1,12 +1,12 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-Rows are dealt by their code to shards of about ``SHARD_ROWS`` at most, and a shard indexes all its rows
-once per segment of the code, sorted by segment value. Search proceeds in rounds: round ``s`` probes, in
-every segment, the values at distance ``s`` from the query's. After it every row within
-``segments * (s + 1) - 1`` bits is verified, so a query whose k-th verified distance is no more is
-done in this shard; the others go on to the next round. Where a round would probe more values
-than the shard has rows, the shard's rest is verified directly, which covers every radius. The shards' best
-``k`` are merged. Queries go to the shards in blocks of ``BLOCK_QUERIES``, a stated bound.
+Rows are dealt by their code to shards of about ``SHARD_ROWS``, and a shard indexes all its rows
+once per segment of the code, sorted by segment value; segments are as wide as leave about one row for
+a value. Search proceeds in rounds: round ``s`` probes, in every segment, the values at distance ``s`` from
+the query's. After it every row within ``segments * (s + 1) - 1`` bits is verified, so a query whose
+k-th verified distance is no more is done in this shard; the others go on to the next round. The shards' best
+``k`` are merged. Queries go to the shards in blocks of ``BLOCK_QUERIES``, a stated bound. Where there are
+fewer shards than task slots, several tasks hold a shard and each answers its part of the queries.
 
 Of rows with one code only the ``k`` smallest ids can be among the best, so a hot code is cut to
 them first; ties go to the smaller id. Codes of embeddings are the signs of their
@@ -15,7 +15,7 @@ components, a fixed rule; every row is indexed.
 Defined results: rows with a null or empty vector or a null id are neither indexed nor
 queried; null components count as zero, and so do components past a shorter vector's end (those past
 ``BITS`` are ignored); repeated rows each take a place; a query finds its own row; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; other columns are ignored, texts among them.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
-from math import comb
+from math import comb, log2
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from switchback.storage import materialize, table
 
 BITS, K, QUERY_STEP = 64, 10, 50
-BLOCK_QUERIES, SLICE, SHARD_ROWS = 1 << 16, 128, 1 << 20
+BLOCK_QUERIES, SLICE, SHARD_ROWS, PROBES = 1 << 16, 128, 1 << 18, 1 << 19
 
 
 def sign_code(vector: Column, bits: int = BITS) -> Column:
@@ -61,8 +61,9 @@ class MultiIndex:
     def __init__(self, ids: np.ndarray, codes: np.ndarray, bits: int = BITS):
         order = np.argsort(ids, kind="stable")
         self.ids, self.codes, self.bits = ids[order], codes[order], bits
-        self.width = max(4, min(16, max(1, len(ids)).bit_length() - 1))  # about one row in a bucket
-        self.edges = [*range(0, bits, self.width), bits]
+        n = max(1, round(bits / max(4.0, log2(max(1, len(ids))))))  # about one row for a value
+        self.edges = [round(bits * k / n) for k in range(n + 1)]
+        self.rounds = self.verified = 0
         self.tables = []
         for a, b in zip(self.edges, self.edges[1:], strict=False):
             part = self.segment(self.codes, a, b)
@@ -90,26 +91,25 @@ class MultiIndex:
 
     def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, row, distance) of the ``k`` nearest rows of each query."""
-        segments, size = len(self.tables), len(self.codes)
-        best = [np.empty((3, 0), np.int64)]
-        waiting, kept, probes = np.arange(len(queries)), np.empty((3, 0), np.int64), 0
-        for distance in range(self.width + 1):
-            probes += segments * comb(self.width, distance)
-            if probes > size:  # the rest of the shard costs less than this round
-                q, row = np.repeat(np.arange(len(waiting)), size), np.tile(np.arange(size), len(waiting))
-            else:
-                q, row = self._probe(queries[waiting], distance)
-            bits = np.bitwise_count(queries[waiting[q]] ^ self.codes[row]).astype(np.int64)
-            kept = self._nearest(np.concatenate([kept, np.stack([waiting[q], row, bits])], axis=1), k)
-            covered = self.bits if probes > size else segments * (distance + 1) - 1
+        best, waiting, kept = [np.empty((3, 0), np.int64)], np.arange(len(queries)), np.empty((3, 0), np.int64)
+        widest = max(b - a for a, b in zip(self.edges, self.edges[1:], strict=False))
+        for distance in range(widest + 1):
+            self.rounds += 1
+            step = max(1, PROBES // comb(widest, distance))
+            for at in range(0, len(waiting), step):
+                some = waiting[at : at + step]
+                q, row = self._probe(queries[some], distance)
+                self.verified += len(q)
+                bits = np.bitwise_count(queries[some[q]] ^ self.codes[row]).astype(np.int64)
+                kept = self._nearest(np.concatenate([kept, np.stack([some[q], row, bits])], axis=1), k)
+            covered = self.bits if distance == widest else len(self.tables) * (distance + 1) - 1
             held = np.bincount(kept[0][kept[2] <= covered], minlength=len(queries)) >= k
-            ready = held[kept[0]] | (covered >= self.bits)
+            ready = held[kept[0]]
             best.append(kept[:, ready])
-            kept = kept[:, ~ready]
-            waiting = waiting[~held[waiting]] if covered < self.bits else waiting[:0]
+            kept, waiting = kept[:, ~ready], waiting[~held[waiting]]
             if not len(waiting):
                 break
-        best.append(kept)
+        best.append(kept)  # of queries with fewer than k rows in the shard
         return tuple(np.concatenate(best, axis=1))
 
     @staticmethod
@@ -126,39 +126,51 @@ class MultiIndex:
         return pairs[:, rank < k]
 
 
-def _search(queries: np.ndarray, k: int, bits: int, shard_rows: int):
-    def shard(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        index = MultiIndex(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).view(np.uint64), bits)
-        for at in range(0, len(queries), SLICE):
-            some = queries[at : at + SLICE]
+def _search(queries: np.ndarray, k: int, bits: int, parts: int):
+    """Rows (shard, part, id, code) in the order of shards and parts → the nearest of each part's queries."""
+
+    def answers(part: int, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        index = MultiIndex(np.concatenate([p[0] for p in held]), np.concatenate([p[1] for p in held]).view(np.uint64), bits)
+        own = queries[part::parts]
+        for at in range(0, len(own), SLICE):
+            some = own[at : at + SLICE]
             q, row, distance = index.search(some, k)
             yield pa.RecordBatch.from_arrays([pa.array(some[q].view(np.int64)), pa.array(index.ids[row]), pa.array(distance)], ["query", "neighbour_id", "distance"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        held, last = [], None
         for batch in batches:
-            parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-            held += batch.num_rows
-            if held >= shard_rows:
-                yield from shard(parts)
-                parts, held = [], 0
+            shard, part, ids, codes = (c.to_numpy() for c in batch.columns)
+            group = shard.astype(np.int64) * parts + part
+            cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
+            for a, b in zip(cuts, [*cuts[1:], len(group)], strict=True):
+                if held and group[a] != last:
+                    yield from answers(int(last % parts), held)
+                    held = []
+                last = group[a]
+                held.append((ids[a:b], codes[a:b]))
         if held:
-            yield from shard(parts)
+            yield from answers(int(last % parts), held)
 
     return run
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``rows`` and ``queries``: (id, code). Returns (query_id, neighbour_id, distance, rank)."""
-    held = materialize(smallest_ids(rows.select(F.col("id").cast("bigint").alias("id"), "code"), k).repartition("code"), "codes")
+    held = materialize(smallest_ids(rows.select(F.col("id").cast("bigint").alias("id"), "code"), k), "codes")
     asked = queries.select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct()
     codes = materialize(asked.select("query").distinct(), "queries")
-    blocks = max(1, -(-codes.count() // (BLOCK_QUERIES // 2)))  # by hash, so each stays below twice its mean
+    wanted = codes.count()
+    blocks = max(1, -(-wanted // (BLOCK_QUERIES // 2)))  # by hash, so each stays below twice its mean
+    shards = max(1, -(-held.count() // shard_rows))
+    parts = max(1, min(held.sparkSession.sparkContext.defaultParallelism // shards, -(-wanted // SLICE)))
+    dealt = held.select(F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "id", "code")
+    dealt = dealt.repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part")
     order = W.partitionBy("query").orderBy("distance", "neighbour_id")
     found = []
     for b in range(blocks):
         some = codes.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).toPandas()["query"].to_numpy(np.int64).view(np.uint64)
-        found.append(held.mapInArrow(_search(some, k, bits, shard_rows), "query bigint, neighbour_id bigint, distance bigint"))
+        found.append(dealt.mapInArrow(_search(some, k, bits, parts), "query bigint, neighbour_id bigint, distance bigint"))
     merged = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return asked.join(merged, "query").select("query_id", "neighbour_id", "distance", "rank")
 
