@@ -1,20 +1,27 @@
 """SimHash near-duplicates: fingerprints, BK-trees and components.
 
-Distinct fingerprints are cut into ``m`` bit blocks. Two fingerprints that differ
-in at most ``radius`` bits agree on at least ``m - radius`` blocks, so
-each choice of that many blocks deals the fingerprints into shards, and every link lies
-within some shard. A shard is a BK-tree: children are keyed by
-their integer Hamming distance to the parent, and a search follows only edges within the
-radius. Trees grow with the data, so they are not broadcast; a shard's
-fingerprints are dealt to one task, which builds and searches the tree. A shard
-with over ``SHARD_ROWS`` fingerprints is dealt as pairs of blocks. A task returns a star for
-each linked group, never all pairs; components join the stars.
-
-Exact copies collapse to one fingerprint before any search. ``m`` follows the number
-of fingerprints so that shards stay small at every size; any ``m`` gives the same links.
+Two fingerprints that differ in at most ``radius`` bits agree on at least ``m - radius`` of ``m``
+disjoint groups of bits, so each choice of that many groups deals the distinct fingerprints into shards, and
+every link lies within some shard. Groups have as many bits as keep shards at about
+``TREE_ROWS`` fingerprints, at every size of the input. A shard, whatever its size, is a BK-tree:
+children are keyed by their integer Hamming distance to the parent, and a search follows only
+edges within the radius, and none into a subtree that is wholly in the query's group already. A
+shard of over ``SHARD_ROWS`` fingerprints is dealt as pairs of blocks. A task returns a
+star for each linked group, never all pairs; components join the stars.
+
+Trees are not broadcast: they hold the fingerprints of all documents, which must never be collected
+to the driver, so a shard's fingerprints are dealt to the task that builds and searches its tree.
+
+Exact copies collapse to one fingerprint before any search.
+
+``keep_one_of_each`` is the stage of a pipeline: one text of each group whose five-word shingles have a Jaccard
+similarity of ``LEAST_SIMILARITY`` or more. Such texts differ in about 15 % of a fingerprint's bits, too many for
+blocks that agree, so shards agree on sampled bits, in as many tables as miss at most ``MISSED`` of the pairs at the
+least similarity; trees find the candidates, and the shingles of both texts verify each.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any
-other; repeated rows give a row each; a null id never becomes a component's id
+other; a very long text is hashed in parts of 65,536 shingles, with the same result; repeated rows give
+a row each; a bit set in exactly half the hashes (a tie) is 0; a null id never becomes a component's id
 unless all its ids are null; an empty table gives no rows; other columns are ignored.
 """
 
@@ -22,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +40,7 @@ from switchback.operators.components import connected_components
 from switchback.storage import materialize, table
 
 BITS, RADIUS, SHINGLE_WORDS, SEED = 64, 4, 4, 42
-SHARD_ROWS, LEAF_ROWS, SMALL_SHARD = 8192, 32, 8
+TREE_ROWS, SHARD_ROWS, FRONTIER = 1 << 11, 1 << 15, 1 << 20
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -67,65 +75,97 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class BKTree:
-    """Distinct codes; children of a node are keyed by their distance to it."""
-
-    def __init__(self, codes: np.ndarray, leaf: int = LEAF_ROWS):
-        self.codes, self.leaf = codes, leaf
-        self.top = self._build(np.arange(len(codes)))
-
-    def _build(self, rows: np.ndarray):
-        if len(rows) <= self.leaf:
-            return rows, None
-        rest = rows[1:]
-        far = np.bitwise_count(self.codes[rest] ^ self.codes[rows[0]])
-        order = np.argsort(far, kind="stable")
-        keys, first = np.unique(far[order], return_index=True)
-        return rows, [(int(key), self._build(part)) for key, part in zip(keys, np.split(rest[order], first[1:]), strict=True)]
+    """Distinct codes, each a node; children of a node are keyed by their distance to it.
+
+    Nodes are numbered by the place of their code, and a parent comes before all nodes below
+    it. The tree grows level by level: the first code of a group becomes a node, and the others part by
+    their distance to it. ``edges`` lists the children in the order of parent and key.
+    """
+
+    def __init__(self, codes: np.ndarray):
+        self.codes, self.visits = codes, 0
+        n = len(codes)
+        self.parent, self.key, self.levels = np.full(n, -1), np.zeros(n, np.int64), []
+        rows, group = np.arange(n), np.zeros(n, np.int64)
+        while len(rows):
+            first = np.concatenate([[True], group[1:] != group[:-1]])
+            nodes = rows[first]
+            self.levels.append(nodes)
+            own = nodes[np.cumsum(first) - 1][~first]
+            rows = rows[~first]
+            far = np.bitwise_count(codes[rows] ^ codes[own]).astype(np.int64)
+            group = own << 7 | far
+            order = np.argsort(group, kind="stable")
+            rows, group = rows[order], group[order]
+            heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(rows) else rows
+            self.parent[rows[heads]], self.key[rows[heads]] = group[heads] >> 7, group[heads] & 127
+        below = np.concatenate(self.levels[1:]) if len(self.levels) > 1 else np.empty(0, np.int64)
+        label = self.parent[below] << 7 | self.key[below]
+        order = np.argsort(label, kind="stable")
+        self.edges = below[order]
+        every = (np.arange(n)[:, None] << 7 | np.arange(BITS + 2)[None, :]).ravel()
+        #: where the children of a node from a key on begin in ``edges``, at place node * (BITS + 2) + key
+        self.begin = np.searchsorted(label[order], every).astype(np.int32)
+
+    def near(self, queries: np.ndarray, radius: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) pairs within ``radius``, of nodes before their query; ``queries`` are nodes too.
+        ``skip(node)``, if given, is the group that a whole subtree is in (or -1), by node, and the
+        query's own is left out."""
+        found = [], []
+        asked, node = queries, np.zeros(len(queries), np.int64)
+        while True:
+            go = node < asked
+            if skip is not None:
+                go &= skip[0][node] != skip[1][asked]
+            asked, node = asked[go], node[go]
+            if not len(asked):
+                break
+            self.visits += len(asked)
+            far = np.bitwise_count(self.codes[asked] ^ self.codes[node]).astype(np.int64)
+            hit = far <= radius
+            found[0].append(asked[hit])
+            found[1].append(node[hit])
+            node = node * (BITS + 2)
+            low = self.begin[node + np.maximum(far - radius, 0)]
+            n = self.begin[node + np.minimum(far + radius, BITS) + 1] - low
+            asked = np.repeat(asked, n)
+            node = self.edges[np.arange(len(asked)) + np.repeat(low - (np.cumsum(n) - n), n)]
+        return tuple(np.concatenate(x) if x else queries[:0] for x in found)
 
     def groups(self, radius: int) -> np.ndarray:
-        """The first row of the group of each row: rows are linked at ``radius`` or less."""
-        self.root = np.arange(len(self.codes))
-        self._search(self.top, np.arange(len(self.codes)), radius)
-        return self.root
-
-    def _union(self, a: np.ndarray, b: np.ndarray) -> None:
-        a, b = self.root[a], self.root[b]
-        if not (differ := a != b).any():
-            return
-        up = {}
-
-        def find(x):
-            while x in up:
-                x = up[x]
-            return x
-
-        for x, y in np.unique(np.stack([a[differ], b[differ]], 1), axis=0).tolist():
-            x, y = find(x), find(y)
-            if x != y:
-                up[max(x, y)] = min(x, y)
-        jump = np.arange(len(self.root))
-        for x in up:
-            jump[x] = find(x)
-        self.root = jump[self.root]
-
-    def _search(self, node, queries: np.ndarray, radius: int) -> None:
-        rows, children = node
-        roots = self.root[rows]
-        if roots.min() == roots.max():  # one group already: only others can be linked to it
-            queries = queries[self.root[queries] != roots[0]]
-        if not len(queries):
-            return
-        if children is None:
-            for at in range(0, len(queries), 4096):
-                some = queries[at : at + 4096]
-                q, r = np.nonzero(np.bitwise_count(self.codes[some][:, None] ^ self.codes[rows][None, :]) <= radius)
-                self._union(some[q], rows[r])
-            return
-        far = np.bitwise_count(self.codes[queries] ^ self.codes[rows[0]]).astype(np.int64)
-        near = queries[far <= radius]
-        self._union(near, np.full(len(near), rows[0]))
-        for key, child in children:
-            self._search(child, queries[np.abs(far - key) <= radius], radius)
+        """The first node of the group of each: nodes are linked at ``radius`` or less."""
+        n = len(self.codes)
+        short = np.flatnonzero((self.key <= radius) & (self.parent >= 0))
+        root = _united(np.arange(n), short, self.parent[short])
+        step = max(1, FRONTIER // max(1, n))
+        for at in range(0, n, step):
+            a, b = self.near(np.arange(at, min(n, at + step)), radius, (self._whole(root), root))
+            root = _united(root, a, b)
+        return root
+
+    def _whole(self, root: np.ndarray) -> np.ndarray:
+        """The group that all of a subtree is in, or -1."""
+        whole = root.copy()
+        for nodes in self.levels[:0:-1]:
+            up = self.parent[nodes]
+            whole[up[whole[nodes] != root[up]]] = -1
+        return whole
+
+
+def _united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Groups after linking ``a`` with ``b``; the least node names a group."""
+    while len(a):
+        high, low = np.maximum(root[a], root[b]), np.minimum(root[a], root[b])
+        apart = high != low
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        jump = np.arange(len(root))
+        np.minimum.at(jump, high[apart], low[apart])
+        while (jump[jump] != jump).any():
+            jump = jump[jump]
+        root = jump[root]
+    return root
 
 
 def shard_links(codes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -135,54 +175,41 @@ def shard_links(codes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np
     return codes[rows], codes[root[rows]]
 
 
-def _small_links(keys: np.ndarray, codes: np.ndarray, radius: int) -> tuple[list, list]:
-    """All links within groups of at most ``SMALL_SHARD`` rows; equal keys are adjacent."""
-    left, right = [], []
-    for lag in range(1, SMALL_SHARD):
-        hit = np.nonzero((keys[lag:] == keys[:-lag]) & (np.bitwise_count(codes[lag:] ^ codes[:-lag]) <= radius))[0]
-        left.append(codes[hit])
-        right.append(codes[hit + lag])
-    return left, right
-
-
 def _search_shards(radius: int):
     """Rows (shard, fp) sorted by shard → star edges."""
 
-    def done(keys: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
-        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        sizes = np.diff(np.append(cuts, len(keys)))
-        small = np.repeat(sizes <= SMALL_SHARD, sizes)
-        left, right = _small_links(keys[small], codes[small], radius)
-        for start, n in zip(cuts[sizes > SMALL_SHARD].tolist(), sizes[sizes > SMALL_SHARD].tolist(), strict=True):
-            a, b = shard_links(codes[start : start + n], radius)
-            left.append(a)
-            right.append(b)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (left, right)], ["u", "v"])
+    def done(parts: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in shard_links(np.concatenate(parts), radius)], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, codes = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held, last = [], None
         for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy()])
-            codes = np.concatenate([codes, batch.column(1).to_numpy().view(np.uint64)])
-            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            if whole:
-                yield done(keys[:whole], codes[:whole])
-                keys, codes = keys[whole:], codes[whole:]
-        if len(keys):
-            yield done(keys, codes)
+            keys, codes = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else []
+            for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+                if held and keys[a] != last:
+                    yield done(held)
+                    held = []
+                last = keys[a]
+                held.append(codes[a:b])
+        if held:
+            yield done(held)
 
     return run
 
 
 def block_masks(rows: int, radius: int = RADIUS, bits: int = BITS) -> list[int]:
-    """Masks of the agreeing blocks, as signed longs; more blocks for more rows, so that
-    chance fellows of a shard stay few."""
-    m = radius + 2
-    while m < 2 * radius and bits * (m - radius) / m < np.log2(max(2, rows)) - 5:
+    """Masks of the agreeing groups of bits, as signed longs: as many bits as leave about
+    ``TREE_ROWS`` of ``rows`` codes in a shard."""
+    wanted = max(0, int(np.floor(np.log2(max(1, rows) / TREE_ROWS))))
+    if not wanted:
+        return [0]
+    m = radius + 1
+    while m < 2 * radius and wanted > (m - radius) * (bits // m):
         m += 1
-    edges = [round(bits * k / m) for k in range(m + 1)]
-    blocks = [((1 << edges[k + 1]) - (1 << edges[k])) for k in range(m)]
-    masks = [sum(blocks[k] for k in chosen) for chosen in combinations(range(m), m - radius)]
+    width = min(bits // m, -(-wanted // (m - radius)))
+    places = [bits * k // m for k in range(m)]
+    masks = [sum(((1 << width) - 1) << places[k] for k in chosen) for chosen in combinations(range(m), m - radius)]
     return [mask - (1 << bits) if mask >= 1 << (bits - 1) else mask for mask in masks]
 
 
@@ -197,7 +224,8 @@ def links(fps: DataFrame, rows: int, radius: int = RADIUS) -> DataFrame:
         F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != own), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     )
     tasks = members.select("fp", "choice", "value", F.explode(pairs).alias("p")).select(F.xxhash64("choice", "value", "p.i", "p.j").alias("shard"), "fp")
-    return tasks.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search_shards(radius), "u bigint, v bigint")
+    found = tasks.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search_shards(radius), "u bigint, v bigint")
+    return found.distinct()  # a link is found in up to every choice
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -211,10 +239,160 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fp_docs.join(labelled.select("fp", "root").join(least, "root"), "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of each component of ``docs``: that with the smallest id (null ids last), of
+#: Of the similarity stage: words of a shingle, least Jaccard similarity, and how many of such pairs the tables may miss.
+SIMILAR_WORDS, LEAST_SIMILARITY, MISSED, SIMILAR_TREE_ROWS = 5, 0.8, 0.05, 1 << 9
+
+
+def shingles(text: str | None, words: int = SIMILAR_WORDS) -> set[bytes]:
+    """The distinct word shingles of a text; one of few words has one of all of them, one without words none."""
+    parts = (text or "").encode().lower().split()
+    return {b" ".join(parts[k : k + words]) for k in range(len(parts) - words + 1)} or ({b" ".join(parts)} if parts else set())
+
+
+def similarity(a: set, b: set) -> float:
+    """Jaccard; two texts without words are alike."""
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def wide_fingerprint(text: str | None) -> tuple[int, int]:
+    """128 majority bits over the hashes of the distinct shingles, as two halves."""
+    from xxhash import xxh3_128_digest as digest
+
+    found = list(shingles(text))
+    ones = np.zeros(2 * BITS, np.int64)
+    for at in range(0, len(found), 1 << 16):
+        hashes = np.frombuffer(b"".join([digest(x) for x in found[at : at + (1 << 16)]]), np.uint8)
+        ones += np.unpackbits(hashes.reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64)
+    low, high = np.packbits(ones * 2 > len(found)).view(np.int64).tolist()
+    return low, high
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, th, fp, more)`` for each row; ``fp`` and ``more`` are the halves of a fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            halves = np.array([wide_fingerprint(text.as_py()) for text in batch.column(2)], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["doc_id", "th", "fp", "more"])
+
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id bigint, th bigint, fp bigint, more bigint")
+
+
+def differing(similar: float) -> float:
+    """The share of bits in which fingerprints of a Jaccard similarity differ (sets of one size)."""
+    return float(np.arccos(2 * similar / (1 + similar)) / np.pi)
+
+
+def tables_for(k: int, least: float = LEAST_SIMILARITY, missed: float = MISSED) -> int:
+    """How many tables of ``k`` sampled bits miss at most a share ``missed`` of pairs at the least similarity."""
+    share, bits = differing(least), 2 * BITS
+    likely = [comb(bits, d) * share**d * (1 - share) ** (bits - d) for d in range(bits + 1)]
+    agree = np.array([comb(bits - d, k) / comb(bits, k) for d in range(bits + 1)])
+    tables = 1
+    while (np.array(likely) * (1 - agree) ** tables).sum() > missed:
+        tables += 1 + tables // 16
+    return tables
+
+
+def sampled_masks(rows: int) -> list[tuple[int, int]]:
+    """Masks of sampled bits of both halves, as signed longs: as many bits as leave about ``SIMILAR_TREE_ROWS`` of
+    ``rows`` in a shard."""
+    k = min(BITS // 2, max(0, int(np.floor(np.log2(max(1, rows) / SIMILAR_TREE_ROWS)))))
+    if not k:
+        return [(0, 0)]
+    draw = np.random.default_rng(5)
+    chosen = [draw.choice(2 * BITS, k, replace=False) for _ in range(tables_for(k))]
+    signed = lambda mask: mask - (1 << BITS) if mask >= 1 << (BITS - 1) else mask
+    return [tuple(signed(sum(1 << int(bit) % BITS for bit in some if bit // BITS == half)) for half in (0, 1)) for some in chosen]
+
+
+def _spread(share: float, bits: int) -> int:
+    """Bits within which nearly all (3 standard deviations) pairs that differ in a share of them lie."""
+    return int(share * bits + 3 * (share * (1 - share) * bits) ** 0.5)
+
+
+def _near_in_shard(codes: np.ndarray, more: np.ndarray, radius: int, both: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, earlier row) of a shard within ``radius`` bits of the first half and ``both`` of all: for each row
+    the nearest one of each group found so far."""
+    codes, first = np.unique(codes, return_index=True)
+    more = more[first]
+    tree, root, found = BKTree(codes), np.arange(len(codes)), []
+    step = max(1, FRONTIER // max(1, len(codes)))
+    for at in range(0, len(codes), step):
+        a, b = tree.near(np.arange(at, min(len(codes), at + step)), radius, (tree._whole(root), root))
+        far = np.bitwise_count(codes[a] ^ codes[b]).astype(np.int64) + np.bitwise_count(more[a] ^ more[b])
+        a, b, far = a[far <= both], b[far <= both], far[far <= both]
+        order = np.lexsort((far, root[b], a))
+        a, b = a[order], b[order]
+        best = np.ones(len(a), bool)
+        best[1:] = (a[1:] != a[:-1]) | (root[b[1:]] != root[b[:-1]])
+        found.append((first[a[best]], first[b[best]]))
+        root = _united(root, a[best], b[best])
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (codes[:0].astype(int),) * 2
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, th, fp, more) sorted by shard → pairs of texts that may be similar."""
+    share = differing(LEAST_SIMILARITY)
+    radius, both = _spread(share, BITS), _spread(share, 2 * BITS)
+
+    def done(parts: list[tuple]) -> pa.RecordBatch:
+        th, codes, more = (np.concatenate(x) for x in zip(*parts, strict=True))
+        a, b = _near_in_shard(codes.view(np.uint64), more.view(np.uint64), radius, both)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(th[a], th[b])), pa.array(np.maximum(th[a], th[b]))], ["a", "b"])
+
+    held, last = [], None
+    for batch in batches:
+        keys, th, codes, more = (c.to_numpy() for c in batch.columns)
+        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else []
+        for x, y in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+            if held and keys[x] != last:
+                yield done(held)
+                held = []
+            last = keys[x]
+            held.append((th[x:y], codes[x:y], more[x:y]))
+    if held:
+        yield done(held)
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, text of a, text of b) → the pairs of at least ``LEAST_SIMILARITY``."""
+    for batch in batches:
+        keep = [similarity(shingles(x.as_py()), shingles(y.as_py())) >= LEAST_SIMILARITY for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, th, root)`` for each row of ``docs``; ``root`` names its group of texts that are linked by a verified
+    similarity. Candidates share sampled bits of a fingerprint and are found by the trees of their shard."""
+    wide = materialize(wide_fingerprints(docs, id_col, text_col), "wide-fingerprints")
+    halves = wide.groupBy("fp", "more").agg(F.min("th").alias("th"))
+    nodes = materialize(halves.groupBy("fp").agg(F.min_by("th", "more").alias("th"), F.min("more").alias("more")), "nodes")
+    masks = sampled_masks(nodes.count())
+    dealt = nodes.select("th", "fp", "more", F.posexplode(F.array(*[F.xxhash64(F.col("fp").bitwiseAND(F.lit(low)), F.col("more").bitwiseAND(F.lit(high))) for low, high in masks])).alias("choice", "value"))
+    sizes = dealt.groupBy("choice", "value").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / F.lit(SHARD_ROWS)).cast("int"))
+    members = dealt.join(sizes, ["choice", "value"])
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
+        F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != own), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    )
+    tasks = members.select("th", "fp", "more", "choice", "value", F.explode(pairs).alias("p")).select(F.xxhash64("choice", "value", "p.i", "p.j").alias("shard"), "th", "fp", "more")
+    found = tasks.repartition("shard").sortWithinPartitions("shard").mapInArrow(_candidates, "a bigint, b bigint")
+    same = wide.select("th", "fp").distinct().join(nodes.select("fp", F.col("th").alias("node")), "fp").where("th <> node").select(F.least("th", "node").alias("a"), F.greatest("th", "node").alias("b"))
+    edges = materialize(found.union(same).distinct(), "candidates")
+    wanted = edges.select(F.explode(F.array("a", "b")).alias("th")).distinct()
+    texts = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("__text")).join(wanted, "th", "left_semi").groupBy("th").agg(F.min("__text").alias("__text"))
+    texts = materialize(texts, "candidate-texts")
+    both = edges.join(texts.select(F.col("th").alias("a"), F.col("__text").alias("x")), "a").join(texts.select(F.col("th").alias("b"), F.col("__text").alias("y")), "b").select("a", "b", "x", "y")
+    groups = connected_components(both.mapInArrow(_verified, "a bigint, b bigint"), "a", "b")
+    return wide.join(groups.select(F.col("node").alias("th"), "root"), "th", "left").select("doc_id", "th", F.coalesce("root", "th").alias("root"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of similar texts: that with the smallest id (null ids last), of
     those the smallest text hash, of alike rows any; columns as they come."""
-    found = near_duplicates(docs, id_col, text_col, radius)
+    found = similar_texts(docs, id_col, text_col)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
     keys = ["__switchback_a", "__switchback_b"]
     keep = first.select(F.coalesce("first.doc_id", F.lit(0)).alias(keys[0]), F.xxhash64("first.none", "first.th").alias(keys[1])).distinct()

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from switchback.llm import simhash as H
@@ -47,14 +48,44 @@ def test_tree_groups_match_brute_force():
                 c ^= 1 << r.randrange(64)
             codes.add(c)
     codes = sorted(codes)
-    root = H.BKTree(np.array(codes, np.uint64), leaf=4).groups(4)
-    want = classes(codes)
-    assert len({(a, b) for a, b in zip(root.tolist(), want, strict=True)}) == len(set(want)) == len(set(root.tolist()))
+    tree = H.BKTree(np.array(codes, np.uint64))
+    assert tree.groups(4).tolist() == classes(codes)
+    plain = H.BKTree(np.array(codes, np.uint64))
+    a, b = plain.near(np.arange(len(codes)), 4)
+    assert sorted(zip(b.tolist(), a.tolist(), strict=True)) == [(x, y) for x in range(len(codes)) for y in range(x + 1, len(codes)) if (codes[x] ^ codes[y]).bit_count() <= 4]
+    assert 0 < tree.visits < plain.visits < len(codes) ** 2 / 2  # groups and edges outside the radius are passed by
+    for node in range(1, len(codes)):
+        assert tree.key[node] == (codes[node] ^ codes[tree.parent[node]]).bit_count() and tree.parent[node] < node
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_given_tables_are_searched_by_trees(spark, sf, monkeypatch):
+    """Every shard of two fingerprints or more is a tree whose nodes are visited."""
+    texts = [r[0] for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("text").collect()]
+    codes = np.unique(np.array([H.fingerprint(t) for t in texts[: 4000 if sf == "sf0.1" else None]], np.uint64))
+    trees = []
+    plain = H.BKTree
+    monkeypatch.setattr(H, "BKTree", lambda some: trees.append(plain(some)) or trees[-1])
+    masks = [np.uint64(m % (1 << 64)) for m in H.block_masks(len(codes))]
+    linked = set()
+    for mask in masks:
+        for value in np.unique(codes & mask):
+            u, v = H.shard_links(codes[codes & mask == value])
+            linked |= set(zip(u.tolist(), v.tolist(), strict=True))
+    assert sum(t.visits for t in trees) > len(codes) and all(t.visits for t in trees if len(t.codes) > 1)
+    assert max(len(t.codes) for t in trees) >= min(len(codes), H.TREE_ROWS // 4) and sum(len(t.levels) > 3 for t in trees)
+    label = H._united(np.arange(len(codes)), *(np.searchsorted(codes, np.array(x, np.uint64)) for x in zip(*linked, strict=True)))
+    assert label.tolist() == H.BKTree(codes).groups(4).tolist()
+
+
+@pytest.mark.parametrize("n", [1, 2])
+def test_least_trees(n):
+    assert H.BKTree(np.arange(n, dtype=np.uint64)).groups(4).tolist() == [0] * n
 
 
 def test_components(spark, docs_of, prose, monkeypatch):
     monkeypatch.setattr(H, "SHARD_ROWS", 16)  # hot shards are split
-    monkeypatch.setattr(H, "LEAF_ROWS", 4)
+    monkeypatch.setattr(H, "TREE_ROWS", 4)
     texts = []
     for k in range(12):
         words = prose(k, 400).split()
@@ -69,8 +100,62 @@ def test_components(spark, docs_of, prose, monkeypatch):
     codes = [slow_fingerprint(t) for t in texts]
     assert [got[k]["fp"] & (1 << 64) - 1 for k in range(len(texts))] == codes
     assert [got[k]["component_id"] for k in range(len(texts))] == classes(codes)
+
+
+def similar_classes(texts):
+    sets, up = [H.shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if H.similarity(sets[a], sets[b]) >= H.LEAST_SIMILARITY:
+                up[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(x) for x in range(len(texts))]
+
+
+def test_shingles():
+    assert H.shingles(None) == set() == H.shingles(" \n") and H.shingles("A b") == {b"a b"} and H.shingles("a b c d e F") == {b"a b c d e", b"b c d e f"}
+    assert H.similarity(set(), set()) == 1.0 and H.similarity(set(), {b"a"}) == 0.0
+    low, high = H.wide_fingerprint("one two three four five")
+    bits = xxhash.xxh3_128_digest(b"one two three four five")
+    assert np.array([low, high], np.int64).tobytes() == bits and H.wide_fingerprint(None) == (0, 0)
+
+
+@pytest.mark.parametrize("small", [1, 1 << 9])
+def test_one_of_each_group_of_similar_texts(spark, docs_of, prose, monkeypatch, small):
+    """Copies with some words changed, in groups and alone, against all pairs."""
+    monkeypatch.setattr(H, "SIMILAR_TREE_ROWS", small)  # with many tables, and with one
+    r, texts = random.Random(8), []
+    for k in range(40):
+        words = prose(k, 150).split()
+        for n in range(1 + k % 4):
+            copy = list(words)
+            for _ in range(n):
+                copy[r.randrange(len(copy))] = f"changed{n}"
+            texts.append(" ".join(copy))
+    texts += [None, "", "  ", "one two", "One TWO", texts[0], texts[0].upper()]
+    docs = docs_of(texts)
     kept = H.keep_one_of_each(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(classes(codes)))
+    want = set(similar_classes(texts))
+    got = {row["doc_id"] for row in kept.collect()}
+    assert kept.columns == docs.columns and want <= got and len(got - want) <= (2 if small == 1 else 0)
+
+
+def test_tables_find_similar_pairs():
+    """Of pairs at the least similarity, sampled bits and both radii miss few."""
+    r = np.random.default_rng(2)
+    share = H.differing(H.LEAST_SIMILARITY)
+    flip = np.packbits(r.random((4000, 128)) < share, axis=1).view(np.uint64)
+    far = np.bitwise_count(flip)
+    near = (far[:, 0] <= H._spread(share, 64)) & (far.sum(axis=1) <= H._spread(share, 128))
+    for rows in (1, 10**5, 10**7):
+        masks = np.array([[m % (1 << 64) for m in pair] for pair in H.sampled_masks(rows)], np.uint64)
+        met = ((flip[:, None, :] & masks[None, :, :]) == 0).all(axis=2).any(axis=1)
+        assert (met & near).mean() > 0.93, rows
 
 
 def test_repeated_and_null_ids(spark, docs_of, prose):
