@@ -9,12 +9,14 @@ as found; spans of the weaker kind ``token`` (a long run that mixes lower case,
 upper case and digits) are added where their value looks live and no base span
 covers them.
 
-Only DataFrame functions run. Offsets come from the lengths of the pieces between
-matches, summed in a window over one document's matches.
-
-Defined results: a null text is empty; a null owner is an owner of its own; repeated
-rows give a row each and count as one repository; an empty table gives no rows;
-other columns are ignored.
+Only DataFrame functions run. The patterns pass over each text once; what they find is written as an
+array for each row. Offsets come from the lengths of the pieces between matches, summed in a
+window over one document's matches. Only candidates are joined to the verdict on their value, and
+values that many candidates share are broadcast (fewer than a thousand), so none makes a large task.
+
+Defined results: a null text is empty; a very long text is one text; a null owner is an owner of its
+own; repeated rows give a row each and count as one repository; spans that start together (ties) come in the
+order of the kinds; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from switchback.llm.skew import join_by_key
 from switchback.storage import materialize, table
 
 EXAMPLE_OWNERS = 4
@@ -49,33 +52,40 @@ def _matches(text: Column, kind: str) -> Column:
     return F.when(text.rlike(PATTERNS[kind]), rows)
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """(uid, doc_id, owner, kind, start, end, value): a row for each candidate, and one
-    with a null kind for each row of ``docs``. ``value`` is a hash."""
+_FOUND = "array<struct<kind:int,idx:int,gap:int,len:int,keep:boolean,value:string>>"
+
+
+def searched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", extra: tuple[Column, ...] = ()) -> DataFrame:
+    """(uid, doc_id, owner, extra..., found), written: one row for each row of ``docs``, with all
+    matches of all kinds; those that fail their filter only count for offsets."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), text.alias("text"))
-    none = F.array().cast("array<struct<kind:int,idx:int,gap:int,len:int,keep:boolean,value:string>>")
-    marker = F.array(F.lit(None).cast("struct<kind:int,idx:int,gap:int,len:int,keep:boolean,value:string>"))
-    found = F.concat(marker, *[F.coalesce(_matches(F.col("text"), kind), none) for kind in KINDS])
-    flat = rows.select("uid", "doc_id", "owner", "text_hash", F.explode(found).alias("m")).select("uid", "doc_id", "owner", "text_hash", "m.*")
-    before = W.partitionBy("uid", "kind").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
-    end = F.sum(F.col("gap").cast("bigint") + F.col("len")).over(before)
-    placed = flat.withColumn("end", end).where(F.col("kind").isNull() | F.col("keep"))  # one scan, as uids hold for one only
-    return placed.select("uid", "doc_id", "owner", "text_hash", "kind", (F.col("end") - F.col("len")).alias("start"), "end", "value")
+    found = F.concat(*[F.coalesce(_matches(text, kind), F.array().cast(_FOUND)) for kind in KINDS])
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), *extra, found.alias("found"))
+    return materialize(rows, "searched")
 
 
-def ownership(found: DataFrame) -> DataFrame:
-    """(value, n_repositories, n_owners) of candidate hashes."""
-    values = found.where("kind IS NOT NULL").select("value", F.struct("owner").alias("owner"), "doc_id")
-    by_owner = values.groupBy("value", "owner", "doc_id").agg(F.lit(1).alias("one")).groupBy("value", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("value").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
+def candidates(rows: DataFrame) -> DataFrame:
+    """(uid, doc_id, owner, kind, start, end, value): a row for each candidate of ``searched`` rows.
+    ``value`` is a hash."""
+    flat = rows.where(F.size("found") > 0).select("uid", "doc_id", "owner", F.inline("found"))
+    before = W.partitionBy("uid", "kind").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
+    placed = flat.withColumn("end", F.sum(F.col("gap").cast("bigint") + F.col("len")).over(before)).where("keep")
+    return placed.select("uid", "doc_id", "owner", "kind", (F.col("end") - F.col("len")).alias("start"), "end", "value")
 
 
-def judged_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """Candidates with ``live`` and ``kept``: base spans are kept, tokens if they look
-    live and overlap no base span. Marker rows have a null kind."""
-    found = materialize(candidates(docs, id_col, text_col, owner_col), "candidates")
-    judged = found.join(ownership(found), "value", "left").withColumn("live", F.col("n_owners") < example_owners)
+def ownership(found: DataFrame) -> DataFrame:
+    """(value, n, n_repositories, n_owners) of candidate hashes; ``n`` counts the candidates."""
+    values = found.select("value", F.struct("owner").alias("owner"), "doc_id")
+    by_owner = values.groupBy("value", "owner", "doc_id").agg(F.count("*").alias("n")).groupBy("value", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("repositories"))
+    return by_owner.groupBy("value").agg(F.sum("n").alias("n"), F.sum("repositories").alias("n_repositories"), F.count("*").alias("n_owners"))
+
+
+def judged_spans(rows: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+    """Candidates of ``searched`` rows with ``live`` and ``kept``: base spans are kept, tokens if
+    they look live and overlap no base span."""
+    found = materialize(candidates(rows), "candidates")
+    facts = materialize(ownership(found), "ownership")
+    judged = join_by_key(found, facts, "value", "n").withColumn("live", F.col("n_owners") < example_owners)
     base = F.col("kind") < 3
     order = W.partitionBy("uid").orderBy("start", "kind")
     earlier = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(W.unboundedPreceding, -1))
@@ -87,8 +97,10 @@ def judged_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def scan(docs: DataFrame, **columns) -> DataFrame:
     """(uid, doc_id, spans) with one row for each row of ``docs``; ``spans`` is an ordered
     array of (start, kind, end, live)."""
-    span = F.when(F.col("kept"), F.struct("start", "kind", "end", "live"))
-    return judged_spans(docs, **columns).groupBy("uid").agg(F.first("doc_id", True).alias("doc_id"), F.array_sort(F.collect_list(span)).alias("spans"))
+    rows = searched(docs, **columns)
+    spans = judged_spans(rows).where("kept").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("spans"))
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,live:boolean>>")
+    return rows.select("uid", "doc_id").join(spans, "uid", "left").select("uid", "doc_id", F.coalesce("spans", none).alias("spans"))
 
 
 def _written(spans: Column) -> Column:
@@ -99,25 +111,28 @@ def _written(spans: Column) -> Column:
 def redact_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", length_col: str | None = "n_chars", mask: str = MASK) -> DataFrame:
     """``docs`` with every live-looking secret replaced; widely copied examples stay.
 
-    Only rows with a candidate are shuffled, and joined to their spans by id and text.
+    Rows are written once with what the patterns found; only rows with a candidate are
+    shuffled, to be joined to their spans.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    some = text.rlike("|".join(PATTERNS[kind] for kind in KINDS))
-    key = F.struct(F.col(id_col).cast("bigint").alias("d"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
-    spans = judged_spans(docs.where(some), id_col, text_col, owner_col).where("kept AND live").select(F.struct(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).alias("__key"), F.struct("start", "end").alias("span"))
-    by_doc = spans.groupBy("__key").agg(F.array_sort(F.collect_set("span")).alias("__spans"))
+    rows = searched(docs, id_col, text_col, owner_col, (F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),))
+    spans = judged_spans(rows).where("kept AND live").groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     merged = F.aggregate(  # overlapping spans become one
-        "__spans",
+        "spans",
         F.array().cast("array<struct<start:bigint,end:bigint>>"),
         lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
     )
-    pieces = F.transform("__merged", lambda s, i: F.substring(F.col(text_col), (F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("__merged"), i - 1)["end"]) + 1).cast("int"), (s["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("__merged"), i - 1)["end"])).cast("int")))
-    tail = F.substring(F.col(text_col), (F.element_at("__merged", -1)["end"] + 1).cast("int"), F.char_length(F.col(text_col)))
-    hit = docs.where(some).join(by_doc, key.eqNullSafe(F.col("__key")), "left").withColumn("__merged", merged)
-    out = hit.withColumn(text_col, F.when(F.size("__merged") > 0, F.concat(F.array_join(F.concat(pieces, F.array(tail)), mask))).otherwise(F.col(text_col)))
+    hit = rows.where(F.size("found") > 0).join(spans, "uid", "left").select("row", merged.alias("merged"))
+    text = F.col("row")[text_col]
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("merged"), i - 1)["end"])
+    pieces = F.transform("merged", lambda s, i: F.substring(text, (before(i) + 1).cast("int"), (s["start"] - before(i)).cast("int")))
+    tail = F.substring(text, (F.element_at("merged", -1)["end"] + 1).cast("int"), F.char_length(text))
+    changed = F.size("merged") > 0
+    new = F.when(changed, F.array_join(F.concat(pieces, F.array(tail)), mask)).otherwise(text)
+    put = {text_col: new}
     if length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.size("__merged") > 0, F.char_length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return docs.where(~some).unionByName(out.select(*docs.columns))
+        put[length_col] = F.when(changed, F.char_length(new).cast(docs.schema[length_col].dataType)).otherwise(F.col("row")[length_col])
+    masked = hit.select(*[put.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    return rows.where(F.size("found") == 0).select("row.*").unionByName(masked)
 
 
 def op2_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
