@@ -3,17 +3,24 @@
 A task writes its pages to bundle files in the shared folder: records are grouped into
 independent frames of about ``FRAME_BYTES``, and the file ends with a seek table in a skippable
 frame (the seekable format of Zstandard). The index maps every record identifier
-to (bundle, frame, offset within the frame); a record is read by one ranged read
-and the decompression of one frame. A bundle is written under a name of its task attempt, so a
-task that runs again leaves what the index names intact.
+to (bundle, frame, offset within the frame). To read a record, the frame is found through the
+bundle's footer, and only that frame is read and decompressed. A bundle is written under a name of its
+task attempt, so a task that runs again leaves what the index names intact.
+
+Records follow WARC/1.1: a response holds the HTTP headers and the payload, a revisit the headers
+alone, and names the response by its record identifier, URI and date. Identifiers
+are made from the page id and the row (UUID version 8), so a page's identifier is known
+before anything is written. Dates are those of the run.
 
 Of records with equal payloads of at least ``min_bytes`` bytes, that with the
 smallest page id is a response and the others revisit it. Payloads are matched by their
-SHA-1; groups are pre-aggregated, and only digests and ids are grouped.
+SHA-256; only digests, ids and addresses are grouped, and the payloads are dealt by row, so that a payload
+in a third of all rows makes no large task.
 
-Defined results: a null html is an empty payload; a null page id sorts last and is written as
-an empty identifier; repeated rows of one id and payload give one response, the others revisit
-it; an empty table gives no bundles; other columns are ignored.
+Defined results: a null html is an empty payload; a very long one is a frame of its own; a null page id
+sorts last and has no page id on reading; a null or empty address is written as the record's
+identifier, and control characters in one are left out; repeated rows of one id and payload (ties) give one
+response, the others revisit it; an empty table gives no bundles; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,19 +30,21 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from switchback.llm.skew import join_by_key
 from switchback.storage import materialize, new_path, table
 
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 1 << 28
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "1970-01-01T00:00:00Z"
-INDEX = "record_id string, page_id bigint, bundle string, frame int, frame_start bigint, frame_bytes bigint, offset bigint, length bigint"
+INDEX = "record_id string, page_id bigint, bundle string, frame int, offset bigint, length bigint"
 
 
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
@@ -56,20 +65,45 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, record_id: str, uri: str | None, page_id: int | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
-    uri = "".join(c for c in uri or "" if c >= " ")  # a header is one line
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{record_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}"]
-    if kind == "revisit":
-        head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page: {refers_to}"]
-        payload = b""
-    head += ["Content-Type: text/html", f"Content-Length: {len(payload)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+def record_id(page_id: int | None, row: int) -> str:
+    """A UUID of version 8: whether the page has an id, the id, and 57 bits of the row's number."""
+    custom = (page_id is not None) << 121 | ((page_id or 0) % (1 << 64)) << 57 | row % (1 << 57)
+    return str(uuid.UUID(int=custom >> 74 << 80 | 8 << 76 | (custom >> 62) % (1 << 12) << 64 | 2 << 62 | custom % (1 << 62)))
+
+
+def page_of(record: str) -> int | None:
+    """The page id within a record identifier."""
+    value = uuid.UUID(record.removeprefix("<urn:uuid:").removesuffix(">")).int
+    custom = value >> 80 << 74 | (value >> 64) % (1 << 12) << 62 | value % (1 << 62)
+    page = (custom >> 57) % (1 << 64)
+    return None if not custom >> 121 else page - (1 << 64 if page >> 63 else 0)
+
+
+def _address(url: str | None, record: str) -> str:
+    return "".join(c for c in url or "" if c >= " ") or f"urn:uuid:{record}"  # a header is one line
+
+
+def record(name: str, url: str | None, date: str, payload: bytes, digest: str, refers_to: str | None = None, refers_url: str | None = None) -> bytes:
+    """A response, or a revisit of the record ``refers_to``."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    head = [f"WARC-Type: {'revisit' if refers_to else 'response'}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {date}", f"WARC-Target-URI: {_address(url, name)}", f"WARC-Payload-Digest: sha1:{digest}"]
+    if refers_to:
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{refers_to}>", f"WARC-Refers-To-Target-URI: {_address(refers_url, refers_to)}", f"WARC-Refers-To-Date: {date}"]
+    block = http if refers_to else http + payload
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(["WARC/1.1", *head]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    return dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
 
 
-def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
+def parse_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
+    """(WARC fields, HTTP fields, payload); a revisit has an empty payload."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    fields = _fields(head)
+    http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
+    return fields, _fields(http), payload
 
 
 class _Bundle:
@@ -98,7 +132,7 @@ class _Bundle:
         if self.buffer:
             packed = self.compress(bytes(self.buffer))
             self.out.write(packed)
-            self.rows += [(rid, page, self.path, len(self.frames), self.start, len(packed), at, n) for rid, page, at, n in self.waiting]
+            self.rows += [(rid, page, self.path, len(self.frames), at, n) for rid, page, at, n in self.waiting]
             self.frames.append((len(packed), len(self.buffer)))
             self.start += len(packed)
             self.buffer, self.waiting = bytearray(), []
@@ -116,16 +150,16 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(column, kinds[kind]) for column, (_, kind) in zip(zip(*rows, strict=True), names, strict=True)], [name for name, _ in names])
 
 
-def _write(folder: str, frame_bytes: int, bundle_bytes: int):
+def _write(folder: str, date: str, frame_bytes: int, bundle_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = None
         for batch in batches:
-            for page_id, uri, html, refers_to, is_response in zip(*[batch.column(k) for k in range(5)], strict=True):
+            for uid, page_id, url, html, first in zip(*batch.columns, strict=True):
                 bundle = bundle or _Bundle(folder, frame_bytes)
-                page, payload, first = page_id.as_py(), (html.as_py() or "").encode(), refers_to.as_py()
-                digest, kind = payload_digest(payload), "response" if is_response.as_py() else "revisit"
-                record_id = str(uuid.uuid4())
-                bundle.add(record_id, page, record(kind, record_id, uri.as_py(), page, payload, digest, "" if first is None else str(first)))
+                page, payload, other = page_id.as_py(), (html.as_py() or "").encode(), first.as_py()
+                name = record_id(page, uid.as_py())
+                refers = (record_id(other["page_id"], other["uid"]), other["url"]) if other else ()
+                bundle.add(name, page, record(name, url.as_py(), date, payload, payload_digest(payload), *refers))
                 if bundle.start >= bundle_bytes:
                     yield _batch(bundle.close(), INDEX)
                     bundle = None
@@ -136,38 +170,58 @@ def _write(folder: str, frame_bytes: int, bundle_bytes: int):
 
 
 def deduplicated(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """(page_id, url, html, refers_to, is_response)."""
-    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn("uid", F.monotonically_increasing_id())
-    rows = materialize(rows, "warc-pages")  # both sides of the join below must see the same uid
-    keyed = rows.withColumn("digest", F.sha1(F.encode("html", "utf-8")))
-    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "uid")
-    groups = keyed.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1")
-    hit = keyed.join(groups.select(F.col("digest").alias("d"), "first"), F.col("digest") == F.col("d"), "left")
-    response = F.col("first").isNull() | (F.col("first.uid") == F.col("uid"))
-    return hit.select("page_id", "url", "html", F.when(~response, F.col("first.page_id")).alias("refers_to"), response.alias("is_response"))
+    """(uid, page_id, url, html, first): ``first`` is the page that a revisit refers to, else null."""
+    rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    rows = materialize(rows, "warc-pages")  # all that follows must see the same uid
+    keyed = rows.where(F.octet_length("html") >= min_bytes).select("uid", "page_id", "url", F.sha2(F.encode("html", "utf-8"), 256).alias("digest"))
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "uid", "url")
+    groups = materialize(keyed.groupBy("digest").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1"), "warc-groups")
+    revisits = join_by_key(keyed.select("uid", "digest"), groups, "digest", "n").where("first.uid <> uid").select("uid", "first")
+    return rows.join(revisits, "uid", "left").select("uid", "page_id", "url", "html", "first")
 
 
 def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Write all pages below ``folder`` and return the written index of records."""
-    return materialize(deduplicated(pages, id_col, url_col, html_col, min_bytes).mapInArrow(_write(folder, frame_bytes, bundle_bytes), INDEX), "warc-index")
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return materialize(deduplicated(pages, id_col, url_col, html_col, min_bytes).mapInArrow(_write(folder, date, frame_bytes, bundle_bytes), INDEX), "warc-index")
 
 
-def fetch(bundle: str, frame_start: int, frame_bytes: int, offset: int, length: int) -> tuple[dict[str, str], bytes]:
+def _open(bundle: str):
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(bundle)
+    return system.open_input_file(path)
+
+
+@lru_cache(256)
+def frames_of(bundle: str) -> list[tuple[int, int]]:
+    """(start, size) of each frame, from the bundle's footer."""
+    with _open(bundle) as source:
+        size = source.size()
+        source.seek(size - 9)
+        count = struct.unpack("<I", source.read(9)[:4])[0]
+        source.seek(max(0, size - 9 - 8 * count))
+        table = read_seek_table(source.read())
+    ends = [0]
+    for packed, _ in table:
+        ends.append(ends[-1] + packed)
+    return [(start, packed) for start, (packed, _) in zip(ends, table, strict=False)]
+
+
+def fetch(bundle: str, frame: int, offset: int, length: int) -> tuple[dict[str, str], dict[str, str], bytes]:
     """One record, by its row of the index."""
-    return next(_records(bundle, [(frame_start, frame_bytes, [(offset, length)])]))
+    return next(_records(bundle, frame, [(offset, length)]))
 
 
-def _records(bundle: str, frames) -> Iterator[tuple[dict[str, str], bytes]]:
-    from pyarrow import fs
+def _records(bundle: str, frame: int, spans) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
     from zstandard import ZstdDecompressor
 
-    system, path = fs.FileSystem.from_uri(bundle)
-    with system.open_input_file(path) as source:
-        for start, size, spans in frames:
-            source.seek(start)
-            plain = ZstdDecompressor().decompress(source.read(size))
-            for offset, length in spans:
-                yield parse_record(plain[offset : offset + length])
+    start, size = frames_of(bundle)[frame]
+    with _open(bundle) as source:
+        source.seek(start)
+        plain = ZstdDecompressor().decompress(source.read(size))
+    for offset, length in spans:
+        yield parse_record(plain[offset : offset + length])
 
 
 READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
@@ -177,20 +231,19 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             out = []
-            for fields, payload in _records(row["bundle"], [(row["frame_start"], row["frame_bytes"], [(s["offset"], s["length"]) for s in row["spans"]])]):
-                digest, size = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
+            for fields, http, payload in _records(row["bundle"], row["frame"], [(s["offset"], s["length"]) for s in row["spans"]]):
+                digest, size = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(http["Content-Length"])
                 if fields["WARC-Type"] == "response" and (payload_digest(payload), len(payload)) != (digest, size):
                     raise ValueError(f"damaged record {fields['WARC-Record-ID']} in {row['bundle']}")
-                page, first = fields["X-Page-ID"], fields.get("X-Refers-To-Page")
-                out.append((int(page) if page else None, size, digest, fields["WARC-Type"], int(first) if first else None))
+                first = fields.get("WARC-Refers-To")
+                out.append((page_of(fields["WARC-Record-ID"]), size, digest, fields["WARC-Type"], first and page_of(first)))
             yield _batch(out, READ)
 
 
 def read_bundles(index: DataFrame) -> DataFrame:
-    """All records of an index, read from their bundles frame by frame; payloads of responses
-    are held against their digests."""
-    frames = index.groupBy("bundle", "frame", "frame_start", "frame_bytes").agg(F.collect_list(F.struct("offset", "length")).alias("spans"))
-    return frames.mapInArrow(_read, READ)
+    """All records of an index, read from their bundles frame by frame through the footers; payloads of
+    responses are held against their digests."""
+    return index.groupBy("bundle", "frame").agg(F.collect_list(F.struct("offset", "length")).alias("spans")).mapInArrow(_read, READ)
 
 
 def op8_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
