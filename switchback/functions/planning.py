@@ -11,9 +11,9 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 
 def suggested_seconds(distance_km: Column, loops: Column) -> Column:
-    """20 s up to 10 km and 60 s at 100 km, in steps of five; half as much again for each further loop."""
+    """20 s up to 10 km and 60 s at 100 km, in steps of five; half as much again for each further loop; 180 s at most."""
     base = 20.0 + F.greatest(distance_km - 10.0, F.lit(0.0)) * 40.0 / 90.0
-    return F.greatest(5.0 * F.round(base / 5.0), F.lit(20.0)) * (1.0 + 0.5 * (F.greatest(loops, F.lit(1)) - 1))
+    return F.least(F.greatest(5.0 * F.round(base / 5.0), F.lit(20.0)) * (1.0 + 0.5 * (F.greatest(loops, F.lit(1)) - 1)), F.lit(180.0))
 
 
 def cap_km(ascent: Column, relief: Column) -> Column:
@@ -63,8 +63,10 @@ def effort_km(km: Column, ascent: Column) -> Column:
 
 
 def compute_seconds(km: Column, loops: Column, goal: Column, climbs: Column) -> Column:
-    factor = F.when(goal == "shortest", 0.6).when(climbs == "long", 1.8).otherwise(1.0)
-    return F.least(F.lit(15.0), (3.2 + 0.085 * km) * (1 + 0.12 * (loops - 1)) * factor) + 0.5
+    """Seconds of a request with ``goal`` max, target or min_distance; above 40 km at most two loops are searched."""
+    searched = F.when(km > 40, F.least(loops, F.lit(2))).otherwise(loops)
+    factor = F.when(goal == "min_distance", 0.6).otherwise(1.0) * F.when((climbs == "long") & (goal != "target"), 1.8).otherwise(1.0)
+    return F.least(F.lit(15.0), (3.2 + 0.085 * km) * (1 + 0.12 * (searched - 1)) * factor) + 0.5
 
 
 def next_version(version: Column) -> Column:

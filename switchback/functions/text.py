@@ -37,10 +37,10 @@ def read_opl(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def is_unpaved(tags: Column) -> Column:
     """A way without a hard surface."""
-    surface = F.substring_index(F.coalesce(F.try_element_at(tags, F.lit("surface")), F.lit("")), ";", 1)
+    surface = F.trim(F.substring_index(F.coalesce(F.try_element_at(tags, F.lit("surface")), F.lit("")), ";", 1))
     highway, grade = F.try_element_at(tags, F.lit("highway")), F.try_element_at(tags, F.lit("tracktype"))
     #: Surfaces of open ground.
-    soft = surface.isin("unpaved", "ground", "dirt", "earth", "gravel", "grass", "sand", "compacted", "fine_gravel", "pebblestone", "mud", "rock", "wood")
+    soft = surface.isin("unpaved", "compacted", "fine_gravel", "gravel", "pebblestone", "dirt", "earth", "ground", "grass", "mud", "sand", "woodchips", "rock", "clay", "soil", "stone")
     return F.coalesce(soft | ((surface == "") & ((highway.isin("path", "bridleway")) | ((highway == "track") & (F.coalesce(grade, F.lit("")) != "grade1")))), F.lit(False))
 
 

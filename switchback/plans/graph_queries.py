@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from switchback.operators.components import connected_components
+from switchback.operators.grouped import map_groups
 from switchback.plans.catalog import query
 from switchback.search import climbs as C
 from switchback.search import graphs as G
@@ -15,9 +15,8 @@ from switchback.sources.views import EDGE, PROF, edge, prof
 from switchback.storage import table
 
 
-def _graph(pdf: pd.DataFrame) -> G.Graph:
-    pdf = pdf.sort_values("eid")
-    return G.Graph(pdf.u, pdf.v, pdf.len, pdf.w, pdf.eid)
+def _graph(columns) -> G.Graph:
+    return G.Graph(columns["u"], columns["v"], columns["len"], columns["w"], columns["eid"])
 
 
 def _xy(g: G.Graph):
@@ -26,8 +25,7 @@ def _xy(g: G.Graph):
 
 def per_graph(rows, kernel, schema):
     """Runs ``kernel(g, graph) -> rows`` for each graph."""
-    names = [part.split()[0] for part in schema.split(", ")]
-    return rows.groupBy("g").applyInPandas(lambda pdf: pd.DataFrame(kernel(int(pdf.g.iloc[0]), _graph(pdf)), columns=names), schema)
+    return map_groups(rows, "g", ["eid"], lambda k, columns: kernel(k, _graph(columns)), schema)
 
 
 _BOTH = "b AS (SELECT g, eid, u AS a, v AS c, len FROM edge UNION ALL SELECT g, eid, v, u, len FROM edge)"
@@ -73,16 +71,18 @@ def g4(spark, sf):
     return per_graph(edge(spark, sf), kernel, "g bigint, eid bigint, reach bigint")
 
 
-@query("g1_contraction_keeps_totals", f"WITH {EDGE} SELECT g, CAST(sum(len) AS BIGINT) AS len, CAST(sum(w) AS BIGINT) AS w, CAST(0 AS BIGINT) AS passable FROM edge GROUP BY g")
+@query("g1_contraction", f"""WITH {EDGE}, n AS (SELECT g, node, count(*) AS ends, count(DISTINCT eid) AS edges FROM (SELECT g, eid, u AS node FROM edge UNION ALL SELECT g, eid, v FROM edge) GROUP BY g, node), p AS (SELECT g, count(*) FILTER (ends = 2 AND edges = 2) AS through FROM n GROUP BY g)
+SELECT g, greatest(count(*) - max(through), 1) AS edges, CAST(sum(len) AS BIGINT) AS len, CAST(sum(w) AS BIGINT) AS w FROM edge JOIN p USING (g) GROUP BY g""")
 def g1(spark, sf):
+    """A connected graph loses an edge for each node of degree two; a ring keeps one."""
+
     def kernel(k, g):
-        small, _ = G.contract(g)
-        adjacency = small.adjacency()
-        loops = [sum(small.u[e] == small.v[e] == n for e, _ in adjacency[n]) for n in adjacency]
-        passable = sum(len(adjacency[n]) == 2 and not own for n, own in zip(adjacency, loops, strict=True))
-        return [(k, int(sum(small.length)), int(sum(small.w)), passable)]
+        small, chains = G.contract(g)
+        if sorted(e for chain in chains for e in chain) != list(range(len(g.u))):
+            return []
+        return [(k, len(small.u), int(sum(small.length)), int(sum(small.w)))]
 
-    return per_graph(edge(spark, sf), kernel, "g bigint, len bigint, w bigint, passable bigint")
+    return per_graph(edge(spark, sf), kernel, "g bigint, edges bigint, len bigint, w bigint")
 
 
 @query("g3_prune_invariants", f"WITH {EDGE} SELECT g, CAST(0 AS BIGINT) AS bad FROM edge GROUP BY g")
@@ -105,69 +105,99 @@ def g16(spark, sf):
     return per_graph(edge(spark, sf), lambda k, g: [(k, len(G.half_edge_cycles(g, _xy(g))))], "g bigint, faces bigint")
 
 
-@query("g8_access_bridges", f"WITH RECURSIVE {EDGE}, {_BRIDGE} SELECT g, CAST(0 AS BIGINT) AS outside FROM edge GROUP BY g")
+def _early(spark, sf):
+    """The first part of each walk, which has more dead ends and bridges."""
+    return edge(spark, sf).where("eid < 12")
+
+
+_EARLY = EDGE.replace("AND u <> v)", "AND u <> v AND eid < 12)")
+
+
+#: Both sides of each bridge: their nodes and edges, and whether the start is there. Peeling leaves a bridge if
+#: either side has the start or a ring, that is as many edges as nodes.
+_ACCESS = f"""{_BRIDGE}, s AS (SELECT g, arg_min(u, eid) AS s FROM edge GROUP BY g), side(g, skip, top, node) AS (SELECT g, eid, u, u FROM edge SEMI JOIN cut USING (g, eid) UNION SELECT g, eid, v, v FROM edge SEMI JOIN cut USING (g, eid) UNION SELECT r.g, r.skip, r.top, b.c FROM side AS r JOIN b ON b.g = r.g AND b.a = r.node AND b.eid <> r.skip),
+nodes AS (SELECT side.g, skip, top, count(*) AS n, bool_or(node = s.s) AS home FROM side JOIN s ON s.g = side.g GROUP BY side.g, skip, top), inner_edges AS (SELECT side.g, skip, top, count(*) AS m FROM side JOIN edge AS e ON e.g = side.g AND e.u = side.node AND e.eid <> side.skip GROUP BY side.g, skip, top),
+access AS (SELECT nodes.g, skip AS eid FROM nodes LEFT JOIN inner_edges USING (g, skip, top) GROUP BY nodes.g, skip HAVING bool_and(home OR coalesce(m, 0) >= n))"""
+
+
+@query("g8_access_bridges", f"WITH RECURSIVE {_EARLY}, {_ACCESS} SELECT g, eid FROM access")
 def g8(spark, sf):
-    """Access bridges are bridges of the whole graph."""
-    return per_graph(edge(spark, sf), lambda k, g: [(k, len(G.access_bridges(g, g.u[0]) - G.bridges(g)))], "g bigint, outside bigint")
+    return per_graph(_early(spark, sf), lambda k, g: [(k, g.ids[e]) for e in sorted(G.access_bridges(g, g.u[0]))], "g bigint, eid bigint")
 
 
-@query("g9_duplicates_near_start", f"WITH {EDGE} SELECT g, count(*) AS originals, CAST(0 AS BIGINT) AS bridges_near FROM edge GROUP BY g")
+@query("g9_duplicates_near_start", f"""WITH RECURSIVE {_EARLY}, {_ACCESS}, near(g, node, d) AS (SELECT g, s, CAST(0 AS BIGINT) FROM s UNION SELECT near.g, b.c, near.d + b.len FROM near JOIN b ON b.g = near.g AND b.a = near.node WHERE near.d + b.len <= 200), m AS (SELECT DISTINCT g, node FROM near)
+SELECT g, eid FROM access JOIN edge USING (g, eid) WHERE EXISTS (SELECT 1 FROM m WHERE m.g = edge.g AND m.node = edge.u) AND EXISTS (SELECT 1 FROM m WHERE m.g = edge.g AND m.node = edge.v)""")
 def g9(spark, sf):
+    """The access bridges within 200 m of the start, which get a copy."""
+
     def kernel(k, g):
-        more = G.duplicate_near_start(g, g.u[0], 1e9)
-        return [(k, len(g.u), len(G.access_bridges(more, g.u[0])))]
+        more = G.duplicate_near_start(g, g.u[0], 200.0)
+        return [(k, e) for e in more.ids[len(g.u) :]]
 
-    return per_graph(edge(spark, sf), kernel, "g bigint, originals bigint, bridges_near bigint")
+    return per_graph(_early(spark, sf), kernel, "g bigint, eid bigint")
 
 
 def _case(g: G.Graph) -> L.Instance:
     return L.Instance(g, g.u[0], "max", 600.0, tol=0.3)
 
 
-@query("g13_g14_l1_loops_are_valid", f"WITH {EDGE} SELECT g, CAST(0 AS BIGINT) AS bad FROM edge GROUP BY g")
+@query("g13_closed_walks", f"WITH {EDGE} SELECT g, 2 * count(*) AS steps, CAST(2 * sum(len) AS BIGINT) AS len, arg_min(u, eid) AS first, arg_min(u, eid) AS last FROM edge GROUP BY g")
 def g13(spark, sf):
-    """Seeded loops, checked and walked: one closed walk over each edge once."""
+    """One closed walk over each edge twice, from the start."""
+
+    def kernel(k, g):
+        twice = G.Graph(g.u + g.u, g.v + g.v, g.length + g.length)
+        walk = G.circuit(twice, range(len(twice.u)), g.u[0])
+        joined = all(a[2] == b[1] and {b[1], b[2]} == {twice.u[b[0]], twice.v[b[0]]} for a, b in zip(walk, walk[1:], strict=False))
+        return [(k, len({e for e, *_ in walk}), int(sum(twice.length[e] for e, *_ in walk)), walk[0][1], walk[-1][2])] if joined else []
+
+    return per_graph(edge(spark, sf), kernel, "g bigint, steps bigint, len bigint, first bigint, last bigint")
+
+
+@query("l1_l8_best_small_loops", f"""WITH RECURSIVE {_EARLY}, b AS (SELECT g, eid, u AS a, v AS c, len, w FROM edge UNION ALL SELECT g, eid, v, u, len, w FROM edge), s AS (SELECT g, arg_min(u, eid) AS s FROM edge GROUP BY g),
+t(g, node, used, len, w) AS (SELECT g, s, CAST([] AS BIGINT[]), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM s UNION ALL SELECT t.g, b.c, list_append(t.used, b.eid), t.len + b.len, t.w + b.w FROM t JOIN b ON b.g = t.g AND b.a = t.node AND NOT list_contains(t.used, b.eid)),
+c AS (SELECT t.g, len BETWEEN 420 AND 780 AS feasible, round(w - 3 * (w / greatest(CAST(len AS DOUBLE), 1.0)) * greatest(0, len - 600) - 0.5 * (greatest(0, 420 - len) + greatest(0, len - 780)), 6) AS score FROM t JOIN s ON s.g = t.g AND s.s = t.node WHERE len(used) > 0)
+SELECT g, bool_or(feasible) AS feasible, coalesce(max(score) FILTER (feasible), max(score)) AS score FROM c GROUP BY g""")
+def l1(spark, sf):
+    """The best loop of a small graph over its cycle space; a seeded search finds no better one, and a valid one."""
 
     def kernel(k, g):
         case = _case(g)
-        loop = L.probe(case, k, _xy(g), tries=4, rounds=10)
-        bad = 0 if loop is None else len(G.violations(g, loop, g.u[0])) + (len(G.circuit(g, loop, g.u[0])) != len(loop))
-        return [(k, bad)]
+        best = L.best_by_cycle_space(case)
+        tried = L.probe(case, k, _xy(g), tries=4, rounds=10)
+        if best is None or (tried is not None and (G.violations(g, tried, g.u[0]) or case.key(tried) > case.key(best))):
+            return []
+        return [(k, case.feasible(best), round(case.score(best), 6))]
 
-    return per_graph(edge(spark, sf), kernel, "g bigint, bad bigint")
+    return per_graph(_early(spark, sf), kernel, "g bigint, feasible boolean, score double")
 
 
 @query("l4_multi_start", None)
 def l4(spark, sf):
-    """Probes are rows: each graph is searched from several seeds, the best of them is kept."""
-    seeds = spark.range(4).select(F.col("id").alias("seed"))
-    rows = edge(spark, sf).join(F.broadcast(seeds))
+    """Each graph is searched from several seeds, which share its faces; the best loop is kept, the first of equal ones."""
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, seed = _graph(pdf), int(pdf.seed.iloc[0])
-        case = _case(g)
-        loop = L.probe(case, seed, _xy(g), tries=4, rounds=12)
-        length, w = case.totals(loop or [])
-        return pd.DataFrame([(int(pdf.g.iloc[0]), seed, loop is not None and case.feasible(loop), case.score(loop) if loop else None, length, w, [g.ids[e] for e in loop or []])], columns=["g", "seed", "feasible", "score", "length", "w", "edges"])
+    def kernel(k, g):
+        case, faces = _case(g), G.faces(g, _xy(g), 1.3 * 600.0)
+        tried = [(seed, L.probe(case, seed, tries=4, rounds=12, faces=faces)) for seed in range(4)]
+        best = max(((seed, loop) for seed, loop in tried if loop), key=lambda x: (case.key(x[1]), -x[0]), default=(0, None))
+        seed, loop = best
+        return [(k, seed, bool(loop) and case.feasible(loop), case.score(loop) if loop else None, *case.totals(loop or []), [g.ids[e] for e in loop or []])]
 
-    tried = rows.groupBy("g", "seed").applyInPandas(kernel, "g bigint, seed bigint, feasible boolean, score double, length double, w double, edges array<bigint>")
-    return tried.groupBy("g").agg(F.max_by(F.struct("seed", "feasible", "score", "length", "w", "edges"), F.struct("feasible", F.coalesce("score", F.lit(-1e18)), -F.col("seed"))).alias("b")).select("g", "b.*")
+    return per_graph(edge(spark, sf), kernel, "g bigint, seed bigint, feasible boolean, score double, length double, w double, edges array<bigint>")
 
 
-@query("g21_harmonic", f"WITH {EDGE} SELECT g, CAST(0 AS BIGINT) AS off FROM edge GROUP BY g")
+@query("g21_harmonic", f"""WITH RECURSIVE {EDGE}, b AS (SELECT g, u AS a, v AS c, len FROM edge UNION ALL SELECT g, v, u, len FROM edge), known AS (SELECT DISTINCT g, a AS node, CAST(a * a % 83 AS DOUBLE) AS z FROM b WHERE a % 3 = 0),
+x(g, node, z, n) AS (SELECT g, node, coalesce(z, 0.0), 0 FROM (SELECT DISTINCT b.g, a AS node, known.z FROM b LEFT JOIN known ON known.g = b.g AND known.node = b.a WHERE b.g IN (SELECT g FROM known)) UNION ALL
+SELECT y.g, y.node, coalesce(known.z, y.z), n FROM (SELECT b.g, b.a AS node, sum(x.z / b.len) / sum(CAST(1 AS DOUBLE) / b.len) AS z, max(x.n) + 1 AS n FROM x JOIN b ON b.g = x.g AND b.c = x.node WHERE x.n < 150 GROUP BY b.g, b.a) AS y LEFT JOIN known ON known.g = y.g AND known.node = y.node)
+SELECT g, node, round(z, 5) AS z FROM x WHERE n = 150""")
 def g21(spark, sf):
-    """Free nodes are the weighted mean of their neighbours."""
+    """Free nodes are the weighted mean of their neighbours; the SQL gets there by repeated means."""
 
     def kernel(k, g):
-        known = {n: float(n * n % 83) for n in {*g.u, *g.v} if n % 3 == 0} or {g.u[0]: 1.0}
-        z = known | G.harmonic(g.u, g.v, g.length, known)
-        off = 0
-        for n in set(z) - set(known):
-            parts = [(z[g.other(e, n)], 1 / g.length[e]) for e, _ in g.adjacency()[n]]
-            off += abs(sum(a * b for a, b in parts) / sum(b for _, b in parts) - z[n]) > 1e-6
-        return [(k, off)]
+        known = {n: float(n * n % 83) for n in {*g.u, *g.v} if n % 3 == 0}
+        return [(k, n, round(z, 5)) for n, z in (known | G.harmonic(g.u, g.v, g.length, known)).items()] if known else []
 
-    return per_graph(edge(spark, sf), kernel, "g bigint, off bigint")
+    return per_graph(edge(spark, sf), kernel, "g bigint, node bigint, z double")
 
 
 @query("a21_length_lower_bound", f"""WITH {EDGE}, e AS (SELECT g, eid, len, w, (eid * 37) % 400 AS r FROM edge), c AS (SELECT DISTINCT g, r AS cap FROM e),
@@ -182,71 +212,86 @@ def a21(spark, sf):
 
 
 def per_profile(rows, kernel, schema):
-    names = [part.split()[0] for part in schema.split(", ")]
+    return map_groups(rows, "g", ["i"], lambda k, columns: kernel(k, columns["z"].astype(float), columns["s"].astype(float)), schema)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        return pd.DataFrame(kernel(int(pdf.g.iloc[0]), pdf.z.to_numpy(float), pdf.s.to_numpy(float)), columns=names)
 
-    return rows.groupBy("g").applyInPandas(run, schema)
+def _base_sql(prof: str, tag: str) -> str:
+    """CTEs k and base of the climbs of ``prof`` before any merge."""
+    return f"""k{tag} AS (SELECT g, i, lo, lz, hi, hz, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM (SELECT g, i, i AS lo, z AS lz, CAST(NULL AS BIGINT) AS hi, CAST(NULL AS BIGINT) AS hz FROM {prof} WHERE i = 0)
+UNION ALL SELECT g, i, CASE WHEN shut OR down THEN i ELSE lo END, CASE WHEN shut OR down THEN z ELSE lz END, CASE WHEN shut THEN NULL WHEN up THEN i ELSE hi END, CASE WHEN shut THEN NULL WHEN up THEN z ELSE hz END, CASE WHEN shut THEN lo END, CASE WHEN shut THEN hi END FROM (
+SELECT p.g, p.i, p.z, k.lo, k.lz, k.hi, k.hz, k.hi IS NULL AND p.z < k.lz AS down, CASE WHEN k.hi IS NULL THEN p.z - k.lz >= 10 ELSE p.z > k.hz END AS up, k.hi IS NOT NULL AND k.hz - p.z >= least(greatest(0.15 * (k.hz - k.lz), 10.0), 25.0) AS shut FROM k{tag} AS k JOIN {prof} AS p ON p.g = k.g AND p.i = k.i + 1)),
+base{tag} AS (SELECT g, a AS low, b AS top FROM k{tag} WHERE a IS NOT NULL UNION ALL SELECT g, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY i DESC) AS n FROM k{tag}) WHERE n = 1 AND hi IS NOT NULL)"""
 
 
-@query("w13_base_climbs", f"""WITH RECURSIVE {PROF}, k AS (SELECT g, i, lo, lz, hi, hz, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM (SELECT g, i, i AS lo, z AS lz, CAST(NULL AS BIGINT) AS hi, CAST(NULL AS BIGINT) AS hz FROM prof WHERE i = 0)
-UNION ALL SELECT g, i, CASE WHEN shut OR down THEN i ELSE lo END, CASE WHEN shut OR down THEN z ELSE lz END, CASE WHEN shut THEN NULL WHEN up THEN i ELSE hi END, CASE WHEN shut THEN NULL WHEN up THEN z ELSE hz END, CASE WHEN shut THEN lo END, CASE WHEN shut THEN hi END FROM (
-SELECT p.g, p.i, p.z, k.lo, k.lz, k.hi, k.hz, k.hi IS NULL AND p.z < k.lz AS down, CASE WHEN k.hi IS NULL THEN p.z - k.lz >= 10 ELSE p.z > k.hz END AS up, k.hi IS NOT NULL AND k.hz - p.z >= least(greatest(0.15 * (k.hz - k.lz), 10.0), 25.0) AS shut FROM k JOIN prof AS p ON p.g = k.g AND p.i = k.i + 1))
-SELECT g, a AS low, b AS top FROM k WHERE a IS NOT NULL UNION ALL SELECT g, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY i DESC) AS n FROM k) WHERE n = 1 AND hi IS NOT NULL""")
+_GAP = "greatest(CASE WHEN c[i + 1].sa > c[i].sb THEN (c[i + 1].sa - c[i].sb) / (CAST(0.25 AS DOUBLE) * least(c[i].sb - c[i].sa, c[i + 1].sb - c[i + 1].sa)) ELSE 0 END, CASE WHEN c[i].zb > c[i + 1].za THEN (c[i].zb - c[i + 1].za) / (CAST(0.3 AS DOUBLE) * least(c[i].zb - c[i].za, c[i + 1].zb - c[i + 1].za)) ELSE 0 END)"
+
+
+def _climb_sql(prof: str, tag: str) -> str:
+    """CTE climb (g, k, gain, length) after all merges, which are steps on a list of climbs."""
+    return f"""{_base_sql(prof, tag)}, c0{tag} AS (SELECT e.g, list({{'sa': p.s, 'za': p.z, 'sb': q.s, 'zb': q.z}} ORDER BY e.low) AS c FROM base{tag} AS e JOIN {prof} AS p ON p.g = e.g AND p.i = e.low JOIN {prof} AS q ON q.g = e.g AND q.i = e.top GROUP BY e.g),
+m{tag}(g, c) AS (SELECT g, c FROM c0{tag} UNION ALL SELECT g, c[1:p - 1] || [{{'sa': c[p].sa, 'za': c[p].za, 'sb': c[p + 1].sb, 'zb': c[p + 1].zb}}] || c[p + 2:] FROM (SELECT g, c, least_gap, list_position(gaps, least_gap) AS p FROM (SELECT g, c, gaps, list_min(gaps) AS least_gap FROM (SELECT g, c, list_transform(range(1, len(c)), lambda i: {_GAP}) AS gaps FROM m{tag} WHERE len(c) > 1))) WHERE least_gap <= 1),
+l{tag} AS (SELECT g, c FROM m{tag} QUALIFY row_number() OVER (PARTITION BY g ORDER BY len(c)) = 1), climb{tag} AS (SELECT g, k, CAST(c[k + 1].zb - c[k + 1].za AS DOUBLE) AS gain, CAST(c[k + 1].sb - c[k + 1].sa AS DOUBLE) AS length FROM (SELECT g, c, unnest(range(len(c))) AS k FROM l{tag}))"""
+
+
+@query("w13_base_climbs", f"WITH RECURSIVE {PROF}, {_base_sql('prof', '')} SELECT g, low, top FROM base")
 def w13(spark, sf):
     return per_profile(prof(spark, sf), lambda g, z, s: [(g, a, b) for a, b in C.base_climbs(z)], "g bigint, low bigint, top bigint")
 
 
-@query("w14_merged_climbs", None)
+def _walk(spark, sf, span, down):
+    """Rolling profiles: running sums of small steps."""
+    over = W.partitionBy("g").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    return prof(spark, sf).withColumn("z", F.sum(F.col("z") % span - down).over(over))
+
+
+def _walk_sql(span, down):
+    return f"{PROF}, walk AS (SELECT g, i, s, CAST(sum(z % {span} - {down}) OVER (PARTITION BY g ORDER BY i) AS BIGINT) AS z FROM prof)"
+
+
+@query("w14_merged_climbs", f"WITH RECURSIVE {_walk_sql(21, 9)}, {_climb_sql('walk', '')} SELECT g, k, gain, length FROM climb")
 def w14(spark, sf):
-    return per_profile(prof(spark, sf), lambda g, z, s: [(g, k, *c) for k, c in enumerate(C.climbs(z, s))], "g bigint, k bigint, gain double, length double")
+    return per_profile(_walk(spark, sf, 21, 9), lambda g, z, s: [(g, k, *c) for k, c in enumerate(C.climbs(z, s))], "g bigint, k bigint, gain double, length double")
 
 
-@query("a10_track_summary", None)
+@query("a10_track_summary", f"""WITH RECURSIVE {_walk_sql(21, 9)}, {_climb_sql('walk', '')}, a AS (SELECT g, count(*) FILTER (gain >= 20) AS n, arg_max(gain, {{'l': length, 'k': -k}}) AS lg, max(length) AS ll, sum(gain * gain) / sum(gain) AS wg, 100 * sum(gain) / sum(length) AS mg FROM climb GROUP BY g)
+SELECT g, coalesce(n, 0) AS count, coalesce(lg, 0.0) AS longest_gain, coalesce(ll, 0.0) AS longest_length, round(coalesce(wg, 0.0), 9) AS weighted_gain, round(coalesce(mg, 0.0), 9) AS mean_grade FROM (SELECT DISTINCT g FROM prof) LEFT JOIN a USING (g)""")
 def a10(spark, sf):
     schema = "g bigint, count bigint, longest_gain double, longest_length double, weighted_gain double, mean_grade double"
-    return per_profile(prof(spark, sf), lambda g, z, s: [(g, *C.summary(z, s).values())], schema)
+    found = per_profile(_walk(spark, sf, 21, 9), lambda g, z, s: [(g, *C.summary(z, s).values())], schema)
+    return found.withColumns({c: F.round(c, 9) for c in ("weighted_gain", "mean_grade")})
 
 
-@query("f26_track_direction", None)
+@query("f26_track_direction", f"""WITH RECURSIVE {_walk_sql(21, 9)}, back AS (SELECT g, max(i) OVER w - i AS i, max(s) OVER w - s AS s, z FROM walk WINDOW w AS (PARTITION BY g)), {_climb_sql('walk', '')}, {_climb_sql('back', '_r')},
+a AS (SELECT g, sum(gain * gain) / sum(gain) AS x FROM climb GROUP BY g), r AS (SELECT g, sum(gain * gain) / sum(gain) AS x FROM climb_r GROUP BY g)
+SELECT g, coalesce(r.x, 0) > coalesce(a.x, 0) AS long_reversed, coalesce(r.x, 0) < coalesce(a.x, 0) AS short_reversed FROM (SELECT DISTINCT g FROM prof) LEFT JOIN a USING (g) LEFT JOIN r USING (g)""")
 def f26(spark, sf):
-    return per_profile(prof(spark, sf), lambda g, z, s: [(g, C.prefer_reverse(z, s, True), C.prefer_reverse(z, s, False))], "g bigint, long_reversed boolean, short_reversed boolean")
+    return per_profile(_walk(spark, sf, 21, 9), lambda g, z, s: [(g, C.prefer_reverse(z, s, True), C.prefer_reverse(z, s, False))], "g bigint, long_reversed boolean, short_reversed boolean")
 
 
-@query("w11_grade_cap_holds", f"WITH {PROF} SELECT g, CAST(0 AS BIGINT) AS steep FROM prof GROUP BY g HAVING count(*) > 1")
-def w11(spark, sf):
-    """After the cap no step is too steep, unless the whole profile is."""
+_WIDE = "abs(z[least(k + 1 + r, len(z))] - z[greatest(k - r, 1)]) <= CAST(0.3 AS DOUBLE) * 5 * (least(k + 1 + r, len(z)) - greatest(k - r, 1)) OR (k - r <= 1 AND k + 1 + r >= len(z))"
 
-    def kernel(g, z, s):
-        if len(z) < 2:
-            return []
-        out = C.cap_road_grade(s, z, 0.3)
-        whole = abs(z[-1] - z[0]) > 0.3 * (s[-1] - s[0])
-        return [(g, 0 if whole else int((abs(out[1:] - out[:-1]) > 1.5 + 1e-6).sum()))]
 
-    return per_profile(prof(spark, sf), kernel, "g bigint, steep bigint")
+@query("w11_grade_cap", f"""WITH RECURSIVE {_walk_sql(5, 2)}, c(g, z) AS (SELECT g, list(CAST(z AS DOUBLE) ORDER BY i) FROM walk GROUP BY g), x(g, n, z, ended) AS (SELECT g, 0, z, false FROM c UNION ALL
+SELECT g, n + 1, list_transform(range(1, len(z) + 1), lambda i: CASE WHEN i BETWEEN a AND b THEN z[a] + (z[b] - z[a]) * (i - a) / (b - a) ELSE z[i] END), a = 1 AND b = len(z) FROM (SELECT g, n, z, greatest(k - r, 1) AS a, least(k + 1 + r, len(z)) AS b FROM (
+SELECT g, n, z, k, list_filter(range(0, len(z)), lambda r: {_WIDE})[1] AS r FROM (SELECT g, n, z, list_position(list_transform(range(1, len(z)), lambda i: abs(z[i + 1] - z[i]) > 1.5 + 1e-9), true) AS k FROM x WHERE NOT ended) WHERE k > 0))),
+l AS (SELECT g, z FROM x QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC) = 1) SELECT g, i, round(z[i + 1], 4) AS z FROM (SELECT g, z, unnest(range(len(z))) AS i FROM l)""")
+def w11(spark, sf):
+    """Profiles without a step of over 30 %."""
+    return per_profile(_walk(spark, sf, 5, 2), lambda g, z, s: [(g, i, x) for i, x in enumerate(C.cap_road_grade(s, z, 0.3))], "g bigint, i bigint, z double").withColumn("z", F.round("z", 4))
 
 
-@query("f30_simplified_lines", f"WITH {PROF} SELECT g, CAST(0 AS BIGINT) AS far FROM prof GROUP BY g")
+@query("f30_simplified_lines", f"""WITH RECURSIVE {PROF}, d(g, a, b) AS (SELECT g, CAST(0 AS BIGINT), max(i) FROM prof GROUP BY g UNION ALL SELECT g, unnest([a, j]), unnest([j, b]) FROM (SELECT g, a, b, -far.i AS j FROM (
+SELECT g, a, b, max({{'f': round(sqrt(pow(px - t * dx, 2) + pow(pz - t * dz, 2)), 9), 'i': -i}}) AS far FROM (SELECT *, least(greatest((px * dx + pz * dz) / greatest(CAST(dx * dx + dz * dz AS DOUBLE), 1e-12), 0), 1) AS t FROM (
+SELECT d.g, d.a, d.b, p.i, p.s - l.s AS px, p.z - l.z AS pz, r.s - l.s AS dx, r.z - l.z AS dz FROM d JOIN prof AS p ON p.g = d.g AND p.i > d.a AND p.i < d.b JOIN prof AS l ON l.g = d.g AND l.i = d.a JOIN prof AS r ON r.g = d.g AND r.i = d.b)) GROUP BY g, a, b) WHERE far.f > 40))
+SELECT DISTINCT g, i FROM (SELECT g, a AS i FROM d UNION ALL SELECT g, b FROM d)""")
 def f30(spark, sf):
-    """Every dropped point is within the tolerance of the kept line."""
-    import numpy as np
-
-    def kernel(g, z, s):
-        keep = C.simplify(s, z, 40.0)
-        far = 0
-        for a, b in zip(keep, keep[1:], strict=False):
-            dx, dz = s[b] - s[a], z[b] - z[a]
-            t = np.clip(((s[a:b] - s[a]) * dx + (z[a:b] - z[a]) * dz) / max(dx * dx + dz * dz, 1e-12), 0, 1)
-            far += int((np.hypot(s[a:b] - s[a] - t * dx, z[a:b] - z[a] - t * dz) > 40.0 + 1e-9).sum())
-        return [(g, far)]
-
-    return per_profile(prof(spark, sf), kernel, "g bigint, far bigint")
+    """The points that a line within 40 m keeps."""
+    return per_profile(prof(spark, sf), lambda g, z, s: [(g, int(i)) for i in C.simplify(s, z, 40.0)], "g bigint, i bigint")
 
 
-@query("o4_spread_out_points", None)
+@query("o4_spread_out_points", f"""WITH RECURSIVE {PROF}, o(g, n, c) AS (SELECT DISTINCT g, 0, CAST([] AS STRUCT(i BIGINT, s BIGINT, z BIGINT)[]) FROM prof UNION ALL SELECT g, n + 1, list_append(c, {'{'}'i': -best.i, 's': best.s, 'z': best.z{'}'}) FROM (
+SELECT o.g, o.n, o.c, max({'{'}'z': p.z, 'i': -p.i, 's': p.s{'}'}) AS best FROM o JOIN prof AS p ON p.g = o.g WHERE o.n < 6 AND len(list_filter(o.c, lambda q: (q.s - p.s) * (q.s - p.s) + (q.z - p.z) * (q.z - p.z) < 3600)) = 0 GROUP BY o.g, o.n, o.c))
+SELECT g, n - 1 AS rank, c[n].i AS i FROM o WHERE n > 0""")
 def o4(spark, sf):
     def kernel(g, z, s):
         return [(g, k, p) for k, p in enumerate(G.spread_out(list(zip(s, z, strict=True)), list(z), 6, 60.0))]

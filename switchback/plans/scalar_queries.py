@@ -57,6 +57,18 @@ def f2(spark, sf):
     return rows.select("k", x.alias("x"), y.alias("y")).select("k", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
 
 
+_N = "(1 / (2 * 298.257222101 - 1))"
+_KRUGER = [f"({_N} / 2 - 2 * pow({_N}, 2) / 3 + 5 * pow({_N}, 3) / 16 + 41 * pow({_N}, 4) / 180)", f"(13 * pow({_N}, 2) / 48 - 3 * pow({_N}, 3) / 5 + 557 * pow({_N}, 4) / 1440)", f"(61 * pow({_N}, 3) / 240 - 103 * pow({_N}, 4) / 140)", f"(49561 * pow({_N}, 4) / 161280)"]
+_UTM_SUMS = [" + ".join(f"{a} * {f}({2 * k} * xi) * {h}({2 * k} * eta)" for k, a in enumerate(_KRUGER, 1)) for f, h in (("sin", "cosh"), ("cos", "sinh"))]
+
+
+@query("f2_utm_forward", f"""WITH {_LL}, p AS (SELECT k, radians(lat - 65) AS phi, radians(lon - 5) AS lam FROM ll), t AS (SELECT k, lam, sinh(atanh(sin(phi)) - {_E} * atanh({_E} * sin(phi))) AS t FROM p), x AS (SELECT k, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t),
+r AS (SELECT *, 0.9996 * {_A} / (1 + {_N}) * (1 + pow({_N}, 2) / 4 + pow({_N}, 4) / 64) AS r FROM x) SELECT k, round(500000 + r * (eta + {_UTM_SUMS[1]}), 4) AS x, round(10000000 + r * (xi + {_UTM_SUMS[0]}), 4) AS y FROM r""")
+def f2f(spark, sf):
+    x, y = G.utm_forward(2975, F.col("lon") - 5 + 57, F.col("lat") - 65)
+    return _lonlat(spark, sf).select("k", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
+
+
 @query("f3_local_frame", f"WITH {SEG} SELECT id, round((x - 20000) / 0.9995, 4) AS lx, round((y - 20000) / 0.9995, 4) AS ly FROM seg")
 def f3(spark, sf):
     lx, ly = G.local_frame(F.col("x"), F.col("y"), F.lit(20000), F.lit(20000), F.lit(0.9995))
@@ -123,9 +135,9 @@ def f17(spark, sf):
     return _requests(spark, sf).select("id", PL.on_target(F.col("len"), F.lit(40000)).alias("held"))
 
 
-@query("f18_suggested_time", f"WITH {_REQ} SELECT id, greatest(5.0 * round((20.0 + greatest(len / 1000 - 10.0, 0.0) * 40.0 / 90.0) / 5.0), 20.0) * (1.0 + 0.5 * (n - 1)) AS seconds FROM r")
+@query("f18_suggested_time", f"WITH {_REQ} SELECT id, least(greatest(5.0 * round((20.0 + greatest(len / 1000 - 10.0, 0.0) * 40.0 / 90.0) / 5.0), 20.0) * (1.0 + 0.5 * (n + 1)), 180.0) AS seconds FROM r")
 def f18(spark, sf):
-    return _requests(spark, sf).select("id", PL.suggested_seconds(F.col("len") / 1000, F.col("n")).alias("seconds"))
+    return _requests(spark, sf).select("id", PL.suggested_seconds(F.col("len") / 1000, F.col("n") + 2).alias("seconds"))
 
 
 @query("f19_default_cap", f"WITH {_REQ} SELECT id, round(least(greatest(up / CASE WHEN n < 3 THEN 15.0 ELSE 25.0 END, 3.0), 60.0), 6) AS cap FROM r")
@@ -159,10 +171,9 @@ def f28(spark, sf):
     return _requests(spark, sf).select("id", F.round(PL.effort_km(F.col("len") / 1000, F.col("up")), 4).alias("effort"))
 
 
-@query("f29_compute_estimate", f"WITH {_REQ} SELECT id, round(least(15.0, (3.2 + 0.085 * (len / 1000)) * (1 + 0.12 * (n - 1)) * CASE WHEN mode = 'min_distance' THEN 0.6 WHEN n = 4 THEN 1.8 ELSE 1.0 END) + 0.5, 6) AS seconds FROM r")
+@query("f29_compute_estimate", f"""WITH {_REQ} SELECT id, round(least(15.0, (3.2 + 0.085 * (len / 1000)) * (1 + 0.12 * (CASE WHEN len > 40000 AND n > 2 THEN 2 ELSE n END - 1)) * CASE WHEN mode = 'min_distance' THEN 0.6 ELSE 1.0 END * CASE WHEN n >= 3 AND mode <> 'target' THEN 1.8 ELSE 1.0 END) + 0.5, 6) AS seconds FROM r""")
 def f29(spark, sf):
-    goal = F.when(F.col("mode") == "min_distance", "shortest").otherwise("other")
-    return _requests(spark, sf).select("id", F.round(PL.compute_seconds(F.col("len") / 1000, F.col("n"), goal, F.when(F.col("n") == 4, "long").otherwise("balanced")), 6).alias("seconds"))
+    return _requests(spark, sf).select("id", F.round(PL.compute_seconds(F.col("len") / 1000, F.col("n"), F.col("mode"), F.when(F.col("n") >= 3, "long").otherwise("balanced")), 6).alias("seconds"))
 
 
 @query("f33_digests", "SELECT p_partkey, sha256(p_name) AS sha, upper(hex(p_name)) AS hx FROM part")
@@ -293,9 +304,14 @@ def k9(spark, sf):
     return table(spark, sf, "part").select("p_partkey", MS.hmac_sha256(_KEY, F.col("p_name")).alias("mac"))
 
 
-@query("p2_soft_ways", "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN true WHEN 1 THEN p_size % 3 <> 0 WHEN 2 THEN false ELSE true END AS soft FROM part")
+_SURFACES = "unpaved compacted fine_gravel gravel pebblestone dirt earth ground grass mud sand woodchips rock clay soil stone asphalt paved wood concrete".split()
+
+
+@query("p2_soft_ways", f"""SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN p_partkey % {len(_SURFACES)} < 16 WHEN 1 THEN p_size % 3 <> 0 WHEN 2 THEN false ELSE p_partkey % 2 = 0 END AS soft FROM part""")
 def p2(spark, sf):
-    """Ways by surface, then by kind."""
-    tags = F.when(F.col("p_size") % 4 == 0, F.create_map(F.lit("surface"), F.lit("gravel;mud"))).when(F.col("p_size") % 4 == 1, F.create_map(F.lit("highway"), F.lit("track"), F.lit("tracktype"), F.when(F.col("p_size") % 3 == 0, "grade1").otherwise("grade3")))
-    tags = tags.when(F.col("p_size") % 4 == 2, F.create_map(F.lit("highway"), F.lit("path"), F.lit("surface"), F.lit("asphalt"))).otherwise(F.create_map(F.lit("highway"), F.lit("bridleway")))
+    """Ways by surface (the first of a list, trimmed), then by kind."""
+    surface = F.get(F.array(*[F.lit(x) for x in _SURFACES]), (F.col("p_partkey") % len(_SURFACES)).cast("int"))
+    tags = F.when(F.col("p_size") % 4 == 0, F.create_map(F.lit("surface"), F.concat(F.lit(" "), surface, F.lit(" ;asphalt"))))
+    tags = tags.when(F.col("p_size") % 4 == 1, F.create_map(F.lit("highway"), F.lit("track"), F.lit("tracktype"), F.when(F.col("p_size") % 3 == 0, "grade1").otherwise("grade3")))
+    tags = tags.when(F.col("p_size") % 4 == 2, F.create_map(F.lit("highway"), F.lit("path"), F.lit("surface"), F.lit("asphalt"))).otherwise(F.create_map(F.lit("highway"), F.when(F.col("p_partkey") % 2 == 0, "bridleway").otherwise("footway")))
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), T.is_unpaved(tags).alias("soft"))

@@ -446,16 +446,16 @@ def k3(spark, sf):
     return kept.join(kept.select((F.col("id") - 1).alias("id"), F.col("id").alias("parallel")), "id", "left")
 
 
-@query("k5_coverage_outline", f"""WITH {SEG}, t AS (SELECT DISTINCT ix, iy FROM seg WHERE nature = 3), e AS (SELECT ix AS ax, iy AS ay, ix + 1 AS bx, iy AS "by" FROM t UNION ALL SELECT ix + 1, iy, ix + 1, iy + 1 FROM t UNION ALL SELECT ix + 1, iy + 1, ix, iy + 1 FROM t UNION ALL SELECT ix, iy + 1, ix, iy FROM t)
-SELECT e.ax, e.ay, e.bx, e."by" FROM e ANTI JOIN e AS o ON o.ax = e.bx AND o.ay = e."by" AND o.bx = e.ax AND o."by" = e.ay""")
+@query("k5_coverage_outline", f"""WITH {SEG}, t AS MATERIALIZED (SELECT DISTINCT ix, iy FROM seg WHERE nature = 3), e AS MATERIALIZED (SELECT ix AS ax, iy AS ay, ix + 1 AS bx, iy AS "by" FROM t UNION ALL SELECT ix + 1, iy, ix + 1, iy + 1 FROM t UNION ALL SELECT ix + 1, iy + 1, ix, iy + 1 FROM t UNION ALL SELECT ix, iy + 1, ix, iy FROM t)
+SELECT min(ax) AS ax, min(ay) AS ay, min(bx) AS bx, min("by") AS "by" FROM e GROUP BY least(ax, bx), greatest(ax, bx), least(ay, "by"), greatest(ay, "by") HAVING count(*) = 1""")
 def k5(spark, sf):
     """Directed sides of tiles that no neighbour runs the other way."""
     tiles = seg(spark, sf).where("nature = 3").select("ix", "iy").distinct()
     corners = [(0, 0), (1, 0), (1, 1), (0, 1)]
     sides = F.array(*[F.struct((F.col("ix") + a[0]).alias("ax"), (F.col("iy") + a[1]).alias("ay"), (F.col("ix") + b[0]).alias("bx"), (F.col("iy") + b[1]).alias("by")) for a, b in zip(corners, corners[1:] + corners[:1], strict=True)])
-    e = tiles.select(F.inline(sides))
-    o = e.select(F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("bx").alias("ax"), F.col("by").alias("ay"))
-    return e.join(o, ["ax", "ay", "bx", "by"], "left_anti").select("ax", "ay", "bx", "by")
+    line = [F.least("ax", "bx"), F.greatest("ax", "bx"), F.least("ay", "by"), F.greatest("ay", "by")]
+    alone = tiles.select(F.inline(sides)).groupBy(*line).agg(*[F.min(c).alias(c) for c in ("ax", "ay", "bx", "by")], F.count("*").alias("n")).where("n = 1")
+    return alone.select("ax", "ay", "bx", "by")
 
 
 @query("k13_merge_shards", f"WITH {SEG}, s AS (SELECT ix, iy, nature % 2 AS shard FROM seg GROUP BY ALL) SELECT ix, iy, count(*) > 1 AS duplicate FROM s GROUP BY ix, iy")

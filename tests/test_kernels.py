@@ -290,3 +290,69 @@ def test_fast_check_agrees_with_the_rules():
         assert case.valid(edges) == (not G.violations(g, edges, 4, case.corridors, case.simple))
     best = L.best_by_cycle_space(L.Instance(g, 4, length=800.0))
     assert case.valid(best) == (not G.violations(g, best, 4, case.corridors, case.simple))
+
+
+def climbs_by_steps(z, s):
+    """The rules of climbs, one at a time, as an independent check."""
+    spans, low, top = [], 0, None
+    for i in range(len(z)):
+        if top is None:
+            low = i if z[i] < z[low] else low
+            top = i if z[i] >= z[low] + 10 else None
+        else:
+            top = i if z[i] > z[top] else top
+            if z[top] - z[i] >= sorted((10, 0.15 * (z[top] - z[low]), 25))[1]:
+                spans, low, top = [*spans, (low, top)], i, None
+    spans += [(low, top)] if top is not None else []
+    while True:
+        costs = []
+        for (a, b), (c, d) in zip(spans, spans[1:]):
+            costs.append(max(0, (s[c] - s[b]) / (0.25 * min(s[b] - s[a], s[d] - s[c])), (z[b] - z[c]) / (0.3 * min(z[b] - z[a], z[d] - z[c]))))
+        if not costs or min(costs) > 1:
+            return [(z[b] - z[a], s[b] - s[a]) for a, b in spans]
+        k = costs.index(min(costs))
+        spans[k : k + 2] = [(spans[k][0], spans[k + 1][1])]
+
+
+def test_climbs_of_random_profiles():
+    rng, merged = np.random.default_rng(5), 0
+    for n in [0, 1, 2, *[120] * 150]:
+        z, s = np.cumsum(rng.integers(-9, 12, n)).astype(float), np.arange(n) * 5.0
+        want = climbs_by_steps(z, s) if n else []
+        assert C.climbs(z, s) == want
+        merged += len(C.base_climbs(z)) > len(want)
+    assert merged > 5
+
+
+def test_contraction_of_rings_and_random_graphs():
+    ring, chains = G.contract(G.Graph([0, 1, 2], [1, 2, 0], [1, 2, 4]))
+    assert (ring.u, ring.v, ring.length, len(chains[0])) == ([0], [0], [7.0], 3)
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        u, v = rng.integers(0, 9, (2, 11))
+        g = G.Graph(u, v, rng.integers(1, 9, 11))
+        small, chains = G.contract(g)
+        assert sorted(e for chain in chains for e in chain) == list(range(11))
+        degree = lambda g: {n: sum((a == n) + (b == n) for a, b in zip(g.u, g.v)) for n in {*g.u, *g.v}}
+        full = degree(g)
+        assert all(full[n] == d for n, d in degree(small).items())
+        for k, chain in enumerate(chains):  # a chain is a walk from one end to the other
+            at = small.u[k]
+            for e in chain:
+                assert at in (g.u[e], g.v[e])
+                at = g.other(e, at)
+            assert at == small.v[k] and small.length[k] == sum(g.length[e] for e in chain)
+        for n, d in degree(small).items():
+            own = [e for e in range(len(small.u)) if n in (small.u[e], small.v[e])]
+            assert d != 2 or len(own) == 1
+
+
+def test_circuits_of_random_even_graphs():
+    rng = np.random.default_rng(7)
+    for _ in range(80):
+        walk = rng.integers(0, 7, 14).tolist()
+        nodes = [*walk, walk[0]]
+        g = G.Graph(nodes[:-1], nodes[1:], [1] * 14)
+        found = G.circuit(g, rng.permutation(14).tolist(), walk[3])
+        assert sorted(e for e, *_ in found) == list(range(14)) and found[0][1] == found[-1][2] == walk[3]
+        assert all(a[2] == b[1] for a, b in zip(found, found[1:])) and all({a, b} == {g.u[e], g.v[e]} for e, a, b in found)
