@@ -169,6 +169,19 @@ def test_tokens():
     assert parts == [w for _ in range(40) for g in got for w in g]
 
 
+def test_word_hashes_and_pairs():
+    words = pa.array(["xx", "a", "é", "abc", "ab", "b a".replace(" ", ""), "z" * 300, " "])[1:]
+    hashes = maxent.word_hashes(words)
+    assert len(set(hashes.tolist())) == len(words) == len(maxent.word_hashes(words[:0])) + 7
+    assert (maxent.word_hashes(pa.concat_arrays([words, words]))[:7] == hashes).all()
+    buckets, sizes = maxent.pair_buckets(words)
+    at = 0
+    for word, n in zip(words.to_pylist(), sizes.tolist(), strict=True):
+        raw = b"\n" + word.encode() + b"\n"
+        assert buckets[at : at + n].tolist() == [((a << 8 | b) * 0x9E3779B1 % (1 << 32) >> 20) % maxent.PAIRS for a, b in zip(raw, raw[1:])]
+        at += n
+
+
 def slow_score(model, counts, text):
     """The log10 probability of a text, word by word."""
     token = maxent.Tokens(pa.array([text], pa.string()))
@@ -178,7 +191,9 @@ def slow_score(model, counts, text):
     out = 0.0
     for t, code in enumerate(token.codes):
         x = model.class_bias + sum(model.class_weights[r] for r in maxent._rows_of(features[t : t + 1], model.rows)[0])
-        y = model.slot_bias[classes[t]] + sum(model.slot_weights[r] for r in maxent._rows_of(features[t : t + 1], model.rows, classes[t : t + 1])[0])
+        y = model.slot_bias[classes[t]]
+        if classes[t] % maxent.PER_GROUP != maxent.PER_GROUP - 1:
+            y = y + sum(model.slot_weights[r] for r in maxent._rows_of(features[t : t + 1], model.rows, classes[t : t + 1])[0])
         out += math.log10(math.exp(x[classes[t]]) / np.exp(x).sum()) + math.log10(math.exp(y[slots[t]]) / np.exp(y).sum())
         word, place = token.words[int(code)].as_py(), places[code]
         if place // maxent.SLOTS % maxent.PER_GROUP == maxent.PER_GROUP - 1:
@@ -223,7 +238,7 @@ def test_language_model_sums_to_one(spark, docs_of, prose):
     places = model.shape.of(words, maxent.word_hashes(words))
     tokens, held = model.shares()
     for k in range(maxent.CLASSES):
-        q = maxent._softmax(model.slot_weights, model.slot_bias[[k]], maxent._rows_of(features[2:3], model.rows, np.array([k])))[0]
+        q = model.slot_shares()[k] if maxent.shared(np.array([k]))[0] else model.slots_of(features[2:3], np.array([k]))[0]
         assert abs(q.sum() - 1) < 1e-5
         for s in range(maxent.SLOTS):
             place = k * maxent.SLOTS + s
@@ -249,7 +264,9 @@ def test_language_model_steps_move_all_families(spark, docs_of):
     token = maxent.Tokens(pa.array(texts))
     hashes = maxent.word_hashes(token.words)
     classes, _, features = maxent._features(token, hashes, model.shape.of(token.words, hashes), model.rows)
-    for kind, rows in enumerate((maxent._rows_of(features, model.rows), maxent._rows_of(features, model.rows, classes))):
+    own = ~maxent.shared(classes)
+    assert own.mean() > 0.5
+    for kind, rows in enumerate((maxent._rows_of(features, model.rows), maxent._rows_of(features[own], model.rows, classes[own]))):
         assert rows.shape[1] == 5 and all(set(rows[:, family].tolist()) <= moved[kind] for family in range(5))
 
 
