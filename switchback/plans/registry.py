@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from switchback.plans.catalog import ORACLES, QUERIES
 
-_MODULES = ("profile_queries", "segment_queries", "scalar_queries", "graph_queries", "route_queries", "service_queries")
+_MODULES = ("profile_queries", "segment_queries", "scalar_queries", "graph_queries", "route_queries", "service_queries", "pipeline_queries")
 for _name in _MODULES:
     import_module(f"switchback.plans.{_name}")
 

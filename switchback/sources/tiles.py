@@ -68,6 +68,53 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
+def _deltas(values, first=0):
+    import numpy as np
+
+    return np.diff(np.asarray(values, np.int64), prepend=first)
+
+
+def encode(rows: pa.Table, ix: int, iy: int) -> bytes:
+    """A tile file of rows of ``SCHEMA``, in the order of ids: what ``decode`` reads."""
+    import numpy as np
+
+    rows = rows.sort_by("id")
+    get = {name: rows[name].to_pylist() for name in rows.column_names}
+    joined = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
+    flags = [int(bool(a)) | 2 * int(bool(b)) for a, b in zip(get["flat"], get["ok"], strict=True)]
+    columns = {
+        "id_d": _deltas(get["id"]), **{c: get[c] for c in ("len_dm", "dplus_dm", "dminus_dm", "max_grade_pm", "nature", "importance")}, "flags": flags,
+        "geom_n": [len(g) for g in get["geom"]], **{f"geom_{c}": joined([_deltas([p[c] for p in g], at * TILE_DM) for g in get["geom"]]) for c, at in (("x", ix), ("y", iy))},
+        "prof_z0_dm": [z[0] for z in get["z_dm"]], "prof_d": joined([_deltas(z, z[0]) for z in get["z_dm"]]), "par_n": [len(p) for p in get["parallel_ids"]], "par_id": joined([np.asarray(p, np.int64) for p in get["parallel_ids"]]),
+    }
+    out = io.BytesIO()
+    np.savez_compressed(out, **{name: np.asarray(values, np.int64) for name, values in columns.items()})
+    return out.getvalue()
+
+
+def write_archives(segments: DataFrame, folder: str) -> DataFrame:
+    """Writes a file for each tile of ``segments`` (``SCHEMA``) below ``folder`` and returns (ix, iy, n, sha256). A
+    file gets its name only once it is whole, so readers and tasks that run again never see a part of one."""
+
+    def run(key, rows):
+        import hashlib
+        import uuid
+
+        from pyarrow import fs
+
+        ix, iy = (k.as_py() for k in key)
+        raw = encode(rows, ix, iy)
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        part = f"{path}/{ix}_{iy}.{uuid.uuid4().hex}.part"
+        with system.open_output_stream(part, compression=None) as out:
+            out.write(raw)
+        system.move(part, f"{path}/{ix}_{iy}.npz")
+        return pa.table({"ix": pa.array([ix], pa.int32()), "iy": pa.array([iy], pa.int32()), "n": [rows.num_rows], "sha256": [hashlib.sha256(raw).hexdigest()]})
+
+    return segments.groupBy("ix", "iy").applyInArrow(run, "ix int, iy int, n bigint, sha256 string")
+
+
 def write_tiles(segments: DataFrame, path: str) -> None:
     """One folder for each tile; only the tiles in ``segments`` are replaced."""
     rows = segments.repartition("ix", "iy").sortWithinPartitions("ix", "iy", "id")

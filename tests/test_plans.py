@@ -37,8 +37,8 @@ def world(spark, n=6, step=100.0):
 
 
 def test_plan_end_to_end(spark):
-    parsed = requests.parse(spark.createDataFrame([(1, "lat=45&lon=5&distance_km=2&n_candidates=2"), (2, "lat=45&lon=5&distance_km=2&goal=min_distance&dplus_m=60"), (3, "lat=45&lon=5&roads=unpaved&distance_km=2&max_grade_pct=5")], "request_id bigint, query string"))
-    asked = parsed.where("size(errors) = 0").withColumns({"x0": F.lit(205.0), "y0": F.lit(190.0)})
+    parsed = requests.parse(spark.createDataFrame([(1, "lat=45&lon=5&distance_km=2&n_candidates=2"), (2, "lat=45&lon=5&max_distance_km=2&goal=min_distance&dplus_m=60"), (3, "lat=45&lon=5&roads=unpaved&distance_km=2&max_grade_pct=5")], "request_id bigint, query string"))
+    asked = parsed.where("size(errors) = 0").withColumns({"x0": F.lit(200.4), "y0": F.lit(199.7)})
     loops = requests.with_texts(requests.plan(asked, world(spark)), lambda x, y: geo.conic_inverse(x + 700000, y + 6600000)).collect()
     by = {}
     for r in loops:
@@ -57,6 +57,63 @@ def test_plan_end_to_end(spark):
     assert sorted((r["request_id"], r["rank"], r["edges"]) for r in again) == sorted((r["request_id"], r["rank"], r["edges"]) for r in loops)
 
 
+def test_parse_points_and_flags(spark):
+    rows = ["lat=45&lon=5&via=45.1,5.1;45.2,5.2", "lat=45&lon=5&via=45.1", "lat=45&lon=5&polygon=5,45;6,45;6,46&no_repeat_junction=false", "lat=45&lon=5&polygon=5,45;6;7,8", "lat=45&lon=5&no_repeat_junction=maybe", "lat=45&lon=5&goal=min_distance&dplus_m=500&max_distance_km=20", "lat=45&lon=5&goal=min_distance&dplus_m=500", "lat=45&lon=5&diagnose=1"]
+    got = {r["k"]: r for r in requests.parse(spark.createDataFrame(list(enumerate(rows)), "k int, query string")).collect()}
+    assert [got[k]["errors"] for k in range(8)] == [[], ["invalid_request"], [], ["zone_invalid"], ["invalid_request"], [], [], ["invalid_request"]]
+    assert [tuple(p) for p in got[0]["via"]] == [(45.1, 5.1), (45.2, 5.2)] and got[0]["no_repeat"] and got[0]["polygon"] is None
+    assert [tuple(p) for p in got[2]["polygon"]] == [(5.0, 45.0), (6.0, 45.0), (6.0, 46.0)] and not got[2]["no_repeat"]
+    assert (got[5]["length"], got[6]["length"]) == (20000.0, 20000.0)
+
+
+def asked(spark, **more):
+    row = {"request_id": 1, "x0": 200.0, "y0": 200.0, "mode": "max", "length": 1200.0, "ascent": None, "roads": "minor", "climbs": "balanced", "loops": 1, "seed": 0, "max_grade": 60.0, "via_xy": None, "polygon_xy": None, "no_repeat": False} | more
+    schema = "request_id bigint, x0 double, y0 double, mode string, length double, ascent double, roads string, climbs string, loops int, seed int, max_grade double, via_xy array<struct<x:double,y:double>>, polygon_xy array<struct<x:double,y:double>>, no_repeat boolean"
+    return spark.createDataFrame([tuple(row.values())], schema)
+
+
+def sound(row, start):
+    """A closed track from the start, as long as it says, that runs on the grid and uses no stretch twice."""
+    xyz = [(p["x"], p["y"], p["z"]) for p in row["points"]]
+    assert xyz[0][:2] == start == xyz[-1][:2]
+    steps = [(a[:2], b[:2]) for a, b in zip(xyz, xyz[1:])]
+    assert row["length"] == pytest.approx(sum(abs(a[0] - b[0]) + abs(a[1] - b[1]) for a, b in steps))
+    assert all(a[0] == b[0] or a[1] == b[1] for a, b in steps) and len({frozenset(s) for s in steps}) == len(steps)
+    assert row["dplus"] == pytest.approx(sum(abs(a[2] - b[2]) for a, b in zip(xyz, xyz[1:])), abs=1e-6)
+
+
+def test_plan_cuts_a_line_at_the_start_and_passes_vias(spark):
+    (row,) = requests.plan(asked(spark, x0=205.0, y0=190.0, via_xy=[(352.0, 303.0), (100.0, 240.0)], length=1500.0), world(spark)).collect()
+    sound(row, (200.0, 190.0))
+    assert row["feasible"] and {(352.0, 300.0), (100.0, 240.0)} <= {(p["x"], p["y"]) for p in row["points"]}
+    (far,) = requests.plan(asked(spark, via_xy=[(900.0, 900.0)]), world(spark)).collect()
+    assert far["messages"] == ["via_too_far"] and not far["feasible"]
+
+
+def test_plan_stays_in_a_polygon_and_repeats_no_junction(spark):
+    ring = [(150.0, 150.0), (450.0, 150.0), (450.0, 450.0), (150.0, 450.0)]
+    (row,) = requests.plan(asked(spark, polygon_xy=ring, length=800.0, no_repeat=True), world(spark)).collect()
+    sound(row, (200.0, 200.0))
+    assert all(200 <= p[c] <= 400 for p in row["points"] for c in ("x", "y"))
+    inner = [(p["x"], p["y"]) for p in row["points"][1:-1]]
+    assert len(set(inner)) == len(inner)
+    (none,) = requests.plan(asked(spark, polygon_xy=[(0.0, 0.0), (10.0, 0.0), (10.0, 10.0)]), world(spark)).collect()
+    assert none["messages"] == ["no_way_in_zone"]
+
+
+def test_plan_of_the_least_distance_and_preferences(spark):
+    (row,) = requests.plan(asked(spark, mode="min_distance", length=2000.0, ascent=60.0), world(spark)).collect()
+    sound(row, (200.0, 200.0))
+    assert row["feasible"] and row["dplus"] >= 60 and row["length"] <= 2000
+    (low,) = requests.plan(asked(spark, mode="min_distance", length=2000.0, ascent=9000.0), world(spark)).collect()
+    assert low["messages"] == ["dplus_unreachable_proven"]
+    for climbs in ("short", "long"):
+        rows = requests.plan(asked(spark, climbs=climbs, loops=2), world(spark)).collect()
+        for row in rows:
+            sound(row, (200.0, 200.0))
+        assert rows[0]["feasible"] and len({tuple(sorted(r["edges"])) for r in rows}) == len(rows)
+
+
 def test_build(spark):
     rows = [(1, [(0.0, 0.0), (100.0, 0.0)], 9, 5, False), (2, [(100.0, 0.0), (160.0, 0.0)], 9, 5, True), (3, [(160.0, 0.0), (160.0, 52.0)], 7, 5, False), (4, [(0.0, 500.0), (40.0, 500.0)], 9, 5, False)]
     segments = spark.createDataFrame(rows, "id bigint, geom array<struct<x:double,y:double>>, nature int, importance int, flat boolean")
