@@ -83,7 +83,7 @@ def sound(row, start):
 
 
 def test_plan_cuts_a_line_at_the_start_and_passes_vias(spark):
-    (row,) = requests.plan(asked(spark, x0=205.0, y0=190.0, via_xy=[(352.0, 303.0), (100.0, 240.0)], length=1500.0), world(spark)).collect()
+    (row,) = requests.plan(asked(spark, x0=205.0, y0=190.0, via_xy=[(352.0, 303.0), (100.0, 240.0)], length=1400.0), world(spark)).collect()
     sound(row, (200.0, 190.0))
     assert row["feasible"] and {(352.0, 300.0), (100.0, 240.0)} <= {(p["x"], p["y"]) for p in row["points"]}
     (far,) = requests.plan(asked(spark, via_xy=[(900.0, 900.0)]), world(spark)).collect()
