@@ -295,6 +295,17 @@ def t2(spark, sf):
     return rows.select("start", "errors", F.round("worst", 4).alias("worst"))
 
 
+@query("t3_pauses", """WITH RECURSIVE e AS (SELECT user_id % 5 AS service, ts, value > 300 AS budget, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error'),
+s(service, n, start, until) AS (SELECT service, n, ts, CASE WHEN budget THEN TIMESTAMP '9999-01-01' ELSE ts + INTERVAL 3 HOUR END FROM e WHERE n = 1 UNION ALL SELECT e.service, e.n, CASE WHEN e.ts > s.until THEN e.ts ELSE s.start END, CASE WHEN e.budget THEN TIMESTAMP '9999-01-01' ELSE greatest(s.until, e.ts + INTERVAL 3 HOUR) END FROM s JOIN e ON e.service = s.service AND e.n = s.n + 1)
+SELECT service, start, nullif(max(until), TIMESTAMP '9999-01-01') AS "end" FROM s GROUP BY service, start""")
+def t3(spark, sf):
+    """Pauses of services after errors, as islands of a table; the SQL runs the state machine row by row."""
+    from switchback.streaming.alarms import pause_intervals
+
+    trips = table(spark, sf, "events").where("event_type = 'error'").select((F.col("user_id") % 5).alias("service"), "ts", (F.col("value") > 300).alias("budget"))
+    return pause_intervals(trips, 3 * 3600)
+
+
 _KEY = b"a key of a service"
 _PADS = [bytes(b ^ x for b in _KEY.ljust(64, b"\0")).hex() for x in (0x36, 0x5C)]
 
