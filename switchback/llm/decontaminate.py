@@ -12,8 +12,9 @@ compared with the item-sized window.
 Only DataFrame functions run. The index is broadcast in blocks of at most
 ``BLOCK_WINDOWS`` windows, a stated bound; more windows take more passes.
 
-Defined results: a null text has no words; a null or wordless item, or one without an
-id, has no windows; repeated items count once; repeated rows of documents give a
+Defined results: a null text has no words; a very long text is one text, probed at every position; a null or
+wordless item, or one without an id, has no windows; repeated items count once; of shingles that are equally
+rare (a tie) the one of the least hash is the prefix, which changes no result; repeated rows of documents give a
 row each; without items no document is contaminated; an empty table gives no
 rows; other columns are ignored.
 """

@@ -12,7 +12,8 @@ holds one chunk of about ``CHUNK_TOKENS`` tokens and carries what does not fill
 window to its next chunk. The rest of a partition is cut into
 windows of powers of two.
 
-Defined results: a null text is empty (its only token is the end token);
+Defined results: a null text is empty (its only token is the end token); a very long text is cut into
+windows of the longest tier and a rest; documents of one length (ties) are taken in the order they come;
 repeated rows and null ids are packed like any other row; an empty table gives no
 rows; other columns of the input are ignored.
 """
