@@ -4,11 +4,14 @@ with a temperature.
 
 Document frequencies cover all rows to learn from. The classifier is fitted on a bounded
 sample of them: about ``SAMPLE_PER_LABEL`` rows of each label and ``SAMPLE_ROWS``
-in all, chosen by a hash of the id; a fifth of it is kept for the calibration.
+in all, chosen by a hash of id, text and position, so that rows without an id or with one id are chosen
+as others are; a fifth of it is kept for the calibration.
 
-Defined results: a null text or one without a letter is ``und`` with score 0; rows with a null
+Defined results: a null text or one without a letter is ``und`` with score 0; a very long text is one
+text; languages of one probability (a tie) give the first in their order; rows with a null
 label are not learned from; without any labelled row every text is ``und``; a null id is
-hashed as the empty string; repeated rows give a row each; other columns are ignored.
+hashed as the empty string; repeated rows give a row each; an empty table gives no rows; other columns are
+ignored, and columns called lang_pred, score or __text are replaced.
 """
 
 from __future__ import annotations
@@ -76,7 +79,7 @@ class Model:
 
 def fit(docs: DataFrame, text_col: str, label_col: str, id_col: str) -> Model:
     """A model of the labelled rows of ``docs``."""
-    rows = docs.where(F.col(label_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(id_col), F.lit(9)).alias("h"))
+    rows = docs.where(F.col(label_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(id_col), F.col(text_col), F.monotonically_increasing_id(), F.lit(9)).alias("h"))
     sizes = dict(rows.groupBy("label").count().collect())
     labels = sorted(sizes)
     found = rows.select("text").mapInArrow(_document_frequencies, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas() if labels else None
@@ -110,7 +113,9 @@ def fit(docs: DataFrame, text_col: str, label_col: str, id_col: str) -> Model:
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", extra: list[Column] = ()) -> DataFrame:
     """``extra`` columns, then lang_pred and score, for each row."""
-    rows = docs.select(*extra, F.col(text_col).cast("string").alias("__text"))
+    own = ("lang_pred", "score", "__text")
+    taken = docs.select(*extra, F.col(text_col).cast("string").alias("__text")) if extra else docs.select(F.col(text_col).cast("string").alias("__text"))
+    rows = taken.select(*[F.col(f"`{c}`") for c in taken.columns if c not in own], "__text")
     kept = rows.drop("__text").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
