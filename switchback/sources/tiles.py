@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ SCHEMA = "ix int, iy int, id bigint, len_dm int, dplus_dm int, dminus_dm int, ma
 TILE_DM = 200_000
 PROFILE_DM = 50
 FORMAT = "tiles/1"
+FILE_ROWS = 1 << 16  # of a tile file, about
 
 
 def profile_count(len_dm: int) -> int:
@@ -54,15 +56,16 @@ def decode(raw: bytes, ix: int, iy: int) -> dict[str, list]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Segments of all tile files named ``<ix>_<iy>.npz`` below ``path``, one task per file or more."""
+    """Segments of all tile files named ``<ix>_<iy>.npz``, or ``<ix>_<iy>_<part>.npz``, below ``path``."""
     kinds = [pa.int32()] * 2 + [pa.int64()] + [pa.int32()] * 4 + [pa.int16()] * 2 + [pa.bool_()] * 2 + [pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())])), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, raw in zip(*batch.columns, strict=True):
-                ix, iy = map(int, name.as_py().rpartition("/")[2].removesuffix(".npz").split("_"))
+                ix, iy, *_ = map(int, name.as_py().rpartition("/")[2].removesuffix(".npz").split("_"))
                 data = decode(raw.as_py(), ix, iy)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(data.values(), kinds, strict=True)], list(data))
+                for at in range(0, len(data["id"]), 1 << 13):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 13)], k) for c, k in zip(data.values(), kinds, strict=True)], list(data))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(run, SCHEMA)
@@ -78,14 +81,32 @@ def encode(rows: pa.Table, ix: int, iy: int) -> bytes:
     """A tile file of rows of ``SCHEMA``, in the order of ids: what ``decode`` reads."""
     import numpy as np
 
-    rows = rows.sort_by("id")
-    get = {name: rows[name].to_pylist() for name in rows.column_names}
-    joined = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
-    flags = [int(bool(a)) | 2 * int(bool(b)) for a, b in zip(get["flat"], get["ok"], strict=True)]
+    rows = rows.sort_by("id").combine_chunks()
+    one = lambda c: pc.fill_null(rows[c].cast(pa.int64()), 0).to_numpy()
+
+    def many(name: str):
+        """The values of all lists after each other, and how many each has."""
+        lists = pa.concat_arrays([*rows[name].chunks, pa.array([], rows[name].type)])
+        return lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+
+    def deltas(values, counts, at: int):
+        """Differences within each list, its first one from ``at``."""
+        out = np.diff(np.asarray(values, np.int64), prepend=0)
+        first = (np.cumsum(counts) - counts)[counts > 0]
+        out[first] = np.asarray(values, np.int64)[first] - at
+        return out
+
+    geom, vertices = many("geom")
+    heights, steps = many("z_dm")
+    parallel, links = many("parallel_ids")
+    heights = heights.cast(pa.int64()).to_numpy()
+    starts = np.cumsum(steps) - steps
+    profile = np.diff(heights, prepend=0)
+    profile[starts] = 0
     columns = {
-        "id_d": _deltas(get["id"]), **{c: get[c] for c in ("len_dm", "dplus_dm", "dminus_dm", "max_grade_pm", "nature", "importance")}, "flags": flags,
-        "geom_n": [len(g) for g in get["geom"]], **{f"geom_{c}": joined([_deltas([p[c] for p in g], at * TILE_DM) for g in get["geom"]]) for c, at in (("x", ix), ("y", iy))},
-        "prof_z0_dm": [z[0] for z in get["z_dm"]], "prof_d": joined([_deltas(z, z[0]) for z in get["z_dm"]]), "par_n": [len(p) for p in get["parallel_ids"]], "par_id": joined([np.asarray(p, np.int64) for p in get["parallel_ids"]]),
+        "id_d": _deltas(one("id")), **{c: one(c) for c in ("len_dm", "dplus_dm", "dminus_dm", "max_grade_pm", "nature", "importance")}, "flags": one("flat") | 2 * one("ok"),
+        "geom_n": vertices, **{f"geom_{c}": deltas(geom.field(c).to_numpy(), vertices, at * TILE_DM) for c, at in (("x", ix), ("y", iy))},
+        "prof_z0_dm": heights[starts], "prof_d": profile, "par_n": links, "par_id": parallel.to_numpy(),
     }
     out = io.BytesIO()
     np.savez_compressed(out, **{name: np.asarray(values, np.int64) for name, values in columns.items()})
@@ -93,8 +114,9 @@ def encode(rows: pa.Table, ix: int, iy: int) -> bytes:
 
 
 def write_archives(segments: DataFrame, folder: str) -> DataFrame:
-    """Writes a file for each tile of ``segments`` (``SCHEMA``) below ``folder`` and returns (ix, iy, n, sha256). A
-    file gets its name only once it is whole, so readers and tasks that run again never see a part of one."""
+    """Writes the files of each tile of ``segments`` (``SCHEMA``) below ``folder`` and returns (ix, iy, part, n, sha256) of each. A tile
+    of up to ``FILE_ROWS`` segments is one file, a larger one is parted by a hash of the ids, so that no task holds more than
+    a part. A file gets its name only once it is whole, so readers and tasks that run again never see a part of one."""
 
     def run(key, rows):
         import hashlib
@@ -102,17 +124,20 @@ def write_archives(segments: DataFrame, folder: str) -> DataFrame:
 
         from pyarrow import fs
 
-        ix, iy = (k.as_py() for k in key)
+        ix, iy, part = (k.as_py() for k in key)
         raw = encode(rows, ix, iy)
         system, path = fs.FileSystem.from_uri(folder)
         system.create_dir(path, recursive=True)
-        part = f"{path}/{ix}_{iy}.{uuid.uuid4().hex}.part"
-        with system.open_output_stream(part, compression=None) as out:
+        name = f"{ix}_{iy}_{part}" if part else f"{ix}_{iy}"
+        draft = f"{path}/{name}.{uuid.uuid4().hex}.part"
+        with system.open_output_stream(draft, compression=None) as out:
             out.write(raw)
-        system.move(part, f"{path}/{ix}_{iy}.npz")
-        return pa.table({"ix": pa.array([ix], pa.int32()), "iy": pa.array([iy], pa.int32()), "n": [rows.num_rows], "sha256": [hashlib.sha256(raw).hexdigest()]})
+        system.move(draft, f"{path}/{name}.npz")
+        return pa.table({"ix": pa.array([ix], pa.int32()), "iy": pa.array([iy], pa.int32()), "part": pa.array([part], pa.int32()), "n": [rows.num_rows], "sha256": [hashlib.sha256(raw).hexdigest()]})
 
-    return segments.groupBy("ix", "iy").applyInArrow(run, "ix int, iy int, n bigint, sha256 string")
+    parts = segments.groupBy("ix", "iy").agg(F.ceil(F.count("*") / F.lit(FILE_ROWS)).alias("__parts"))
+    dealt = segments.join(F.broadcast(parts), ["ix", "iy"]).withColumn("part", F.pmod(F.xxhash64("id"), "__parts").cast("int"))  # a row for each tile
+    return dealt.drop("__parts").groupBy("ix", "iy", "part").applyInArrow(run, "ix int, iy int, part int, n bigint, sha256 string")
 
 
 def write_tiles(segments: DataFrame, path: str) -> None:

@@ -57,3 +57,14 @@ def test_manifest_and_list(spark, tmp_path):
         T.read_manifest(spark, f"{tmp_path}/n.json").collect()
     (tmp_path / "list.txt").write_text("32_342\n\nre/17_-382\n")
     assert sorted(tuple(r) for r in T.read_list(spark, f"{tmp_path}/list.txt").collect()) == [(17, -382), (32, 342)]
+
+
+def test_large_tiles_in_parts(spark, tmp_path, monkeypatch):
+    """A tile of many segments is several files, each read back as it was; small tiles stay one file."""
+    monkeypatch.setattr(T, "FILE_ROWS", 10)
+    rows = [(k % 40 // 39, -1, 7 * k, 100, 1, 1, 0, 9, 5, k % 2 == 0, k % 3 == 0, [(k, -k), (k + 5, 3), (0, 0)][: 2 + k % 2], [k, 4, -9], [k + 1] * (k % 3)) for k in range(200)]
+    segments = spark.createDataFrame(rows, T.SCHEMA)
+    written = T.write_archives(segments, f"file://{tmp_path}/tiles").collect()
+    assert sum(r["n"] for r in written) == 200 and max(r["n"] for r in written) < 40 and {r["part"] for r in written if r["ix"] == 1} == {0}
+    assert sorted(p.name for p in (tmp_path / "tiles").iterdir() if p.name.endswith("npz")) == sorted(f"{r['ix']}_-1_{r['part']}.npz" if r["part"] else f"{r['ix']}_-1.npz" for r in written)
+    assert sorted(map(repr, T.read_archives(spark, f"{tmp_path}/tiles").collect())) == sorted(map(repr, segments.collect()))
