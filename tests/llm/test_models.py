@@ -283,3 +283,14 @@ def test_language_model_without_rows(spark, docs_of):
     row = maxent.score(docs, model, counts, langid.fold("doc_id", 7) == 2).first()
     assert (row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"]) == (3, 0, 0, 0.0)
     assert maxent.score(docs.limit(0), model, counts, langid.fold("doc_id", 7) == 2).count() == 0
+
+
+def test_words_beyond_the_slots_keep_their_group():
+    """Words grouped by what stands beside them share the slots of that group, whatever their letters say."""
+    words = [f"{'ab'[k * 7 % 3 % 2]}{k}" for k in range(400)]
+    near = np.zeros((len(words), maxent.BESIDE))
+    near[np.arange(len(words)), np.arange(len(words)) % maxent.GROUPS] = 400.0 - np.arange(len(words))
+    label = maxent.grouped(near)
+    shape = maxent.shape_of(words, np.arange(400, 0, -1), near)
+    place = shape.of(pa.array(words), maxent.word_hashes(pa.array(words)))
+    assert (place // maxent.SLOTS // maxent.PER_GROUP == label).all() and maxent.shared(place // maxent.SLOTS).sum() == 400 - maxent.GROUPS * (maxent.PER_GROUP - 1) * maxent.SLOTS
