@@ -15,9 +15,13 @@ to the driver, so a shard's fingerprints are dealt to the task that builds and s
 Exact copies collapse to one fingerprint before any search.
 
 ``keep_one_of_each`` is the stage of a pipeline: one text of each group whose five-word shingles have a Jaccard
-similarity of ``LEAST_SIMILARITY`` or more. Such texts differ in about 15 % of a fingerprint's bits, too many for
-blocks that agree, so shards agree on sampled bits, in as many tables as miss at most ``MISSED`` of the pairs at the
-least similarity; trees find the candidates, and the shingles of both texts verify each.
+similarity of ``LEAST_SIMILARITY`` or more; no such link is missed, whatever the size of a group. Two similar sets
+share one of the first fifth of their shingles in any common order, so texts are dealt to blocks by the groups that shared shingles
+of these prefixes chain. The order is by a table of ``CELLS`` counts over all texts, rare shingles first, which keeps
+blocks small; it decides the cost only, never the result. A block is searched by BK-trees on shards of 128-bit fingerprints,
+nearest first, and each link is verified on the shingles' hashes (64 bits) before it joins two groups. What the trees
+do not join is then found exactly, by an index of the block's own rarest shingles. A block of over ``BLOCK_SHINGLES``
+is dealt as pairs of parts. Tasks return at most a link for each text, never all pairs.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any
 other; a very long text is hashed in parts of 65,536 shingles, with the same result; repeated rows give
@@ -27,7 +31,9 @@ unless all its ids are null; an empty table gives no rows; other columns are ign
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import combinations
 from math import comb
 
@@ -239,8 +245,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fp_docs.join(labelled.select("fp", "root").join(least, "root"), "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
-#: Of the similarity stage: words of a shingle, least Jaccard similarity, and how many of such pairs the tables may miss.
+#: Of the similarity stage: words of a shingle, least Jaccard similarity, how many of such pairs the trees may leave to the
+#: exact search, and about how many fingerprints a tree has.
 SIMILAR_WORDS, LEAST_SIMILARITY, MISSED, SIMILAR_TREE_ROWS = 5, 0.8, 0.05, 1 << 9
+#: Cells of the table of counts (a byte each) and the rows it is added up in; shingles that a task counts at once; shingles of a block.
+CELLS, CELL_ROWS, COUNTED, BLOCK_SHINGLES = 1 << 25, 1 << 8, 1 << 22, 1 << 22
 
 
 def shingles(text: str | None, words: int = SIMILAR_WORDS) -> set[bytes]:
@@ -254,29 +263,29 @@ def similarity(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
-def wide_fingerprint(text: str | None) -> tuple[int, int]:
-    """128 majority bits over the hashes of the distinct shingles, as two halves."""
+def _digests(text: str | None) -> np.ndarray:
+    """The 128-bit hashes of the distinct shingles of a text, a row of bytes each."""
     from xxhash import xxh3_128_digest as digest
 
-    found = list(shingles(text))
-    ones = np.zeros(2 * BITS, np.int64)
-    for at in range(0, len(found), 1 << 16):
-        hashes = np.frombuffer(b"".join([digest(x) for x in found[at : at + (1 << 16)]]), np.uint8)
-        ones += np.unpackbits(hashes.reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64)
-    low, high = np.packbits(ones * 2 > len(found)).view(np.int64).tolist()
-    return low, high
+    return np.frombuffer(b"".join(map(digest, shingles(text))), np.uint8).reshape(-1, 16)
 
 
-def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, th, fp, more)`` for each row; ``fp`` and ``more`` are the halves of a fingerprint."""
+def _hashes(digests: np.ndarray) -> np.ndarray:
+    """The first 64 bits of each, in order."""
+    return np.unique(np.ascontiguousarray(digests[:, :8]).view("<u8").ravel())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            halves = np.array([wide_fingerprint(text.as_py()) for text in batch.column(2)], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["doc_id", "th", "fp", "more"])
 
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id bigint, th bigint, fp bigint, more bigint")
+def _halves(digests: np.ndarray) -> tuple[int, int]:
+    ones = np.zeros(2 * BITS, np.int64)
+    for at in range(0, len(digests), 1 << 16):
+        ones += np.unpackbits(digests[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
+    low, high = np.packbits(ones * 2 > len(digests)).view(np.int64).tolist()
+    return low, high
+
+
+def wide_fingerprint(text: str | None) -> tuple[int, int]:
+    """128 majority bits over the hashes of the distinct shingles, as two halves."""
+    return _halves(_digests(text))
 
 
 def differing(similar: float) -> float:
@@ -284,6 +293,7 @@ def differing(similar: float) -> float:
     return float(np.arccos(2 * similar / (1 + similar)) / np.pi)
 
 
+@cache
 def tables_for(k: int, least: float = LEAST_SIMILARITY, missed: float = MISSED) -> int:
     """How many tables of ``k`` sampled bits miss at most a share ``missed`` of pairs at the least similarity."""
     share, bits = differing(least), 2 * BITS
@@ -295,10 +305,10 @@ def tables_for(k: int, least: float = LEAST_SIMILARITY, missed: float = MISSED)
     return tables
 
 
-def sampled_masks(rows: int) -> list[tuple[int, int]]:
-    """Masks of sampled bits of both halves, as signed longs: as many bits as leave about ``SIMILAR_TREE_ROWS`` of
-    ``rows`` in a shard."""
-    k = min(BITS // 2, max(0, int(np.floor(np.log2(max(1, rows) / SIMILAR_TREE_ROWS)))))
+def sampled_masks(rows: int, tree_rows: int | None = None) -> list[tuple[int, int]]:
+    """Masks of sampled bits of both halves, as signed longs: as many bits as leave about ``tree_rows``
+    (``SIMILAR_TREE_ROWS``) of ``rows`` in a shard."""
+    k = min(BITS // 2, max(0, int(np.floor(np.log2(max(1, rows) / (tree_rows or SIMILAR_TREE_ROWS))))))
     if not k:
         return [(0, 0)]
     draw = np.random.default_rng(5)
@@ -312,81 +322,266 @@ def _spread(share: float, bits: int) -> int:
     return int(share * bits + 3 * (share * (1 - share) * bits) ** 0.5)
 
 
-def _near_in_shard(codes: np.ndarray, more: np.ndarray, radius: int, both: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row, earlier row) of a shard within ``radius`` bits of the first half and ``both`` of all: for each row
-    the nearest one of each group found so far."""
+def _near_in_shard(codes: np.ndarray, more: np.ndarray, groups: Callable[[], np.ndarray], link: Callable[[int, np.ndarray], None]) -> None:
+    """Calls ``link(row, rows)`` with the rows near each row of a shard, nearest first: those in other groups, by
+    ``groups()``, within ``_spread`` of both halves. Of equal first halves one row is searched."""
+    share = differing(LEAST_SIMILARITY)
+    radius, both = _spread(share, BITS), _spread(share, 2 * BITS)
     codes, first = np.unique(codes, return_index=True)
-    more = more[first]
-    tree, root, found = BKTree(codes), np.arange(len(codes)), []
-    step = max(1, FRONTIER // max(1, len(codes)))
+    more, tree = more[first], BKTree(codes)
+    step = max(1, FRONTIER // len(codes))
     for at in range(0, len(codes), step):
+        root = groups()[first]
         a, b = tree.near(np.arange(at, min(len(codes), at + step)), radius, (tree._whole(root), root))
         far = np.bitwise_count(codes[a] ^ codes[b]).astype(np.int64) + np.bitwise_count(more[a] ^ more[b])
         a, b, far = a[far <= both], b[far <= both], far[far <= both]
-        order = np.lexsort((far, root[b], a))
+        order = np.lexsort((far, a))
         a, b = a[order], b[order]
-        best = np.ones(len(a), bool)
-        best[1:] = (a[1:] != a[:-1]) | (root[b[1:]] != root[b[:-1]])
-        found.append((first[a[best]], first[b[best]]))
-        root = _united(root, a[best], b[best])
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (codes[:0].astype(int),) * 2
+        cuts = np.flatnonzero(a[1:] != a[:-1]) + 1
+        for x, near in zip(a[np.concatenate([[0], cuts])] if len(a) else a, np.split(b, cuts), strict=False):
+            link(int(first[x]), first[near])
+
+
+class _Block:
+    """Sets of shingle hashes, no two alike, and the groups that verified links have joined so far."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        n = len(sets)
+        self.root, self.size, self.compared = np.arange(n), np.array([len(x) for x in sets], np.int64), 0
+        self.begin = np.cumsum(self.size) - self.size
+        _, found, self.common = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        #: of each set its shingles' numbers, rare in the block first
+        self.shingles = found[np.lexsort((found, self.common[found], np.repeat(np.arange(n), self.size)))]
+        self.marked = np.zeros(len(self.common), bool)
+
+    def similar(self, row: int, rows: np.ndarray) -> np.ndarray:
+        """Which of ``rows`` have at least the similarity with ``row``."""
+        own, n = self.shingles[self.begin[row] : self.begin[row] + self.size[row]], self.size[rows]
+        self.marked[own] = True
+        at = np.arange(n.sum()) + np.repeat(self.begin[rows] - (np.cumsum(n) - n), n)
+        both = np.bincount(np.repeat(np.arange(len(rows)), n)[self.marked[self.shingles[at]]], minlength=len(rows))
+        self.marked[own] = False
+        self.compared += len(rows)
+        return both / (n + len(own) - both) >= LEAST_SIMILARITY
+
+    def link(self, row: int, rows: np.ndarray) -> None:
+        """Joins the groups of ``rows`` that are similar to ``row``; groups that are joined are not compared again."""
+        step, rows = 8, rows[self.root[rows] != self.root[row]]
+        while len(rows):
+            some, rows = rows[:step], rows[step:]
+            hit = some[self.similar(row, some)]
+            if len(hit):
+                self.root = _united(self.root, np.full(len(hit), row), hit)
+                rows = rows[self.root[rows] != self.root[row]]
+            step = min(2 * step, 1 << 12)
+
+    def by_trees(self, halves: np.ndarray, tree_rows: int) -> None:
+        for low, high in sampled_masks(len(halves), tree_rows):
+            key = halves & np.array([low, high])
+            order = np.lexsort((key[:, 1], key[:, 0]))
+            cuts = np.flatnonzero((key[order][1:] != key[order][:-1]).any(axis=1)) + 1
+            for rows in np.split(order, cuts):
+                if len(rows) > 1:
+                    codes = halves[rows].view(np.uint64)
+                    _near_in_shard(codes[:, 0], codes[:, 1], lambda rows=rows: self.root[rows], lambda x, near, rows=rows: self.link(rows[x], rows[near]))
+
+    def by_index(self) -> None:
+        """Joins all that are similar: such sets share one of the first fifth of their shingles."""
+        by_size = np.argsort(self.size, kind="stable")
+        place = np.argsort(by_size)
+        row = np.repeat(np.arange(len(self.size)), self.size)
+        use = np.arange(len(row)) - self.begin[row] < prefix_length(self.size)[row]
+        use &= self.common[self.shingles] > 1
+        shingle, row = self.shingles[use], row[use]
+        order = np.lexsort((place[row], shingle))
+        shingle, row = shingle[order], row[order]
+        head = np.maximum.accumulate(np.where(np.concatenate([[True], shingle[1:] != shingle[:-1]]), np.arange(len(row)), 0)) if len(row) else row
+        before = np.arange(len(row)) - head  # rows of the same shingle that are smaller
+        own = np.argsort(place[row], kind="stable")
+        for at in np.split(own, np.flatnonzero(np.diff(row[own])) + 1):
+            n = before[at]
+            if not n.any():
+                continue
+            x = row[at[0]]
+            y = row[np.arange(n.sum()) + np.repeat(head[at] - (np.cumsum(n) - n), n)]
+            y = y[(self.root[y] != self.root[x]) & (self.size[y] >= LEAST_SIMILARITY * self.size[x] - 1e-6)]
+            y, often = np.unique(y, return_counts=True)
+            self.link(x, y[np.argsort(-often, kind="stable")])
+
+
+def prefix_length(sizes: np.ndarray) -> np.ndarray:
+    """Of sets of these sizes, how many first shingles in a common order hold a shared one of any similar set."""
+    return np.where(sizes > 0, sizes - np.ceil(LEAST_SIMILARITY * sizes - 1e-6).astype(np.int64) + 1, 0)
+
+
+def similar_groups(sets: list[np.ndarray], halves: np.ndarray, tree_rows: int = SIMILAR_TREE_ROWS) -> np.ndarray:
+    """A row that names the group of each: sets are linked at ``LEAST_SIMILARITY`` or more; equal sets are alike."""
+    first = {}
+    same = np.array([first.setdefault(x.tobytes(), k) for k, x in enumerate(sets)])
+    rows = np.array(list(first.values()))
+    block = _Block([sets[k] for k in rows])
+    block.by_trees(halves[rows], tree_rows)
+    block.by_index()
+    return rows[block.root][np.searchsorted(rows, same)]
+
+
+def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str | None]]:
+    """Rows (th, text) → those whose text the task has not had before."""
+    seen = set()
+    for batch in batches:
+        for th, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if th not in seen:
+                seen.add(th)
+                yield th, text.as_py()
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, th, fp, more) sorted by shard → pairs of texts that may be similar."""
-    share = differing(LEAST_SIMILARITY)
-    radius, both = _spread(share, BITS), _spread(share, 2 * BITS)
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(BITS - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (th, text) → (part, the cells of its shingles: packed differences in order)."""
+    width = CELLS // CELL_ROWS
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        cells = np.sort(np.concatenate(held))
+        cuts = np.searchsorted(cells, np.arange(0, CELLS + 1, width))
+        found = [np.diff(cells[a:b] - k * width, prepend=0).astype("<u4") for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+        return pa.RecordBatch.from_arrays([pa.array(range(CELL_ROWS), pa.int32()), pa.array([zlib.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for x in found], pa.binary())], ["part", "cells"])
+
+    held, n = [], 0
+    for _, text in _first_seen(batches):
+        held.append(_cells(_hashes(_digests(text))))
+        n += len(held[-1])
+        if n >= COUNTED:
+            yield packed(held)
+            held, n = [], 0
+    if n:
+        yield packed(held)
+
 
-    def done(parts: list[tuple]) -> pa.RecordBatch:
-        th, codes, more = (np.concatenate(x) for x in zip(*parts, strict=True))
-        a, b = _near_in_shard(codes.view(np.uint64), more.view(np.uint64), radius, both)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(th[a], th[b])), pa.array(np.maximum(th[a], th[b]))], ["a", "b"])
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, cells) sorted by part → (part, a byte for the logarithm of each cell's count)."""
+    width = CELLS // CELL_ROWS
 
-    held, last = [], None
+    def done(part: int, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.minimum(255, np.rint(12 * np.log2(1 + n))).astype(np.uint8).tobytes()], pa.binary())], ["part", "cells"])
+
+    last, total = None, None
     for batch in batches:
-        keys, th, codes, more = (c.to_numpy() for c in batch.columns)
-        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else []
-        for x, y in zip(cuts, [*cuts[1:], len(keys)], strict=True):
-            if held and keys[x] != last:
-                yield done(held)
-                held = []
-            last = keys[x]
-            held.append((th[x:y], codes[x:y], more[x:y]))
-    if held:
-        yield done(held)
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, text of a, text of b) → the pairs of at least ``LEAST_SIMILARITY``."""
+        for part, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if part != last:
+                if total is not None:
+                    yield done(last, total)
+                last, total = part, np.zeros(width, np.int64)
+            steps = np.ascontiguousarray(np.frombuffer(zlib.decompress(cells.as_py()), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+            total += np.bincount(np.cumsum(steps, dtype=np.int64), minlength=width)
+    if total is not None:
+        yield done(last, total)
+
+
+def _rarity(texts: DataFrame) -> np.ndarray:
+    """A byte a cell, higher for cells with more shingles of ``texts`` (th, text)."""
+    parts = texts.mapInArrow(_counted, "part int, cells binary").repartition("part").sortWithinPartitions("part").mapInArrow(_added, "part int, cells binary")
+    found = np.zeros((CELL_ROWS, CELLS // CELL_ROWS), np.uint8)
+    for row in parts.collect():  # CELLS bytes at most
+        found[row["part"]] = np.frombuffer(row["cells"], np.uint8)
+    return found.ravel()
+
+
+def _prefixes(rarity):
+    """Rows (th, text) → (shingle, size, th) for the first shingles of each set; a set without any has shingle 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def done() -> pa.RecordBatch:
+            sizes = np.repeat([x[1] for x in held], [len(x[2]) for x in held]).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[2] for x in held]).view(np.int64)), pa.array(sizes), pa.array(np.repeat(np.array([x[0] for x in held], np.int64), [len(x[2]) for x in held]))], ["shingle", "size", "th"])
+
+        for th, text in _first_seen(batches):
+            hashes = _hashes(_digests(text))
+            rare = np.argsort(rarity.value[_cells(hashes)], kind="stable")  # hashes are in order
+            held.append((th, len(hashes), hashes[rare[: prefix_length(np.array([len(hashes)]))[0]]] if len(hashes) else np.zeros(1, np.uint64)))
+            n += len(held[-1][2])
+            if n >= 1 << 16:
+                yield done()
+                held, n = [], 0
+        if held:
+            yield done()
+
+    return run
+
+
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shingle, size, th) sorted so → (a, size of a, b, size of b): each text of a run with the run's first.
+    A run ends with its shingle or where sizes part too far for any similar pair across."""
+    last = None
     for batch in batches:
-        keep = [similarity(shingles(x.as_py()), shingles(y.as_py())) >= LEAST_SIMILARITY for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        shingle, size, th = (c.to_numpy() for c in batch.columns)
+        if not len(th):
+            continue
+        if last is not None:
+            shingle, size, th = (np.concatenate([[x], y]) for x, y in zip(last[:3], (shingle, size, th), strict=True))
+        new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (size[:-1] < LEAST_SIMILARITY * size[1:] - 1e-6)])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(th)), 0))
+        a, m = th[head], size[head]
+        if last is not None:
+            a[head == 0], m[head == 0] = last[3:]
+        last = shingle[-1], size[-1], th[-1], a[-1], m[-1]
+        apart = a != th
+        yield pa.RecordBatch.from_arrays([pa.array(x[apart]) for x in (a, m, th, size)], ["a", "m", "b", "n"])
+
+
+def _linked(tree_rows: int):
+    """Rows (shard, th, text) sorted by shard → links of each text with one of its group."""
+
+    def done(held: list[tuple]) -> pa.RecordBatch:
+        th, sets, halves = zip(*held, strict=True)
+        th = np.array(th, np.int64)
+        root = similar_groups(list(sets), np.array(halves, np.int64).reshape(-1, 2), tree_rows)
+        rows = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(th[rows]), pa.array(th[root[rows]])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            for shard, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if held and shard != last:
+                    yield done(held)
+                    held = []
+                last, digests = shard, _digests(text.as_py())
+                held.append((th, _hashes(digests), _halves(digests)))
+        if held:
+            yield done(held)
+
+    return run
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, th, root)`` for each row of ``docs``; ``root`` names its group of texts that are linked by a verified
-    similarity. Candidates share sampled bits of a fingerprint and are found by the trees of their shard."""
-    wide = materialize(wide_fingerprints(docs, id_col, text_col), "wide-fingerprints")
-    halves = wide.groupBy("fp", "more").agg(F.min("th").alias("th"))
-    nodes = materialize(halves.groupBy("fp").agg(F.min_by("th", "more").alias("th"), F.min("more").alias("more")), "nodes")
-    masks = sampled_masks(nodes.count())
-    dealt = nodes.select("th", "fp", "more", F.posexplode(F.array(*[F.xxhash64(F.col("fp").bitwiseAND(F.lit(low)), F.col("more").bitwiseAND(F.lit(high))) for low, high in masks])).alias("choice", "value"))
-    sizes = dealt.groupBy("choice", "value").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / F.lit(SHARD_ROWS)).cast("int"))
-    members = dealt.join(sizes, ["choice", "value"])
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    similarity. All such links count: shared rare shingles deal texts to blocks, which are searched by trees and an index."""
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text"))
+    rarity = docs.sparkSession.sparkContext.broadcast(_rarity(texts))
+    prefixes = texts.mapInArrow(_prefixes(rarity), "shingle bigint, size bigint, th bigint")
+    runs = prefixes.repartition("shingle").sortWithinPartitions("shingle", "size", "th").mapInArrow(_chained, "a bigint, m bigint, b bigint, n bigint")
+    chains = materialize(runs.distinct(), "chains")
+    sizes = chains.select(F.col("a").alias("th"), F.col("m").alias("size")).union(chains.select("b", "n")).distinct()
+    dealt = connected_components(chains, "a", "b").select(F.col("node").alias("th"), F.col("root").alias("block")).join(sizes, "th")
+    parts = dealt.groupBy("block").agg(F.ceil((F.sum("size") + 1) / F.lit(BLOCK_SHINGLES)).cast("int").alias("parts"))
+    members = materialize(dealt.join(parts, "block").select("th", "block", "parts"), "blocks")
+    own = F.pmod(F.xxhash64("th"), F.col("parts")).cast("int")
     pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != own), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     )
-    tasks = members.select("th", "fp", "more", "choice", "value", F.explode(pairs).alias("p")).select(F.xxhash64("choice", "value", "p.i", "p.j").alias("shard"), "th", "fp", "more")
-    found = tasks.repartition("shard").sortWithinPartitions("shard").mapInArrow(_candidates, "a bigint, b bigint")
-    same = wide.select("th", "fp").distinct().join(nodes.select("fp", F.col("th").alias("node")), "fp").where("th <> node").select(F.least("th", "node").alias("a"), F.greatest("th", "node").alias("b"))
-    edges = materialize(found.union(same).distinct(), "candidates")
-    wanted = edges.select(F.explode(F.array("a", "b")).alias("th")).distinct()
-    texts = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("__text")).join(wanted, "th", "left_semi").groupBy("th").agg(F.min("__text").alias("__text"))
-    texts = materialize(texts, "candidate-texts")
-    both = edges.join(texts.select(F.col("th").alias("a"), F.col("__text").alias("x")), "a").join(texts.select(F.col("th").alias("b"), F.col("__text").alias("y")), "b").select("a", "b", "x", "y")
-    groups = connected_components(both.mapInArrow(_verified, "a bigint, b bigint"), "a", "b")
-    return wide.join(groups.select(F.col("node").alias("th"), "root"), "th", "left").select("doc_id", "th", F.coalesce("root", "th").alias("root"))
+    once = texts.join(members.select("th"), "th", "left_semi").groupBy("th").agg(F.min("text").alias("text"))
+    tasks = once.join(members, "th").select("th", "text", "block", F.explode(pairs).alias("p")).select(F.xxhash64("block", "p.i", "p.j").alias("shard"), "th", "text")
+    found = tasks.repartition("shard").sortWithinPartitions("shard").mapInArrow(_linked(SIMILAR_TREE_ROWS), "a bigint, b bigint")
+    groups = connected_components(found, "a", "b")
+    own_id = F.col(id_col).cast("bigint")
+    rows = docs.select(own_id.alias("doc_id"), F.xxhash64(text).alias("th"))
+    return rows.join(groups.select(F.col("node").alias("th"), "root"), "th", "left").select("doc_id", "th", F.coalesce("root", "th").alias("root"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

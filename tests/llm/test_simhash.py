@@ -177,3 +177,77 @@ def test_empty_table_and_block_numbers(spark, docs_of):
             for _ in range(4):
                 y ^= 1 << r.randrange(64)
             assert any((x ^ y) & (m & (1 << 64) - 1) == 0 for m in masks), blocks
+
+
+def edited(prose, n, most, seed=4, words=130):
+    """Copies of a text, each with up to ``most`` of its words changed."""
+    r, base = random.Random(seed), prose(seed, words).split()
+    texts = []
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(r.randint(1, most)):
+            copy[r.randrange(words)] = f"changed{r.getrandbits(40)}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+def test_no_link_is_left_out(spark, docs_of, prose, monkeypatch):
+    """Pairs at exactly the least similarity, and a large group of copies in blocks that are dealt as pairs of parts."""
+    monkeypatch.setattr(H, "SIMILAR_TREE_ROWS", 1)
+    monkeypatch.setattr(H, "BLOCK_SHINGLES", 1500, raising=False)
+    texts = edited(prose, 150, 7) + [t.upper() for t in edited(prose, 20, 7, 5)] + ["", None]
+    for k in range(200):
+        words = prose(1000 + k, 130).split()
+        copy = list(words)
+        for at in (20, 24, 90):  # 14 of 126 shingles
+            copy[at] = "changed"
+        texts += [" ".join(words), " ".join(copy)]
+    assert H.similarity(*map(H.shingles, texts[-2:])) == H.LEAST_SIMILARITY
+    assert {r["doc_id"] for r in H.keep_one_of_each(docs_of(texts)).collect()} == set(similar_classes(texts))
+
+
+@pytest.mark.parametrize("trees", [True, False])
+def test_groups_of_a_block(prose, monkeypatch, trees):
+    """Exact with trees and without, also where fingerprints say nothing; few pairs of a group are compared."""
+    texts = edited(prose, 250, 6) + edited(prose, 60, 3, 9, 12) + ["", "one two", "one TWO"]
+    digests = [H._digests(t) for t in texts]
+    if not trees:
+        monkeypatch.setattr(H._Block, "by_trees", lambda *_: None)
+    sets, blocks, plain = [H._hashes(x) for x in digests], [], H._Block
+    monkeypatch.setattr(H, "_Block", lambda some: blocks.append(plain(some)) or blocks[-1])
+    for halves in (np.array([H._halves(x) for x in digests]), np.zeros((len(texts), 2), np.int64)):
+        root = H.similar_groups(sets, halves, 64)
+        firsts = {}
+        assert [firsts.setdefault(x, k) for k, x in enumerate(root.tolist())] == similar_classes(texts)
+    close = edited(prose, 600, 2)  # nearly all pairs are similar
+    H.similar_groups([H._hashes(H._digests(t)) for t in close], np.array([H.wide_fingerprint(t) for t in close]))
+    assert blocks[-1].compared < 20 * len(close)
+
+
+def test_similar_sets_share_a_first_shingle():
+    r = random.Random(6)
+    for _ in range(2000):
+        n = r.randint(1, 60)
+        a = set(r.sample(range(200), n))
+        b = set(r.sample(sorted(a), n - r.randint(0, n // 6))) | set(r.sample(range(200, 400), r.randint(0, n // 6)))
+        if H.similarity(a, b) >= H.LEAST_SIMILARITY:
+            order = r.sample(range(400), 400)
+            firsts = [set(sorted(x, key=order.index)[: H.prefix_length(np.array([len(x)]))[0]]) for x in (a, b)]
+            assert firsts[0] & firsts[1]
+
+
+def test_runs_across_batches():
+    rows = [(1, 10, 5), (1, 10, 6), (1, 11, 7), (1, 30, 8), (1, 31, 9), (2, 31, 9), (2, 31, 9), (2, 33, 4), (3, 0, 1), (3, 0, 2), (3, 1, 3)]
+    want = {(5, 10, 6, 10), (5, 10, 7, 11), (8, 30, 9, 31), (9, 31, 4, 33), (1, 0, 2, 0)}
+    for step in (1, 2, 3, 20):
+        batches = [H.pa.RecordBatch.from_arrays([H.pa.array(c, "int64") for c in zip(*rows[k : k + step], strict=True)], ["shingle", "size", "th"]) for k in range(0, len(rows), step)]
+        assert {tuple(r.values()) for b in H._chained(iter(batches)) for r in b.to_pylist()} == want
+
+
+def test_table_of_counts(spark, docs_of, prose):
+    """Cells of shingles that many texts have are higher, and copies in a task count once."""
+    line = "a line that all of them have"
+    texts = docs_of([prose(k) + " " + line for k in range(40)]).selectExpr("xxhash64(text) th", "text")
+    rarity = H._rarity(texts)
+    common, rare = (rarity[H._cells(H._hashes(H._digests(t)))] for t in (line, prose(3)))
+    assert len(rarity) == H.CELLS and common.min() > 60 and np.median(rare) == 12 and (rarity > 0).sum() > 2000
