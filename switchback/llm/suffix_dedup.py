@@ -8,8 +8,9 @@ A byte goes if a string of ``LENGTH`` bytes that covers it starts anywhere else
    decide only where text goes; whether strings are equal is decided on their bytes.
 2. In a task, segments come in batches. Each batch gets a suffix array (of suffixes cut at
    ``LENGTH`` bytes) by prefix doubling; levels of like size merge geometrically, which finds
-   their matches and keeps one suffix of each, and the larger levels are merge-scanned for matches.
-   Keys come in order, so a family ends between two keys once it holds ``FAMILY_WINDOWS``.
+   their matches and keeps one suffix of each, and the larger levels are merge-scanned for matches
+   (all levels for the last batch of a family, which is not merged). Keys come in order, so a
+   family ends between two keys once it holds ``FAMILY_WINDOWS``.
 3. Equal segments are combined in the task that reads them, before the shuffle. A key of over ``HOT_SEGMENTS``
    segments is split further by content: by the place of its least k-gram in the window, and where
    that is not enough also by a hash of the window; equal windows stay together.
@@ -55,14 +56,11 @@ def gram_hashes(data: bytes) -> np.ndarray:
 def window_keys(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """The key of each window of ``data`` (at least ``length`` bytes), and the hash of each k-gram."""
     width, h = length - GRAM + 1, gram_hashes(data)
-    rows = -(-len(h) // width)
-    padded = np.full(rows * width, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(h)] = h
-    blocks = padded.reshape(rows, width)
-    before = np.minimum.accumulate(blocks, axis=1).ravel()
-    after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    windows = len(data) - length + 1
-    return np.minimum(after[:windows], before[width - 1 : width - 1 + windows]), h
+    least, held = h, 1  # the least of each ``held`` hashes in a row
+    while held < width:
+        step = min(held, width - held)
+        least, held = np.minimum(least[:-step], least[step:]), held + step
+    return least, h
 
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -81,17 +79,20 @@ def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]
     keys, h = window_keys(data, length)
     counts = np.maximum(sizes - length + 1, 0)
     firsts = ends - sizes
-    at = _ranges(firsts, counts)  # windows inside one text
-    key = keys[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1)
-    new[(np.cumsum(counts) - counts)[counts > 0]] = True
-    first = np.flatnonzero(new)
-    long = np.diff(np.append(first, len(at)))
+    some = counts > 0
+    new = np.ones(len(keys) + 1, bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:-1])
+    new[firsts[some]] = new[(firsts + counts)[some]] = True
+    bounds = np.flatnonzero(new)
+    first, long = bounds[:-1], np.diff(bounds)
+    text = np.searchsorted(ends, first, side="right")
+    inside = first - firsts[text] < counts[text]  # windows inside one text
+    first, long = first[inside], long[inside]
     parts = -(-long // RUN)
-    first = _ranges(np.zeros(len(parts), np.int64), parts) * RUN + np.repeat(first, parts)
-    windows = np.diff(np.append(first, len(at)))
-    start, key = at[first], key[first]
+    at = _ranges(np.zeros(len(parts), np.int64), parts) * RUN
+    start = at + np.repeat(first, parts)
+    windows = np.minimum(np.repeat(long, parts) - at, RUN)
+    key = keys[start]
     spread = windows + length - GRAM
     equal = h[_ranges(start, spread)] == np.repeat(key, spread)
     repeats = np.add.reduceat(equal, np.cumsum(spread) - spread, dtype=np.int64) > 1 if len(first) else np.empty(0, bool)
@@ -214,34 +215,43 @@ class SuffixArray:
         """The array, and the rank of each window; windows are numbered from ``base``."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         data = b"".join([*texts, bytes(8)])
-        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(int(sizes.sum()))
-        ranks, tables, order = np.zeros(len(left), np.uint64), [], 0
-        bits = np.uint64(max(1, len(left).bit_length()))
+        n = int(sizes.sum())
+        places = np.arange(n, dtype=np.uint64)
+        left = np.repeat(np.cumsum(sizes), sizes) - places.view(np.int64)
+        ranks, tables, order = np.zeros(n, np.uint32), [], 0
+        bits = np.uint64(max(1, n.bit_length()))
+        low = (np.uint64(1) << bits) - np.uint64(1)
         while order < length:
             step = min(8 if not order else 2 * order, length)
-            at = np.flatnonzero(left >= step)
+            held = left >= step
             if not order:
-                some = np.ndarray((len(left),), ">u8", data, strides=(1,))[at].astype(np.uint64)
-                by = np.argsort(some)
-                some = some[by]
-            elif 3 * bits <= 64:  # two ranks and the place fit into one number
-                some = (ranks[at] << bits | ranks[at + (step - order)]) << bits | np.arange(len(at), dtype=np.uint64)
-                some.sort()
-                by = (some & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-                some >>= bits
+                by = np.flatnonzero(held)
+                some = np.ndarray((n,), ">u8", data, strides=(1,))[by].astype(np.uint64)
+                at = np.argsort(some)
+                some, by = some[at], by[at]
             else:
-                some = ranks[at] << bits | ranks[at + (step - order)]
-                by = np.argsort(some)
-                some = some[by]
+                ends = max(n - (step - order), 0)
+                some = np.left_shift(ranks[:ends], bits, dtype=np.uint64)
+                some |= ranks[n - ends :]
+                if 3 * bits <= 64:  # two ranks and the place fit into one number
+                    some <<= bits
+                    some |= places[:ends]
+                    some = some[held[:ends]]
+                    some.sort()
+                    by = (some & low).view(np.int64)
+                    some >>= bits
+                else:
+                    by = np.flatnonzero(held)
+                    some = some[by]
+                    at = np.argsort(some)
+                    some, by = some[at], by[at]
             new = np.ones(len(some), bool)
             np.not_equal(some[1:], some[:-1], out=new[1:])
-            rank = np.empty(len(some), np.uint64)
-            rank[by] = np.cumsum(new) - 1
-            ranks[at] = rank
+            ranks[by] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
             found = some[new]
-            tables.append(found if not order else found >> bits << np.uint64(32) | found & ((np.uint64(1) << bits) - np.uint64(1)))
+            tables.append(found if not order else found >> bits << np.uint64(32) | found & low)
             order = step
-        rank = rank.astype(np.int64)
+        rank = ranks[left >= length].astype(np.int64)
         rows = np.empty(len(tables[-1]), np.int64)
         rows[rank[::-1]] = np.arange(base, base + len(rank))[::-1]
         return cls(tables, rows), rank
@@ -264,23 +274,21 @@ class SuffixArray:
     def merged(self, other: SuffixArray) -> tuple[SuffixArray, np.ndarray]:
         """Both arrays in one, and the rows of both that have an equal in the other; of a suffix in
         both, the row of this one stays."""
-        tables, maps = [], None
+        tables, rank, split = [], None, 0
         for mine, theirs in zip(self.tables, other.tables, strict=True):
-            if maps is not None:  # ranks in the merged table before, in the same order
-                mine, theirs = (m[t >> np.uint64(32)] << np.uint64(32) | m[t & _LOW] for m, t in zip(maps, (mine, theirs), strict=True))
-            at = np.searchsorted(mine, theirs)  # both are sorted: one pass
-            equal = mine[np.minimum(at, len(mine) - 1)] == theirs
-            before = np.cumsum(np.bincount(at[~equal], minlength=len(mine) + 1))
-            maps = (np.arange(len(mine)) + before[: len(mine)]).astype(np.uint64), (at + before[at]).astype(np.uint64)
-            maps[1][~equal] = at[~equal] + np.arange(int((~equal).sum()))
-            both = np.empty(len(mine) + int(before[-1]), np.uint64)
-            both[maps[0]] = mine
-            both[maps[1]] = theirs
-            tables.append(both)
-        rows = np.empty(len(tables[-1]), np.int64)
-        rows[maps[1]] = other.rows
-        rows[maps[0]] = self.rows
-        return SuffixArray(tables, rows), np.concatenate([self.rows[at[equal]], other.rows[equal]])
+            if rank is not None:  # ranks in the merged table before, in the same order
+                mine, theirs = (m[t.view(np.uint32)].view(np.uint64) for m, t in ((rank[:split], mine), (rank[split:], theirs)))
+            both, split = np.concatenate([mine, theirs]), len(mine)
+            by = both.argsort(kind="stable")  # two sorted runs: one pass
+            both = both[by]
+            new = np.ones(len(both), bool)
+            np.not_equal(both[1:], both[:-1], out=new[1:])
+            rank = np.empty(len(both), np.uint32)
+            rank[by] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+            tables.append(both[new])
+        rows = np.concatenate([self.rows, other.rows])[by]
+        twice = np.flatnonzero(~new)
+        return SuffixArray(tables, rows[new]), np.concatenate([rows[twice - 1], rows[twice]])
 
     def __len__(self) -> int:
         return len(self.rows)
@@ -288,18 +296,20 @@ class SuffixArray:
 
 class LevelFamily:
     """Levels of suffix arrays; a level is at least twice as long as the next.
-    ``matched[row]`` tells whether the window has an equal."""
+    ``matched[row]`` tells whether the window has an equal. Once ``closing``, a batch is scanned
+    for in all levels, but not merged or kept, as none comes after it."""
 
     def __init__(self):
         self.levels: list[SuffixArray] = []
         self.matched = np.zeros(0, bool)
         self.scans = self.merges = 0
+        self.closing = False
 
     def add(self, texts: list[bytes]) -> None:
         base = len(self.matched)
         new, rank = SuffixArray.build(texts, base)
         self.matched = np.concatenate([self.matched, (np.bincount(rank, minlength=len(new)) > 1)[rank]])
-        while self.levels and len(self.levels[-1]) < 2 * len(new):
+        while not self.closing and self.levels and len(self.levels[-1]) < 2 * len(new):
             new, equal = self.levels.pop().merged(new)
             self.matched[equal] = True
             self.merges += 1
@@ -307,7 +317,8 @@ class LevelFamily:
             place = level.find(new)
             self.matched[level.rows[place[place >= 0]]] = self.matched[new.rows[place >= 0]] = True
             self.scans += 1
-        self.levels.append(new)
+        if not self.closing:
+            self.levels.append(new)
 
 
 def _runs(flags: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -335,18 +346,18 @@ class _Task:
                 raise ValueError("two pieces of text have one digest")
             self.n[at] += n
             return
+        if self.windows - len(self.family.matched) >= BATCH_WINDOWS:
+            self.flush()
         self.bodies.append(body)
         self.n.append(n)
         self.windows += len(body) - LENGTH + 1
-        if self.windows - len(self.family.matched) >= BATCH_WINDOWS:
-            self.flush()
 
     def flush(self) -> None:
-        if self.waiting < len(self.bodies):
-            self.family.add(self.bodies[self.waiting :])
-            self.waiting = len(self.bodies)
+        self.family.add(self.bodies[self.waiting :])
+        self.waiting = len(self.bodies)
 
     def end(self) -> pa.RecordBatch:
+        self.family.closing = True
         self.flush()
         n = np.array(self.n, np.int64)
         counts = np.fromiter(map(len, self.bodies), np.int64, len(self.bodies)) - LENGTH + 1

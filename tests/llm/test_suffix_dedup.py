@@ -139,6 +139,26 @@ def test_every_candidate_goes_through_the_levels(monkeypatch, prose):
     assert all(row["n"] == 2 and row["spans"][0]["start"] == 0 for row in out)
 
 
+def test_the_last_batch_of_a_family_is_scanned_for_but_not_merged(monkeypatch, prose):
+    monkeypatch.setattr(X, "BATCH_WINDOWS", 300)
+    merges, plain = [], X.SuffixArray.merged
+    monkeypatch.setattr(X.SuffixArray, "merged", lambda self, other: merges.append(len(other)) or plain(self, other))
+    a, b, c = (prose(k, 90).encode()[:360] for k in range(3))
+    rows = [(1, 0, a), (2, 0, b), (3, 0, c), (4, 0, a[20:])]  # batches of two
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)] + [pa.array([1] * 4)], ["key", "part", "body", "n"])
+    out = {row["name"]: row["spans"] for found in X._match([batch]) for row in found.to_pylist()}
+    assert out == {X.name_of(1, 0, a): [{"start": 20, "end": 360}], X.name_of(4, 0, a[20:]): [{"start": 0, "end": 340}]}
+    assert not merges
+
+
+def test_suffix_array_of_over_two_million_places():
+    text = bytes(random.Random(6).choices(b"\x00b", k=(1 << 21) + 100))
+    array, rank = X.SuffixArray.build([text], length=16)
+    windows = [text[i : i + 16] for i in range(len(text) - 15)]
+    listed = sorted(set(windows))
+    assert [windows[row] for row in array.rows] == listed and [listed[k] for k in rank.tolist()] == windows
+
+
 def test_repeated_rows_spans_and_empty(spark, docs_of, prose):
     text = prose(1, 60)
     got = X.repeated_spans(docs_of([(1, text), (1, text), (None, text), (2, "short")]), emit_kept=True).collect()
