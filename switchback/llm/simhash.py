@@ -16,8 +16,9 @@ Exact copies collapse to one fingerprint before any search.
 
 ``keep_one_of_each`` is the stage of a pipeline: one text of each group whose five-word shingles have a Jaccard
 similarity of ``LEAST_SIMILARITY`` or more; no such link is missed, whatever the size of a group. Two similar sets
-share one of the first fifth of their shingles in any common order, so texts are dealt to blocks by the groups that shared shingles
-of these prefixes chain. The order is by a table of ``CELLS`` counts over all texts, rare shingles first, which keeps
+share one of the first fifth of their shingles in any common order, and ``SHARED`` of some more of them, if they have as many. Texts are
+dealt to blocks by the groups that shared shingles of these prefixes chain: those of up to ``RUN_TEXTS`` texts link
+a pair that has enough of them, others all their texts. The order is by a table of ``CELLS`` counts over all texts, rare shingles first, which keeps
 blocks small; it decides the cost only, never the result. A block is searched by BK-trees on shards of 128-bit fingerprints,
 nearest first, and each link is verified on the shingles' hashes (64 bits) before it joins two groups. What the trees
 do not join is then found exactly, by an index of the block's own rarest shingles. A block of over ``BLOCK_SHINGLES``
@@ -248,6 +249,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Of the similarity stage: words of a shingle, least Jaccard similarity, how many of such pairs the trees may leave to the
 #: exact search, and about how many fingerprints a tree has.
 SIMILAR_WORDS, LEAST_SIMILARITY, MISSED, SIMILAR_TREE_ROWS = 5, 0.8, 0.05, 1 << 9
+#: Shingles that a pair must share in its prefixes, and texts of a shingle up to which its pairs are counted. One shared shingle
+#: comes by chance: pairs of that kind grow with the square of the input, and would chain most texts to one block.
+SHARED, RUN_TEXTS = 4, 16
 #: Cells of the table of counts (a byte each) and the rows it is added up in; shingles that a task counts at once; shingles of a block.
 CELLS, CELL_ROWS, COUNTED, BLOCK_SHINGLES = 1 << 25, 1 << 8, 1 << 22, 1 << 22
 
@@ -409,9 +413,15 @@ class _Block:
             self.link(x, y[np.argsort(-often, kind="stable")])
 
 
-def prefix_length(sizes: np.ndarray) -> np.ndarray:
-    """Of sets of these sizes, how many first shingles in a common order hold a shared one of any similar set."""
-    return np.where(sizes > 0, sizes - np.ceil(LEAST_SIMILARITY * sizes - 1e-6).astype(np.int64) + 1, 0)
+def least_shared(sizes: np.ndarray, shared: int = 1) -> np.ndarray:
+    """How many shingles a similar set has of sets of these sizes for sure, ``shared`` at most."""
+    return np.minimum(np.ceil(LEAST_SIMILARITY * sizes - 1e-6).astype(np.int64), shared)
+
+
+def prefix_length(sizes: np.ndarray, shared: int = 1) -> np.ndarray:
+    """Of sets of these sizes, how many first shingles in a common order hold ``shared`` shared ones of any similar set, or
+    as many as both have for sure."""
+    return np.where(sizes > 0, sizes - np.ceil(LEAST_SIMILARITY * sizes - 1e-6).astype(np.int64) + least_shared(sizes, shared), 0)
 
 
 def similar_groups(sets: list[np.ndarray], halves: np.ndarray, tree_rows: int = SIMILAR_TREE_ROWS) -> np.ndarray:
@@ -502,7 +512,7 @@ def _prefixes(rarity):
         for th, text in _first_seen(batches):
             hashes = _hashes(_digests(text))
             rare = np.argsort(rarity.value[_cells(hashes)], kind="stable")  # hashes are in order
-            held.append((th, len(hashes), hashes[rare[: prefix_length(np.array([len(hashes)]))[0]]] if len(hashes) else np.zeros(1, np.uint64)))
+            held.append((th, len(hashes), hashes[rare[: prefix_length(np.array([len(hashes)]), SHARED)[0]]] if len(hashes) else np.zeros(1, np.uint64)))
             n += len(held[-1][2])
             if n >= 1 << 16:
                 yield done()
@@ -533,6 +543,47 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[apart]) for x in (a, m, th, size)], ["a", "m", "b", "n"])
 
 
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shingle, size, th) sorted so → (a, size of a, b, size of b, need): the pairs of each run of ``_chained`` that has up to
+    ``RUN_TEXTS`` texts, and how many such rows a similar pair has; of a longer run, whose rows are held no longer than that, its
+    texts with the first, and 0."""
+
+    def found(shingle: np.ndarray, size: np.ndarray, th: np.ndarray, head: np.ndarray, long: np.ndarray) -> pa.RecordBatch:
+        apart = long & (th[head] != th)
+        a, b, need = [head[apart]], [np.flatnonzero(apart)], [np.zeros(apart.sum(), np.int64)]
+        at = np.flatnonzero(~long)
+        for step in range(1, RUN_TEXTS):
+            at = at[at + step < len(head)]
+            at = at[head[at] == head[at + step]]
+            near = at[size[at] >= LEAST_SIMILARITY * size[at + step] - 1e-6]
+            a.append(near)
+            b.append(near + step)
+            need.append(least_shared(size[near], SHARED))
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (th[a], size[a], th[b], size[b], np.concatenate(need))], ["a", "m", "b", "n", "need"])
+
+    held, over = None, False  # the rows of the last run, or the first and the last one if it is longer
+    for batch in batches:
+        rows = [c.to_numpy() for c in batch.columns]
+        if not len(rows[0]):
+            continue
+        shingle, size, th = rows if held is None else (np.concatenate(x) for x in zip(held, rows, strict=True))
+        fresh = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (size[1:] != size[:-1]) | (th[1:] != th[:-1])])  # a text can come from several tasks
+        fresh[:2] |= over
+        shingle, size, th = shingle[fresh], size[fresh], th[fresh]
+        new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (size[:-1] < LEAST_SIMILARITY * size[1:] - 1e-6)])
+        new[1:2] &= not over
+        head = np.maximum.accumulate(np.where(new, np.arange(len(th)), 0))
+        long = np.bincount(head, minlength=len(th))[head] > RUN_TEXTS
+        long |= over & (head == 0)
+        last, over = head[-1], bool(long[-1])
+        held = [x[[last, -1]] if over else x[last:] for x in (shingle, size, th)]
+        end = len(th) if over else last
+        yield found(shingle[:end], size[:end], th[:end], head[:end], long[:end])
+    if held is not None and not over:
+        yield found(*held, np.zeros(len(held[0]), np.int64), np.zeros(len(held[0]), bool))
+
+
 def _linked(tree_rows: int):
     """Rows (shard, th, text) sorted by shard → links of each text with one of its group."""
 
@@ -565,8 +616,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text"))
     rarity = docs.sparkSession.sparkContext.broadcast(_rarity(texts))
     prefixes = texts.mapInArrow(_prefixes(rarity), "shingle bigint, size bigint, th bigint")
-    runs = prefixes.repartition("shingle").sortWithinPartitions("shingle", "size", "th").mapInArrow(_chained, "a bigint, m bigint, b bigint, n bigint")
-    chains = materialize(runs.distinct(), "chains")
+    runs = prefixes.repartition("shingle").sortWithinPartitions("shingle", "size", "th").mapInArrow(_paired, "a bigint, m bigint, b bigint, n bigint, need bigint")
+    shared = runs.groupBy("a", "m", "b", "n").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
+    chains = materialize(shared.where("shared >= need").select("a", "m", "b", "n"), "chains")
     sizes = chains.select(F.col("a").alias("th"), F.col("m").alias("size")).union(chains.select("b", "n")).distinct()
     dealt = connected_components(chains, "a", "b").select(F.col("node").alias("th"), F.col("root").alias("block")).join(sizes, "th")
     parts = dealt.groupBy("block").agg(F.ceil((F.sum("size") + 1) / F.lit(BLOCK_SHINGLES)).cast("int").alias("parts"))

@@ -251,3 +251,40 @@ def test_table_of_counts(spark, docs_of, prose):
     rarity = H._rarity(texts)
     common, rare = (rarity[H._cells(H._hashes(H._digests(t)))] for t in (line, prose(3)))
     assert len(rarity) == H.CELLS and common.min() > 60 and np.median(rare) == 12 and (rarity > 0).sum() > 2000
+
+
+def test_chance_shingles_do_not_chain_texts(spark, docs_of, prose, monkeypatch):
+    """Texts that share a shingle each with the next, where counts tell nothing as in the cells of a very large input."""
+    monkeypatch.setattr(H, "_rarity", lambda texts: np.zeros(H.CELLS, np.uint8))
+    chains, plain = [], H.materialize
+    monkeypatch.setattr(H, "materialize", lambda df, label: (made := plain(df, label), label == "chains" and chains.append(made.count()))[0])
+    texts = [f"{prose(k, 60)} link{k} two three four five {prose(1000 + k, 60)} link{k + 1} two three four five" for k in range(300)]
+    texts += [t.replace("link", "Link") + " more" for t in texts[:5]]
+    got = {r["doc_id"] for r in H.keep_one_of_each(docs_of(texts)).collect()}
+    assert got == set(range(300)) == set(similar_classes(texts))
+    assert chains == [5]
+
+
+def test_similar_sets_share_more_first_shingles():
+    r, met = random.Random(7), []
+    for _ in range(3000):
+        n = r.randint(1, 60)
+        a = set(r.sample(range(200), n))
+        b = set(r.sample(sorted(a), n - r.randint(0, n // 6))) | set(r.sample(range(200, 400), r.randint(0, n // 6)))
+        if H.similarity(a, b) >= H.LEAST_SIMILARITY:
+            order = r.sample(range(400), 400)
+            sizes = np.array([len(a), len(b)])
+            firsts = [set(sorted(x, key=order.index)[:p]) for x, p in zip((a, b), H.prefix_length(sizes, H.SHARED), strict=True)]
+            met.append(len(firsts[0] & firsts[1]))
+            assert met[-1] >= H.least_shared(sizes, H.SHARED).min()
+    assert min(met) < H.SHARED and len(met) > 1000
+
+
+def test_pairs_of_runs_across_batches(monkeypatch):
+    monkeypatch.setattr(H, "RUN_TEXTS", 3)
+    rows = [(1, 10, 5), (1, 10, 5), (1, 12, 6), (1, 15, 7), (1, 30, 8), (1, 31, 9), (2, 10, 1), (2, 10, 2), (2, 10, 2), (2, 12, 3), (2, 14, 4), (2, 17, 5), (3, 0, 1), (3, 0, 2), (3, 1, 3), (3, 1, 4)]
+    want = [(1, 10, 2, 10, 0), (1, 10, 3, 12, 0), (1, 10, 4, 14, 0), (1, 10, 5, 17, 0), (1, 0, 2, 0, 0), (3, 1, 4, 1, 1), (5, 10, 6, 12, 4), (6, 12, 7, 15, 4), (8, 30, 9, 31, 4)]
+    for step in (1, 2, 3, 5, 20):
+        batches = [H.pa.RecordBatch.from_arrays([H.pa.array(c, "int64") for c in zip(*rows[k : k + step], strict=True)], ["shingle", "size", "th"]) for k in range(0, len(rows), step)]
+        got = [tuple(r.values()) for b in H._paired(iter(batches)) for r in b.to_pylist()]
+        assert set(got) == set(want) and sorted(x for x in got if x[4]) == want[5:]  # counted pairs come once
