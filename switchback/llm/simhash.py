@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: exact search, and about how many fingerprints a tree has.
 SIMILAR_WORDS, LEAST_SIMILARITY, MISSED, SIMILAR_TREE_ROWS = 5, 0.8, 0.05, 1 << 9
 #: Shingles that a pair must share in its prefixes, and texts of a shingle up to which its pairs are counted. One shared shingle
-#: comes by chance: pairs of that kind grow with the square of the input, and would chain most texts to one block.
+#: comes by chance: pairs of that kind grow with the square of the input, and would chain more and more texts.
 SHARED, RUN_TEXTS = 4, 16
 #: Cells of the table of counts (a byte each) and the rows it is added up in; shingles that a task counts at once; shingles of a block.
 CELLS, CELL_ROWS, COUNTED, BLOCK_SHINGLES = 1 << 25, 1 << 8, 1 << 22, 1 << 22
